@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from ticketlens.llm.decontam import op5_decontamination
+from ticketlens.llm.repeats import op10_repeats
 from ticketlens.llm.simhash import op2_simhash
+from ticketlens.llm.tokens import op1_tokens
 
 QUERIES = {
+    "op1_tokens": op1_tokens,
     "op2_simhash": op2_simhash,
+    "op5_decontamination": op5_decontamination,
+    "op10_repeats": op10_repeats,
 }
 
 SQL: dict[str, str] = {}
