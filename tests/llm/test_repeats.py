@@ -25,7 +25,7 @@ def texts(seed):
 
 def test_against_brute_force(spark, tmp_path):
     rows = texts(4)
-    spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, spans string").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, marks string").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in op10_repeats(spark, str(tmp_path)).collect()}
     assert got == brute_force(rows)
 

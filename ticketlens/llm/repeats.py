@@ -1,16 +1,17 @@
-"""Repeated passages, from suffix trees split by prefixes of two lengths.
+"""Repeated passages, from suffix trees split by prefixes of growing length.
 
 A repeat of 20 words is a node at depth 20 of the tree of all suffixes. The tree is built only
-where it branches, in two cuts that Spark's aggregations hold in parts of any size:
+where it branches, in cuts that Spark's aggregations hold in parts of any size:
 
 1. *Short prefixes.* Of the 6-word prefixes inside a 20-word window the one with the least hash
-   stands for the window, so equal windows share it, and only about one suffix in eight is listed.
+   stands for the window, so equal windows share it, and only about one suffix in seven is listed.
    A prefix that occurs once leads to leaves only; its windows are dropped.
-2. *Long prefixes.* Windows behind a prefix that occurs again get their node at depth 20, with the first
-   occurrence below it. Every other occurrence is a repeat.
+2. *Runs.* The windows in a row that one prefix stands for are a run of up to 34 words. Equal runs are one
+   edge of the tree: all but the first are repeats as a whole. A prefix with one run branches no further.
+3. *Windows.* Where a prefix leads to several runs, the first of each is cut into its windows, and
+   each gets its node at depth 20, with the first occurrence below it. Every other one is a repeat.
 
-A document's repeated windows in a row are one maximal repeat. Words are compared by two
-independent 64-bit hashes, nodes by 64 + 64 bits.
+A document's repeated windows in a row are one maximal repeat. Nodes are compared by 128 bits of hashes.
 """
 
 from __future__ import annotations
@@ -103,7 +104,7 @@ def _windows(edges: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(window: int, prefix: int):
-    """prefix, _rid, first and number of the windows in a row that it stands for."""
+    """prefix, run, _rid, first, n: the runs of n windows that one place of a prefix stands for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -113,14 +114,16 @@ def _prefixes(window: int, prefix: int):
                 text, first = _windows(edges, window)
                 if not len(text):
                     continue
-                hashes = runs_of(words, prefix)
+                hashes, whole = runs_of(words, prefix), runs_of(words, window)
                 marks = least_prefix(hashes, window - prefix + 1)[first]
                 # the same place stands for the next window too, unless it starts the one before
                 gone = hashes[first[:-1]] == marks[:-1]
                 new = np.flatnonzero(np.concatenate([[True], gone | (marks[1:] != marks[:-1]) | (text[1:] != text[:-1])]))
                 ends = np.append(new[1:], len(marks))
+                # its first and last window cover a run, which is shorter than two windows
+                runs = _join(whole[first[new]], whole[first[ends - 1]] + (ends - new).astype(np.uint64), _A)
                 rid = part.column("_rid").to_numpy()[text[new]]
-                yield pa.RecordBatch.from_arrays([pa.array(marks[new].view(np.int64)), pa.array(rid), pa.array((first[new] - edges[text[new]]).astype(np.int32)), pa.array((ends - new).astype(np.int32))], ["prefix", "_rid", "first", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(marks[new].view(np.int64)), pa.array(runs.view(np.int64)), pa.array(rid), pa.array((first[new] - edges[text[new]]).astype(np.int32)), pa.array((ends - new).astype(np.int32))], ["prefix", "run", "_rid", "first", "n"])
 
     return run
 
@@ -156,32 +159,40 @@ def _nodes(window: int):
     return run
 
 
+def _repeated(marks: list, size: int) -> np.ndarray:
+    """Which windows of a text also start earlier, from its marks (kind, first, n).
+
+    r: a run. f: a run that is the first of its like. o: a run that is cut into windows. w: a window that is first.
+    """
+    first = {m["first"] for m in marks if m["kind"] == "f"}
+    out = np.zeros(size, bool)
+    out[_spread([m for m in marks if m["kind"] == "o"], size)] = True
+    out[np.array([m["first"] for m in marks if m["kind"] == "w"], np.int64)] = False
+    out[_spread([m for m in marks if m["kind"] == "r" and m["first"] not in first], size)] = True
+    return out
+
+
 def _kept(window: int):
-    """What is left of a text: its words but those of windows that are listed and not first."""
+    """What is left of a text: its words but those of repeated windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            columns = [batch.column(c).to_pylist() for c in ("text", "spans", "firsts")]
-            for text, spans, firsts in zip(*columns, strict=True):
+            for text, marks in zip(batch.column("text").to_pylist(), batch.column("marks").to_pylist(), strict=True):
                 words = (text or "").encode().split()
                 n, found = len(words), []
-                if spans:
-                    size = max(n - window + 1, 0)
-                    repeated = np.zeros(size, bool)
-                    repeated[_spread(spans, size)] = True
-                    repeated[np.array(firsts or [], np.int64)] = False
+                if marks:
+                    at = np.flatnonzero(_repeated(marks, max(n - window + 1, 0)))
                     cover = np.zeros(n + 1, np.int64)
-                    at = np.flatnonzero(repeated)
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + window, -1)
+                    cover[at] += 1
+                    cover[at + window] -= 1
                     gone = np.cumsum(cover)[:-1] > 0
                     edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
                     found = [{"start": int(a), "stop": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)]
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                out.append((n, found, b" ".join(words).decode()))
-            arrays = [batch.column("doc_id"), pa.array([x[0] for x in out], pa.int64()), pa.array([sum(s["stop"] - s["start"] for s in x[1]) for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array([x[2] for x in out], pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "n_removed", "repeats", "kept_text"])
+                out.append((n, sum(s["stop"] - s["start"] for s in found), found, b" ".join(words).decode()))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)]], ["doc_id", "n_words", "n_removed", "repeats", "kept_text"])
 
     return run
 
@@ -196,15 +207,20 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
     documents of their own; an empty table gives an empty one; other columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    # dealt once by document; the three readers below share this exchange
+    # dealt once by document; the readers below share this exchange
     texts = keyed(docs).select("_rid", "doc_id", "text").repartition("_rid")
-    listed = texts.select("_rid", "text").mapInArrow(_prefixes(window, prefix), "prefix long, _rid long, first int, n int")
+    listed = texts.select("_rid", "text").mapInArrow(_prefixes(window, prefix), "prefix long, run long, _rid long, first int, n int")
     again = listed.groupBy("prefix").agg(F.count("*").alias("k")).filter("k > 1").select("prefix")
-    spans = listed.join(again, "prefix", "left_semi").groupBy("_rid").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
+    some = listed.join(again, "prefix", "left_semi")
+    runs = some.groupBy("prefix", "run").agg(F.min(F.struct("_rid", "first", "n")).alias("f"))
+    forks = runs.groupBy("prefix").agg(F.count("*").alias("k")).filter("k > 1").select("prefix")
+    cut = runs.join(forks, "prefix", "left_semi").select("f.*")
+    spans = cut.groupBy("_rid").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
     nodes = texts.join(spans, "_rid").select("_rid", "text", "spans").mapInArrow(_nodes(window), "a long, b long, _rid long, at int")
-    firsts = nodes.groupBy("a", "b").agg(F.min(F.struct("_rid", "at")).alias("f")).groupBy(F.col("f._rid").alias("_rid")).agg(F.collect_list("f.at").alias("firsts"))
-    marked = texts.join(spans, "_rid", "left").join(firsts, "_rid", "left")
-    return marked.select("doc_id", "text", "spans", "firsts").mapInArrow(_kept(window), f"doc_id {kind}, n_words long, n_removed long, repeats array<struct<start:long,stop:long>>, kept_text string")
+    firsts = nodes.groupBy("a", "b").agg(F.min(F.struct("_rid", "at")).alias("f")).select("f.*")
+    marks = some.select("_rid", F.lit("r").alias("kind"), "first", "n").union(runs.select("f._rid", F.lit("f"), "f.first", "f.n")).union(cut.select("_rid", F.lit("o"), "first", "n")).union(firsts.select("_rid", F.lit("w"), "at", F.lit(1)))
+    marked = texts.join(marks.groupBy("_rid").agg(F.collect_list(F.struct("kind", "first", "n")).alias("marks")), "_rid", "left")
+    return marked.select("doc_id", "text", "marks").mapInArrow(_kept(window), f"doc_id {kind}, n_words long, n_removed long, repeats array<struct<start:long,stop:long>>, kept_text string")
 
 
 def op10_repeats(spark, sf_dir: str) -> DataFrame:
