@@ -250,3 +250,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, most: int = MAX_ITEM_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text holds no passage that ``contaminated`` finds; one pass, no shuffle."""
+    for items in _item_blocks(benchmark, similarity, most):
+        find = _searcher(items)
+
+        def run(batches: Iterator[pa.RecordBatch], find=find) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch):
+                    numbered = pa.RecordBatch.from_arrays([pa.array(range(part.num_rows), pa.int64()), part.column("text")], ["doc_id", "text"])
+                    hit = {d for found in find(iter([numbered])) for d in found.column("doc_id").to_pylist()}
+                    yield part.filter(pa.array([i not in hit for i in range(part.num_rows)])) if hit else part
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

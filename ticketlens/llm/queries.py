@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+from ticketlens.llm.counts import op6_counts
 from ticketlens.llm.decontam import op5_decontamination
+from ticketlens.llm.mixing import op8_mixing
+from ticketlens.llm.pii import op4_pii
+from ticketlens.llm.quality import op3_quality
 from ticketlens.llm.repeats import op10_repeats
+from ticketlens.llm.rules import OP7_SQL, op7_rules
+from ticketlens.llm.sharding import op9_sharding
 from ticketlens.llm.simhash import op2_simhash
 from ticketlens.llm.tokens import op1_tokens
 
 QUERIES = {
     "op1_tokens": op1_tokens,
     "op2_simhash": op2_simhash,
+    "op3_quality": op3_quality,
+    "op4_pii": op4_pii,
     "op5_decontamination": op5_decontamination,
+    "op6_counts": op6_counts,
+    "op7_rules": op7_rules,
+    "op8_mixing": op8_mixing,
+    "op9_sharding": op9_sharding,
     "op10_repeats": op10_repeats,
+    "pipeline": corpus_pipeline.run,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op7_rules": OP7_SQL}
