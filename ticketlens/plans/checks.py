@@ -1,0 +1,10 @@
+"""Small pieces of SQL shared by the registered statements."""
+
+from ticketlens.plans.oracle import pct_sql, q, round1_sql, sql, whole_pct_sql
+
+
+def known_sql(c: str) -> str:
+    return f"nullif(trim({c}), '')"
+
+
+__all__ = ["known_sql", "pct_sql", "q", "round1_sql", "sql", "whole_pct_sql"]
