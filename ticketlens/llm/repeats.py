@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ticketlens.llm.encoder import MAX_CACHED, slices
 from ticketlens.llm.rows import documents, keyed
+from ticketlens.plans.shared import stored
 
 WINDOW = 20
 PREFIX = 6
@@ -207,12 +208,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
     documents of their own; an empty table gives an empty one; other columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    # dealt once by document; the readers below share this exchange
-    texts = keyed(docs).select("_rid", "doc_id", "text").repartition("_rid")
+    texts = keyed(docs).select("_rid", "doc_id", "text")
     listed = texts.select("_rid", "text").mapInArrow(_prefixes(window, prefix), "prefix long, run long, _rid long, first int, n int")
     again = listed.groupBy("prefix").agg(F.count("*").alias("k")).filter("k > 1").select("prefix")
-    some = listed.join(again, "prefix", "left_semi")
-    runs = some.groupBy("prefix", "run").agg(F.min(F.struct("_rid", "first", "n")).alias("f"))
+    some = stored(listed.join(again, "prefix", "left_semi"))
+    runs = stored(some.groupBy("prefix", "run").agg(F.min(F.struct("_rid", "first", "n")).alias("f")))
+    texts = texts.repartition("_rid")  # dealt once; both readers below share this exchange
     forks = runs.groupBy("prefix").agg(F.count("*").alias("k")).filter("k > 1").select("prefix")
     cut = runs.join(forks, "prefix", "left_semi").select("f.*")
     spans = cut.groupBy("_rid").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
