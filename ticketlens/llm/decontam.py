@@ -122,24 +122,37 @@ class Items:
             at += (((now + np.uint64(1)) * self.walk[step][None, :]) >> np.uint64(63)).astype(np.int64)
         return out
 
+    def possible(self, t: int, symbols: np.ndarray, starts: np.ndarray, there: np.ndarray) -> np.ndarray:
+        """Which windows hold enough of an item's words: every word that is missing costs an edit."""
+        own = np.zeros(len(self.vocabulary) + 2, bool)
+        own[self.symbols[t]] = True
+        steps = np.arange(int(there.max(initial=0)))
+        inside = own[symbols[np.minimum(starts[:, None] + steps[None, :], len(symbols) - 1)]] & (steps[None, :] < there[:, None])
+        return inside.sum(1) >= len(self.symbols[t]) - self.allowed[t]
+
     def search(self, symbols: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(text, item, start, distance) of all windows within their item's distance.
 
         ``symbols`` holds several texts in a row, which end at ``ends``.
         """
-        windows: set[tuple[int, int, int]] = set()
+        near: dict[int, set[int]] = {}
         for n, (seen, keys) in self.tables.items():
             got = grams(symbols, n)
             for p in np.flatnonzero(seen[got >> np.uint64(44)]).tolist():
                 for t, a in self.pieces[n].get(int(got[p]), ()):
-                    size, k = len(self.symbols[t]), self.allowed[t]
-                    text = int(np.searchsorted(ends, p, "right"))
+                    k, text = self.allowed[t], int(np.searchsorted(ends, p, "right"))
                     low, high = int(ends[text - 1]) if text else 0, int(ends[text])
-                    for s in range(max(low, p - a - k), min(high - 1, p - a + k) + 1):
-                        windows.add((s, size, min(size, high - s)))
+                    near.setdefault(t, set()).update(range(max(low, p - a - k), min(high - 1, p - a + k) + 1))
+        windows: set[tuple[int, int, int]] = set()
+        for t, starts in near.items():
+            size = len(self.symbols[t])
+            at = np.array(sorted(starts), np.int64)
+            there = np.minimum(size, ends[np.searchsorted(ends, at, "right")] - at)
+            good = self.possible(t, symbols, at, there)
+            windows.update((s, size, n) for s, n in zip(at[good].tolist(), there[good].tolist(), strict=True))
         if not windows:
             return []
-        pairs: set[tuple[int, int, int]] = set()
+        found_by: dict[int, set[tuple[int, int]]] = {}
         listed = sorted(windows)
         for at in range(0, len(listed), 20_000):
             part = np.array(listed[at : at + 20_000], np.int64)
@@ -147,7 +160,12 @@ class Items:
             left, right = np.searchsorted(self.marks, marks, "left"), np.searchsorted(self.marks, marks, "right")
             for w, r in zip(*np.nonzero(right > left), strict=True):
                 for j in range(left[w, r], right[w, r]):
-                    pairs.add((int(part[w, 0]), int(part[w, 2]), int(self.mark_item[j])))
+                    found_by.setdefault(int(self.mark_item[j]), set()).add((int(part[w, 0]), int(part[w, 2])))
+        pairs = []
+        for t, some in found_by.items():
+            table = np.array(sorted(some), np.int64)
+            good = self.possible(t, symbols, table[:, 0], table[:, 1])
+            pairs += [(s, n, t) for s, n in table[good].tolist()]
         found = []
         for s, size, t in sorted(pairs):
             d = edit_distance(self.symbols[t], symbols[s : s + size].tolist())
