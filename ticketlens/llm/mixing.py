@@ -103,13 +103,14 @@ def _pieces(placed: DataFrame, draws: DataFrame, block: int) -> DataFrame:
     """_rid, block, and times drawn: the documents' parts that some slot takes."""
     times = draws.groupBy(F.col("source").alias("_s"), "block").agg(F.count("*").alias("times"))
     cut = placed.filter("size > 0").select("_rid", "source", "first", "size", F.explode(F.expr(f"sequence(first div {block}, (first + size - 1) div {block})")).alias("_b"))
-    return cut.join(times, _same("source", "_s") & (F.col("_b") == F.col("block")))
+    # Spark takes exploded rows for as few as their source, so it must not pick a broadcast by size here
+    return cut.join(times.hint("merge"), _same("source", "_s") & (F.col("_b") == F.col("block")))
 
 
 def _taken(placed: DataFrame, draws: DataFrame, block: int) -> DataFrame:
     inside = F.least(F.col("first") + F.col("size"), (F.col("_b") + 1) * block) - F.greatest(F.col("first"), F.col("_b") * block)
     sums = _pieces(placed, draws, block).groupBy("_rid").agg(F.sum(inside * F.col("times")).alias("taken"))
-    return placed.join(sums, "_rid", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+    return placed.join(sums.hint("merge"), "_rid", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
@@ -125,7 +126,7 @@ def _word_pieces(docs: DataFrame, placed: DataFrame, draws: DataFrame, block: in
     high = F.least(F.col("first") + F.col("size"), (F.col("_b") + 1) * block)
     parts = _pieces(placed, draws, block).select("_rid", F.struct(F.col("_b").alias("block"), (low - F.col("first") + 1).cast("int").alias("at"), (high - low).cast("int").alias("n"), F.col("times").cast("int").alias("times"), "size").alias("p"))
     grouped = parts.groupBy("_rid").agg(F.array_sort(F.collect_list("p")).alias("pieces"))
-    return keyed(docs, *[F.col(c) for c in columns]).join(grouped, "_rid")
+    return keyed(docs, *[F.col(c) for c in columns]).join(grouped.hint("merge"), "_rid")
 
 
 def mixed_blocks(docs: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
@@ -139,7 +140,7 @@ def mixed_blocks(docs: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataF
     cut = rows.select(F.col("source").alias("_s"), "first", "_words", F.explode("pieces").alias("p"))
     cut = cut.select("_s", F.col("p.block").alias("_b"), "first", F.slice("_words", F.col("p.at"), F.col("p.n")).alias("w"))
     whole = cut.groupBy("_s", "_b").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("first", "w"))), lambda x: x["w"])).alias("words"))
-    return draws.join(whole, _same("source", "_s") & (F.col("block") == F.col("_b"))).select("shard", "source", "t", "block", "words")
+    return draws.join(whole.hint("merge"), _same("source", "_s") & (F.col("block") == F.col("_b"))).select("shard", "source", "t", "block", "words")
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
