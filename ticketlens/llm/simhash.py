@@ -80,7 +80,7 @@ def close_pairs(fps: DataFrame, budget: int = MAX_BITS) -> DataFrame:
     keys = ", ".join(f"struct({r} AS trie, {_quarters(o, 'fp')} AS key)" for r, o in enumerate(ORDERS))
     leaves = fps.filter("fp IS NOT NULL").select("fp").distinct().select(F.explode(F.expr(f"array({keys})")).alias("x")).select("x.*")
     roots = leaves.groupBy("trie", F.expr(_prefix("key", 32)).alias("a")).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    kept = leaves.withColumn("a", F.expr(_prefix("key", 32))).join(roots, ["trie", "a"], "left_semi").select("trie", "key")
+    kept = leaves.withColumn("a", F.expr(_prefix("key", 32))).join(roots.hint("merge"), ["trie", "a"], "left_semi").select("trie", "key")
     kept = checkpoint(kept)
     pairs = kept.select("trie", F.expr(_prefix("key", 32)).alias("a")).distinct().select("trie", "a", F.col("a").alias("b"), F.lit(0).alias("bits"))
     side = 1 << STEP
@@ -90,13 +90,14 @@ def close_pairs(fps: DataFrame, budget: int = MAX_BITS) -> DataFrame:
         down = f"CAST({_prefix('key', depth + STEP)} & {side - 1} AS INT)"
         nodes = kept.groupBy("trie", F.expr(_prefix("key", depth)).alias("node")).agg(F.expr(f"bit_or(shiftleft(1, {down}))").alias("mask"))
         # a pair of a node with itself leads somewhere only if two leaves lie below it
-        pairs = pairs.join(nodes.select("trie", F.col("node").alias("a"), F.col("mask").alias("ma")), ["trie", "a"])
-        pairs = pairs.join(nodes.select("trie", F.col("node").alias("b"), F.col("mask").alias("mb")), ["trie", "b"])
+        # merge joins: exploded rows have no size that a choice of broadcast could rest on
+        pairs = pairs.join(nodes.select("trie", F.col("node").alias("a"), F.col("mask").alias("ma")).hint("merge"), ["trie", "a"])
+        pairs = pairs.join(nodes.select("trie", F.col("node").alias("b"), F.col("mask").alias("mb")).hint("merge"), ["trie", "b"])
         pairs = pairs.select("trie", "a", "b", "bits", F.explode(F.expr(child)).alias("s"))
         pairs = pairs.selectExpr("trie", f"shiftleft(a, {STEP}) | s.x AS a", f"shiftleft(b, {STEP}) | s.y AS b", "bits + s.d AS bits")
         if depth + STEP < 64:
             many = kept.groupBy("trie", F.expr(_prefix("key", depth + STEP)).alias("a")).agg(F.count("*").alias("n")).filter("n = 1").drop("n")
-            pairs = pairs.filter("a <> b").union(pairs.filter("a = b").join(many, ["trie", "a"], "left_anti").select("trie", "a", "b", "bits"))
+            pairs = pairs.filter("a <> b").union(pairs.filter("a = b").join(many.hint("merge"), ["trie", "a"], "left_anti").select("trie", "a", "b", "bits"))
         if depth in (36, 44, 52):
             pairs = checkpoint(pairs)
     undo = "CASE trie " + " ".join(f"WHEN {r} THEN {_quarters(tuple(3 - o.index(3 - i) for i in range(4)), '{0}')}" for r, o in enumerate(ORDERS)) + " END"
