@@ -48,7 +48,7 @@ def timestamp(text: Column) -> Column:
 
 def week_key(text: Column) -> Column:
     t = timestamp(text)
-    return F.coalesce(F.format_string("%04d-W%02d", F.extract(F.lit("YEAROFWEEK"), t), F.weekofyear(t)), F.lit(""))
+    return F.when(t.isNull(), F.lit("")).otherwise(F.format_string("%04d-W%02d", F.extract(F.lit("YEAROFWEEK"), t), F.weekofyear(t)))
 
 
 def month_key(text: Column) -> Column:
