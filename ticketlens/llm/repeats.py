@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.llm.encoder import MAX_CACHED, slices
@@ -104,8 +104,8 @@ def _windows(edges: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return text, first
 
 
-def _prefixes(window: int, prefix: int):
-    """prefix, run, _rid, first, n: the runs of n windows that one place of a prefix stands for."""
+def _prefixes(window: int, prefix: int, only: bool = False):
+    """prefix, run, _rid, first, n: the runs of n windows that one place of a prefix stands for; or the prefix only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -115,12 +115,15 @@ def _prefixes(window: int, prefix: int):
                 text, first = _windows(edges, window)
                 if not len(text):
                     continue
-                hashes, whole = runs_of(words, prefix), runs_of(words, window)
+                hashes = runs_of(words, prefix)
                 marks = least_prefix(hashes, window - prefix + 1)[first]
                 # the same place stands for the next window too, unless it starts the one before
                 gone = hashes[first[:-1]] == marks[:-1]
                 new = np.flatnonzero(np.concatenate([[True], gone | (marks[1:] != marks[:-1]) | (text[1:] != text[:-1])]))
-                ends = np.append(new[1:], len(marks))
+                if only:
+                    yield pa.RecordBatch.from_arrays([pa.array(marks[new].view(np.int64))], ["prefix"])
+                    continue
+                ends, whole = np.append(new[1:], len(marks)), runs_of(words, window)
                 # its first and last window cover a run, which is shorter than two windows
                 runs = _join(whole[first[new]], whole[first[ends - 1]] + (ends - new).astype(np.uint64), _A)
                 rid = part.column("_rid").to_numpy()[text[new]]
@@ -129,15 +132,28 @@ def _prefixes(window: int, prefix: int):
     return run
 
 
-def _spread(spans: list, size: int) -> np.ndarray:
-    """The window numbers of (first, n) spans, ascending."""
+#: A mark is one long: first window, number of windows (below 64), kind.
+RUN, FIRST, CUT, WINDOW_FIRST = range(4)
+
+
+def _mark(first: Column, n: Column, kind: int) -> Column:
+    return F.shiftleft(first.cast("long"), 8) + n.cast("long") * 4 + kind
+
+
+def _spread(first: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    """The window numbers of spans, ascending."""
     hit = np.zeros(size + 1, np.int64)
-    for s in spans:
-        hit[s["first"]] += 1
-        hit[min(s["first"] + s["n"], size)] -= 1
+    np.add.at(hit, first, 1)
+    np.add.at(hit, np.minimum(first + n, size), -1)
     return np.flatnonzero(np.cumsum(hit)[:-1] > 0)
 
 
+def _lists(column: pa.Array) -> list[np.ndarray | None]:
+    """The longs of each list, without a Python object for each."""
+    values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+    return [None if null else values[a:b] for a, b, null in zip(offsets[:-1].tolist(), offsets[1:].tolist(), column.is_null().to_pylist(), strict=True)]
+
+
 def _nodes(window: int):
     """node (two hashes), _rid, at: the depth-20 node of every listed window."""
 
@@ -147,10 +163,10 @@ def _nodes(window: int):
             for part in slices(batch):
                 one, two, edges = hasher.words(part.column("text"), True)
                 one, two = runs_of(one, window), runs_of(two, window)
-                spans, rids = part.column("spans").to_pylist(), part.column("_rid").to_numpy()
+                spans, rids = _lists(part.column("spans")), part.column("_rid").to_numpy()
                 texts, places = [], []
                 for i, s in enumerate(spans):
-                    at = _spread(s, max(int(edges[i + 1] - edges[i]) - window + 1, 0))
+                    at = _spread(s >> 8, (s & 255) >> 2, max(int(edges[i + 1] - edges[i]) - window + 1, 0))
                     texts.append(np.full(len(at), i))
                     places.append(at)
                 text, at = np.concatenate(texts), np.concatenate(places)
@@ -160,16 +176,17 @@ def _nodes(window: int):
     return run
 
 
-def _repeated(marks: list, size: int) -> np.ndarray:
-    """Which windows of a text also start earlier, from its marks (kind, first, n).
+def _repeated(marks: np.ndarray, size: int) -> np.ndarray:
+    """Which windows of a text also start earlier.
 
-    r: a run. f: a run that is the first of its like. o: a run that is cut into windows. w: a window that is first.
+    Marks say: a run; a run that is the first of its like; a run that is cut into windows; a window that is first.
     """
-    first = {m["first"] for m in marks if m["kind"] == "f"}
+    first, n, kind = marks >> 8, (marks & 255) >> 2, marks & 3
     out = np.zeros(size, bool)
-    out[_spread([m for m in marks if m["kind"] == "o"], size)] = True
-    out[np.array([m["first"] for m in marks if m["kind"] == "w"], np.int64)] = False
-    out[_spread([m for m in marks if m["kind"] == "r" and m["first"] not in first], size)] = True
+    cut, later = kind == CUT, (kind == RUN) & ~np.isin(first, first[kind == FIRST])
+    out[_spread(first[cut], n[cut], size)] = True
+    out[first[kind == WINDOW_FIRST]] = False
+    out[_spread(first[later], n[later], size)] = True
     return out
 
 
@@ -179,10 +196,10 @@ def _kept(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, marks in zip(batch.column("text").to_pylist(), batch.column("marks").to_pylist(), strict=True):
+            for text, marks in zip(batch.column("text").to_pylist(), _lists(batch.column("marks")), strict=True):
                 words = (text or "").encode().split()
                 n, found = len(words), []
-                if marks:
+                if marks is not None:
                     at = np.flatnonzero(_repeated(marks, max(n - window + 1, 0)))
                     cover = np.zeros(n + 1, np.int64)
                     cover[at] += 1
@@ -210,17 +227,19 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = keyed(docs).select("_rid", "doc_id", "text")
     listed = texts.select("_rid", "text").mapInArrow(_prefixes(window, prefix), "prefix long, run long, _rid long, first int, n int")
-    again = listed.groupBy("prefix").agg(F.count("*").alias("k")).filter("k > 1").select("prefix")
+    counted = texts.select("_rid", "text").mapInArrow(_prefixes(window, prefix, only=True), "prefix long")
+    again = counted.groupBy("prefix").agg(F.count("*").alias("k")).filter("k > 1").select("prefix")
     some = stored(listed.join(again, "prefix", "left_semi"))
     runs = stored(some.groupBy("prefix", "run").agg(F.min(F.struct("_rid", "first", "n")).alias("f")))
-    texts = texts.repartition("_rid")  # dealt once; both readers below share this exchange
+    texts = texts.repartition("_rid")  # dealt once: both readers below take the same columns, so they share this exchange
     forks = runs.groupBy("prefix").agg(F.count("*").alias("k")).filter("k > 1").select("prefix")
     cut = runs.join(forks, "prefix", "left_semi").select("f.*")
-    spans = cut.groupBy("_rid").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
-    nodes = texts.join(spans, "_rid").select("_rid", "text", "spans").mapInArrow(_nodes(window), "a long, b long, _rid long, at int")
+    first, n = F.col("first"), F.col("n")
+    spans = cut.groupBy("_rid").agg(F.collect_list(_mark(first, n, CUT)).alias("spans"))
+    nodes = texts.join(spans, "_rid").select("_rid", "doc_id", "text", "spans").mapInArrow(_nodes(window), "a long, b long, _rid long, at int")
     firsts = nodes.groupBy("a", "b").agg(F.min(F.struct("_rid", "at")).alias("f")).select("f.*")
-    marks = some.select("_rid", F.lit("r").alias("kind"), "first", "n").union(runs.select("f._rid", F.lit("f"), "f.first", "f.n")).union(cut.select("_rid", F.lit("o"), "first", "n")).union(firsts.select("_rid", F.lit("w"), "at", F.lit(1)))
-    marked = texts.join(marks.groupBy("_rid").agg(F.collect_list(F.struct("kind", "first", "n")).alias("marks")), "_rid", "left")
+    marks = some.select("_rid", _mark(first, n, RUN).alias("m")).union(runs.select("f._rid", _mark(F.col("f.first"), F.col("f.n"), FIRST))).union(cut.select("_rid", _mark(first, n, CUT))).union(firsts.select("_rid", _mark(F.col("at"), F.lit(1), WINDOW_FIRST)))
+    marked = texts.select("_rid", "doc_id", "text").join(marks.groupBy("_rid").agg(F.collect_list("m").alias("marks")), "_rid", "left")
     return marked.select("doc_id", "text", "marks").mapInArrow(_kept(window), f"doc_id {kind}, n_words long, n_removed long, repeats array<struct<start:long,stop:long>>, kept_text string")
 
 
