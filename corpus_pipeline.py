@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ticketlens.llm.decontam import without_contaminated
 from ticketlens.llm.mixing import mixed_documents
 from ticketlens.llm.rows import documents, keyed
-from ticketlens.llm.rules import judged
+from ticketlens.llm.rules import passed
 from ticketlens.llm.simhash import near_duplicates
 from ticketlens.llm.tokens import read_tokens, write_tokens
 from ticketlens.plans.shared import shared_dir
@@ -22,8 +22,7 @@ from ticketlens.plans.shared import shared_dir
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects."""
-    kept = judged(docs.withColumn("_row", F.struct(*docs.columns))).filter("kept")
-    return kept.select("_row.*")
+    return passed(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,7 +72,6 @@ def measured(docs: DataFrame) -> DataFrame:
     out = out.withColumn("_hashes", hashes)
     sort = F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     out = out.withColumn("_sorted", F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), sort).otherwise(F.expr("CAST(array() AS array<struct<h:bigint,i:int>>)")))
-    twin = F.filter("_sorted", lambda s, k: (F.get("_sorted", k - 1)["h"] == s["h"]) | F.coalesce(F.get("_sorted", k + 1)["h"] == s["h"], F.lit(False)))
     twin = F.filter("_sorted", lambda s, k: F.coalesce(F.get("_sorted", k - 1)["h"] == s["h"], F.lit(False)) | F.coalesce(F.get("_sorted", k + 1)["h"] == s["h"], F.lit(False)))
     out = out.withColumn("_at", F.sort_array(F.transform(twin, lambda s: s["i"])))
     # every window covers its 8 words, less those that the next one covers again
@@ -105,6 +104,16 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
+def passed(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs``, all columns, that no rule rejects; null and empty texts are rejected.
+
+    A filter on ``kept`` alone would be pushed below the measures, which copies their expressions into
+    each other once for each use. A random column, which no filter passes, holds it where it is.
+    """
+    verdicts = judged(docs.withColumn("_row", F.struct(*docs.columns)), rules).select("_row", "kept").withColumn("_hold", F.rand(0))
+    return verdicts.filter("kept AND _hold >= 0").select("_row.*")
+
+
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
 
