@@ -20,7 +20,7 @@ from ticketlens.operators import trends as T
 from ticketlens.operators import weekly as W
 from ticketlens.plans.checks import known_sql, pct_sql, q, round1_sql, sql, whole_pct_sql
 from ticketlens.plans.filters import Filters, Selection, by_months, dimension_options, filtered, options, searched, with_label
-from ticketlens.plans.shared import checkpoint
+from ticketlens.plans.shared import checkpoint, stored
 from ticketlens.sources import sinks as S
 from ticketlens.sources.view import incidents, tickets
 
@@ -29,8 +29,23 @@ SQL: dict[str, str] = {}
 KEY = "category"
 
 
+_TABLES: dict[tuple[str, str], DataFrame] = {}
+
+
+def ticket_table(spark, sf_dir: str) -> DataFrame:
+    """Annotated tickets as a Parquet table, written once for an application and folder.
+
+    Notes, scores and causes are then worked out once, and a query reads its own columns only. A folder
+    whose files change needs ``_TABLES.clear()``.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TABLES:
+        _TABLES[key] = stored(tickets(spark, sf_dir))
+    return _TABLES[key]
+
+
 def query(name: str, statement: str | None, make: Callable[[DataFrame], DataFrame]) -> None:
-    QUERIES[name] = lambda spark, sf_dir: make(tickets(spark, sf_dir))
+    QUERIES[name] = lambda spark, sf_dir: make(ticket_table(spark, sf_dir))
     if statement is not None:
         SQL[name] = statement
 
@@ -137,7 +152,8 @@ query("problem_sheet", sql("""SELECT p.category, title, n, rca_coverage, coalesc
  LEFT JOIN (SELECT category, string_agg(concat(CAST(rank AS VARCHAR), '. ', cause, ' (', CAST(n AS VARCHAR), ')'), chr(10) ORDER BY rank) AS rc FROM top_causes WHERE rank <= 3 GROUP BY 1) c ON c.category = p.category
  LEFT JOIN (SELECT category, string_agg(concat(name, ' (', CAST(n AS VARCHAR), ')'), '; ' ORDER BY rank) AS tg FROM (SELECT category, coalesce(nullif(assignment_group, ''), 'Unassigned') AS name, count(*) AS n, row_number() OVER (PARTITION BY category ORDER BY count(*) DESC, name COLLATE en, name) AS rank FROM annotated GROUP BY 1, 2) WHERE rank <= 3 GROUP BY 1) g ON g.category = p.category
  LEFT JOIN (SELECT category, string_agg(number, ', ' ORDER BY row_id) AS sn FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY row_id) AS r FROM annotated) WHERE r <= 25 GROUP BY 1) s ON s.category = p.category""", TABLE, CAUSES), lambda t: S.problem_sheet(t, KEY).select(KEY, "title", "n", "rca_coverage", "root_causes", "top_groups", "sample_numbers"))
-query("detail_sheet", sql("SELECT a.category, title AS problem, number, short_desc_clean, a.state, a.priority, opened, closed, assignment_group, assigned_to, total AS score, label, root_cause_text AS root_cause, channel FROM annotated a JOIN problem_table p ON p.category = a.category", TABLE), lambda t: (lambda x: S.detail_sheet(x, P.problem_table(x, KEY), KEY).join(x.select("number", "channel"), "number"))(checkpoint(t)))
+_FIT = f"CASE WHEN length(short_desc_clean) > {config.CELL_LIMIT} THEN concat(substring(short_desc_clean, 1, {config.CELL_LIMIT - len(S.CUT_MARK)}), {q(S.CUT_MARK)}) ELSE short_desc_clean END AS short_desc_clean"
+query("detail_sheet", sql(f"SELECT a.category, title AS problem, number, {_FIT}, a.state, a.priority, opened, closed, assignment_group, assigned_to, total AS score, label, root_cause_text AS root_cause, channel FROM annotated a JOIN problem_table p ON p.category = a.category", TABLE), lambda t: (lambda x: S.detail_sheet(x, P.problem_table(x, KEY), KEY).join(x.select("number", "channel"), "number"))(t))
 query("metadata_sheet", sql("""SELECT unnest(['filters', 'opened_from', 'opened_to', 'tickets', 'problems', 'scorer_version', 'truncated_cells']) AS field, unnest(['all', (SELECT min(nullif(opened, '')) FROM annotated), (SELECT max(opened) FROM annotated), (SELECT CAST(count(*) AS VARCHAR) FROM annotated), (SELECT CAST(count(*) AS VARCHAR) FROM problem_table), '1',
  (SELECT CAST(count(*) FILTER (length(work_notes) > 32767) AS VARCHAR) FROM annotated)]) AS value""", TABLE), lambda t: S.metadata_sheet(t.select("opened", "work_notes", "row_id"), P.problem_table(t, KEY), "all"))
 
@@ -258,7 +274,7 @@ query("tfidf", sql("SELECT row_id, term, round(weight, 6) AS weight FROM tv", OP
 
 def _partitioned(make: Callable) -> Callable:
     def run(spark, sf_dir: str) -> DataFrame:
-        t = checkpoint(tickets(spark, sf_dir))
+        t = ticket_table(spark, sf_dir)
         return make(t, lambda s=0.6: M.families(t, checkpoint(M.cosine_edges(checkpoint(M.variant(t)), s)), s))
 
     return run
@@ -301,7 +317,7 @@ family_query("family_common_words", None, lambda t, fam: M.common_words(fam(), M
 family_query("family_names", None, lambda t, fam: M.representatives(t, fam(), M.tfidf(M.variant(t))).join(M.open_text(t), "row_id").select("family", M.group_name(F.col("text")).alias("name")))
 family_query("family_partitions", None, lambda t, fam: M.partitions(t))
 family_query("cosine_edges", family_sql("SELECT src, dst, round(least(cos, 1.0), 6) AS cos FROM eg"), lambda t, fam: M.cosine_edges(checkpoint(M.variant(t)), 0.6).withColumn("cos", F.round("cos", 6)))
-query("problem_clusters", None, lambda t: C.cluster(checkpoint(t)).select("row_id", "cluster_id"))
-query("clustered_problems", None, lambda t: (lambda x: S.problem_sheet(x))(checkpoint(C.cluster(checkpoint(t)))))
-query("clustered_week_problems", None, lambda t: W.week_problems(checkpoint(C.cluster(checkpoint(t)))))
-query("clustered_actions", None, lambda t: P.recommend(checkpoint(C.cluster(checkpoint(t)))))
+query("problem_clusters", None, lambda t: C.cluster(t).select("row_id", "cluster_id"))
+query("clustered_problems", None, lambda t: (lambda x: S.problem_sheet(x))(checkpoint(C.cluster(t))))
+query("clustered_week_problems", None, lambda t: W.week_problems(checkpoint(C.cluster(t))))
+query("clustered_actions", None, lambda t: P.recommend(checkpoint(C.cluster(t))))
