@@ -27,18 +27,25 @@ MAX_BITS = 2
 STEP = 4
 
 
-def fingerprint(text: str | None, size: int = 3) -> int:
-    """Signed 64-bit SimHash of the XXH64 values (seed 42) of all word shingles of a text."""
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """XXH64 (seed 42) of every run of ``size`` words of a text, of the whole text if it has fewer words."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths).tolist()
     ends = ends[min(size, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends, strict=False)], np.uint64)
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends, strict=False)], np.uint64)
+
+
+def fingerprint(text: str | None, size: int = 3) -> int:
+    """Signed 64-bit SimHash of the XXH64 values (seed 42) of all word shingles of a text."""
+    hashes = shingle_hashes(text, size)
+    if not len(hashes):
+        return 0
     bits = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 4096):
         part = hashes[at : at + 4096]
