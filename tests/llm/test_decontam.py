@@ -77,3 +77,19 @@ def test_exact_copies_are_always_found():
     for t, x in enumerate(items.symbols):
         text = np.array([0, 0, *x, 0], np.uint64)
         assert (0, t, 2, 0) in items.search(text, np.array([len(text)]))
+
+
+def test_spaces_of_other_kinds_split_items_and_texts(spark):
+    rng = random.Random(3)
+    items, texts = [], []
+    for t, n in enumerate((10, 12, 14, 30)):
+        words = [f"u{rng.randrange(900)}" for _ in range(n)]
+        for space in ("\u00a0", "\u3000", "\u2009", "\x85"):
+            odd = "".join(w + (space if i in (2, 4, 7) else " ") for i, w in enumerate(words)).strip()
+            for item, copy in ((odd, odd), (" ".join(words), odd), (odd, " ".join(words))):
+                items.append((len(items), item))
+                texts.append((len(texts), f"before it {copy} and after it some more words stand here"))
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.distance) for r in contaminated(docs, bench).collect()}
+    assert {(d, d, 0) for d, _ in texts} <= got
+    assert {(d, t) for d, t, _ in got} <= brute(texts, items)

@@ -36,6 +36,11 @@ def plain(word: str) -> str:
     return _NOT_WORD.sub("", word.lower())
 
 
+def split(texts: pa.Array) -> pa.Array:
+    """The words of each text and item: runs of characters other than Unicode white space. Null: none."""
+    return pc.utf8_split_whitespace(texts.fill_null(""))
+
+
 def edits_allowed(n_words: int, similarity: float) -> int:
     return int((1 - similarity) * n_words + 1e-9)
 
@@ -209,7 +214,7 @@ def _searcher(items: Items):
         known = items.vocabulary.get
         for batch in batches:
             for part in slices(batch):
-                lists = pc.ascii_split_whitespace(part.column("text").fill_null(""))
+                lists = split(part.column("text"))
                 coded = lists.values.dictionary_encode()
                 if len(cache) > MAX_CACHED:
                     cache.clear()
@@ -244,10 +249,12 @@ def _item_blocks(benchmark: DataFrame, similarity: float, most: int) -> Iterator
     blocks = -(-total // most)
     for b in range(blocks):
         rows = picked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        split = [(r.item_id, [p for w in r.text.split() if (p := plain(w))]) for r in sorted(rows, key=lambda r: (r.item_id is None, r.item_id, r.text))]
-        split = [x for x in split if x[1]]
-        if split:
-            yield Items([x[0] for x in split], [x[1] for x in split], similarity)
+        rows.sort(key=lambda r: (r.item_id is None, r.item_id, r.text))
+        lists = split(pa.array([r.text for r in rows], pa.string())).to_pylist()
+        found = [(r.item_id, [p for w in words if (p := plain(w))]) for r, words in zip(rows, lists, strict=True)]
+        found = [x for x in found if x[1]]
+        if found:
+            yield Items([x[0] for x in found], [x[1] for x in found], similarity)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, most: int = MAX_ITEM_BYTES) -> DataFrame:
