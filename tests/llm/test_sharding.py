@@ -42,3 +42,14 @@ def test_only_linked_or_none(spark):
     docs = spark.createDataFrame([(i, "same") for i in range(50)], "doc_id long, text string")
     assert sorted(Counter(r.shard for r in sharded(docs).collect()).values()) == [3] * 14 + [4] * 2
     assert sharded(docs.limit(0)).count() == 0
+
+
+def test_links_stay_together_with_few_or_no_single_rows(spark):
+    for groups, size, singles in ((800, 2, 0), (760, 2, 80), (288, 5, 160)):
+        rows = [f"group {g}" for g in range(groups) for _ in range(size)] + [f"single {i}" for i in range(singles)]
+        random.Random(2).shuffle(rows)
+        out = sharded(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+        assert set(Counter(r.shard for r in out.select("shard").collect()).values()) == {100}
+        links = cut_links(out).first()
+        print(groups, size, singles, links)
+        assert links.cut <= 0.1 * links.links

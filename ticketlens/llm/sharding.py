@@ -2,7 +2,8 @@
 
 Linked documents share a group. A round counts each group's members by shard, picks the
 shard that holds most of a group (of those with room), and moves the others there as long as the
-quota lasts. Documents without links are dealt last and fill every shard to its exact quota, so
+quota, counted after the round's departures, lasts; so full shards exchange equal numbers. Every move
+puts more pairs of a group together; rounds end when nothing moves any more. Documents without links are dealt last and fill every shard to its exact quota, so
 counts differ by one at most whatever the links are.
 """
 
@@ -15,7 +16,10 @@ from ticketlens.llm.rows import documents, keyed
 from ticketlens.plans.shared import checkpoint, chunks_for, prefix_sum
 
 SHARDS = 16
-ROUNDS = 4
+#: Far more rounds than moves last; beyond them an error is raised.
+ROUNDS = 200
+#: Rounds without a move, each with ties drawn anew, after which nothing is left to gain.
+STILL = 2
 SEED = 77
 
 
@@ -33,33 +37,53 @@ def quotas(rows: int, shards: int) -> dict[int, int]:
     return {s: rows // shards + (s < rows % shards) for s in range(shards)}
 
 
+def accepted(wanted: dict[tuple[int, int], int], room: dict[int, int]) -> dict[tuple[int, int], int]:
+    """How many of the ``wanted`` moves (from, to) can be made at once so that no shard gains more than its ``room``."""
+    take, gain = dict(wanted), dict.fromkeys(room, 0)
+    for (s, t), k in take.items():
+        gain[s], gain[t] = gain[s] - k, gain[t] + k
+    while (over := max(gain, key=lambda t: (gain[t] - room[t], -t), default=None)) is not None and gain[over] > room[over]:
+        # what stays away is taken from the shard that can best keep it
+        s = max((s for (s, t), k in take.items() if t == over and k), key=lambda s: (room[s] - gain[s], -s))
+        spare = room[s] - gain[s]
+        k = min(take[s, over], gain[over] - room[over], spare if spare > 0 else wanted[s, over])
+        take[s, over] -= k
+        gain[s], gain[over] = gain[s] + k, gain[over] - k
+    return take
+
+
 def propagate(linked: DataFrame, quota: dict[int, int], rounds: int = ROUNDS) -> DataFrame:
     """(_rid, group, shard) of ``linked`` (_rid unique, group not null); no shard is above its quota.
 
     Each round is three shuffles of narrow rows: counts by (group, shard), which are summed
     before they move; the join of members with their group's choice; and the rank of the
-    moves towards one shard, in chunks. What the driver holds is a number for each shard.
+    moves from one shard to another, in chunks. What the driver holds is a number for each pair of
+    shards. Raises an error if moves go on after ``rounds`` rounds.
     """
     shards = len(quota)
     n = linked.count()
     chunks = chunks_for(n)
     state = prefix_sum(linked, [], F.lit(1), ["_rid"], "_at", _hashed(chunks, SEED)).select("_rid", "group", (F.col("_at") % shards).cast("int").alias("shard"))
     state = checkpoint(state)
+    still = 0
     for r in range(rounds):
         size = {s: k for s, k in state.groupBy("shard").count().collect()}
         room = {s: quota[s] - size.get(s, 0) for s in quota}
         held = state.groupBy("group", "shard").agg(F.count("*").alias("n"))
-        # the fullest shard of a group; among equals, one picked by the group
-        best = held.groupBy("group").agg(F.max(F.struct((_by_table(room, F.col("shard")) > 0).cast("int").alias("open"), "n", F.xxhash64("group", "shard").alias("tie"), "shard")).alias("b")).select("group", F.col("b.shard").alias("to"), F.col("b.n").alias("lead"))
+        # the fullest shard of a group; among equals, one picked by the group and the round
+        best = held.groupBy("group").agg(F.max(F.struct((_by_table(room, F.col("shard")) > 0).cast("int").alias("open"), "n", F.xxhash64("group", "shard", F.lit(r)).alias("tie"), "shard")).alias("b")).select("group", F.col("b.shard").alias("to"), F.col("b.n").alias("lead"))
         here = held.withColumnRenamed("n", "mates").withColumnRenamed("shard", "_sh").withColumnRenamed("group", "_g")
-        moves = state.join(best, "group").filter("shard <> to").join(here, (F.col("group") == F.col("_g")) & (F.col("shard") == F.col("_sh"))).filter("lead >= mates").select("_rid", "to")
-        ranked = prefix_sum(moves, ["to"], F.lit(1), ["_rid"], "_rank", _hashed(chunks, SEED + r + 1))
-        taken = ranked.filter(F.col("_rank") < _by_table(room, F.col("to"))).select("_rid", "to")
-        was = state
-        state = checkpoint(was.join(taken, "_rid", "left").select("_rid", "group", F.coalesce("to", "shard").alias("shard")))
-        if not taken.limit(1).count():
-            break
-    return state
+        moves = state.join(best, "group").filter("shard <> to").join(here, (F.col("group") == F.col("_g")) & (F.col("shard") == F.col("_sh"))).filter("lead >= mates").select("_rid", "shard", "to")
+        moves = checkpoint(moves)
+        take = accepted({(s, t): k for s, t, k in moves.groupBy("shard", "to").count().collect()}, room)
+        if any(take.values()):
+            still = 0
+            ranked = prefix_sum(moves, ["shard", "to"], F.lit(1), ["_rid"], "_rank", _hashed(max(1, chunks // shards), SEED + r + 1))
+            taken = ranked.filter(F.col("_rank") < _by_table({s * shards + t: k for (s, t), k in take.items()}, F.col("shard") * shards + F.col("to"))).select("_rid", "to")
+            state = checkpoint(state.join(taken, "_rid", "left").select("_rid", "group", F.coalesce("to", "shard").alias("shard")))
+        elif not sum(size.values()) or (still := still + 1) == STILL:
+            return state
+    raise RuntimeError(f"labels still move after {rounds} rounds")
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
