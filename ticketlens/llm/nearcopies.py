@@ -1,10 +1,11 @@
 """Near copies: texts whose sets of word shingles reach a Jaccard similarity, found without loss.
 
-Shingles are put into one order for all texts (by hash, those of many texts last). Two sets at the
-similarity share at least ``need`` shingles of their first few, so only texts that meet in
-these prefixes are compared, and the whole sets decide. Equal sets count once. Members of a large
-group first meet the first text of each shared shingle; after that only pairs of different groups are
-left to compare.
+The trie join on SimHash fingerprints goes first and links the closest copies. Texts at a similarity of 0.8
+differ in up to a dozen of 64 bits, which no walk of tries can afford, so what it leaves is
+found by prefixes: shingles are put into one order for all texts (by hash, those of many texts last), two
+sets at the similarity share at least ``need`` shingles of their first few, and only texts of different
+groups that meet there are compared. Whole sets decide every link. Equal sets count once. Members of
+a large group first meet the first text of each shared shingle; after that only pairs of different groups are left.
 """
 
 from __future__ import annotations
@@ -14,13 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.llm.simhash import shingle_hashes
+from ticketlens.llm.encoder import slices
+from ticketlens.llm.simhash import close_pairs, packed, shingle_hashes
 from ticketlens.operators.graph import connected_components
-from ticketlens.plans.shared import checkpoint, stored
+from ticketlens.plans.shared import checkpoint, small_batches, stored
 
 SIZE = 5
 SIMILARITY = 0.8
@@ -31,16 +34,6 @@ SAMPLE = 4
 MAP_BITS = 1 << 23
 
 
-def _sets(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.unique(shingle_hashes(t, size)).tobytes() for t in batch.column("text").to_pylist()]
-            marks = np.array([xxhash.xxh64_intdigest(x, 1) for x in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks), pa.array(found, pa.binary())], ["doc_id", "unit", "shingles"])
-
-    return run
-
-
 def shared_least(n: int, similarity: float) -> tuple[int, int]:
     """Length of the prefix of n shingles, and how many of its shingles a similar set's prefix shares."""
     overlap = math.ceil(similarity * n - 1e-9)
@@ -48,35 +41,46 @@ def shared_least(n: int, similarity: float) -> tuple[int, int]:
     return n - overlap + need, need
 
 
-def _prefixes(hot: np.ndarray, similarity: float):
+def _prefixes(size: int, hot: np.ndarray, similarity: float):
+    """doc_id, unit (a hash of the set), fp (its SimHash), n, need and the first shingles of every text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts, sizes, needs = [], [], []
-            lengths = []
-            for x in batch.column("shingles").to_pylist():
-                own = np.frombuffer(x, np.uint64)
-                if len(hot):
+        for batch in (part for whole in batches for part in slices(whole)):
+            rows = []
+            for text in batch.column("text").to_pylist():
+                own = np.unique(shingle_hashes(text, size))
+                unit = xxhash.xxh64_intdigest(own.tobytes(), 1)
+                fp = packed(own)
+                if len(hot) and len(own):
                     last = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own
                     own = np.concatenate([own[~last], own[last]])
                 length, need = shared_least(len(own), similarity) if len(own) else (0, 0)
-                parts.append(own[:length])
-                lengths.append(length)
-                sizes.append(len(own))
-                needs.append(need)
-            if not parts:
-                continue
-            columns = [np.concatenate(parts).view(np.int64), *(np.repeat(np.array(v, np.int64), lengths) for v in (batch.column("unit").to_pylist(), sizes, needs))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "unit", "n", "need"])
+                rows.append((unit - (unit >> 63 << 64), fp, len(own), need, own[:length].tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]], ["doc_id", "unit", "fp", "n", "need", "prefix"])
 
     return run
 
 
+_PREFIXES = "doc_id long, unit long, fp long, n int, need int, prefix binary"
+
+
+def _posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each prefix."""
+    for batch in batches:
+        prefix = batch.column("prefix")
+        sizes = pc.binary_length(prefix).to_numpy() // 8
+        h = np.frombuffer(b"".join(prefix.to_pylist()), np.int64)
+        at = np.repeat(np.arange(batch.num_rows), sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(h), *[batch.column(c).take(pa.array(at)) for c in ("doc_id", "n", "need", "component")]], ["h", "u", "n", "need", "component"])
+
+
 def _alike(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for k in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in ("x", "y"))
                 both = np.sort(np.concatenate([x, y]), kind="stable")
                 keep.append(int((both[1:] == both[:-1]).sum()) * (1 + similarity) >= similarity * len(both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -84,68 +88,87 @@ def _alike(similarity: float):
     return run
 
 
+def _slots(ids: pa.Array) -> np.ndarray:
+    mixed = ids.to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(32)).astype(np.int64) % MAP_BITS
+
+
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = np.zeros(MAP_BITS, bool)
     for batch in batches:
-        seen[(batch.column("unit").to_numpy().view(np.uint64) % np.uint64(MAP_BITS)).astype(np.int64)] = True
+        seen[_slots(batch.column("doc_id"))] = True
     yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()], pa.binary())], ["bits"])
 
 
-def _listed(seen: np.ndarray):
+def _listed_sets(seen: np.ndarray, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = (batch.column("unit").to_numpy().view(np.uint64) % np.uint64(MAP_BITS)).astype(np.int64)
-            yield batch.filter(pa.array(seen[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1, pa.bool_()))
+        for batch in (part for whole in batches for part in slices(whole)):
+            at = _slots(batch.column("doc_id"))
+            batch = batch.filter(pa.array(seen[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1, pa.bool_()))
+            sets = [np.unique(shingle_hashes(t, size)).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
     return run
 
 
-def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of units whose whole sets reach the similarity.
+def similar(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose texts' whole sets reach the similarity.
 
-    A bitmap of the units in ``pairs``, of a fixed size, keeps the sets of most others from moving.
+    A bitmap of the ids in ``pairs``, of a fixed size, spares most other texts; the exact join follows.
     """
     pairs = checkpoint(pairs.select("a", "b"))
     seen = np.zeros(MAP_BITS // 8, np.uint8)
-    for row in pairs.selectExpr("explode(array(a, b)) AS unit").coalesce(16).mapInArrow(_bits, "bits binary").toLocalIterator():
+    for row in pairs.selectExpr("explode(array(a, b)) AS doc_id").coalesce(16).mapInArrow(_bits, "bits binary").toLocalIterator():
         seen |= np.frombuffer(row.bits, np.uint8)
-    picked = stored(sets.select("unit", "shingles").mapInArrow(_listed(seen), "unit long, shingles binary").dropDuplicates(["unit"]))
-    side = lambda key, name: picked.select(F.col("unit").alias(key), F.col("shingles").alias(name)).hint("merge")
+    if not seen.any():
+        return pairs
+    picked = stored(docs.mapInArrow(_listed_sets(seen, size), "doc_id long, shingles binary"))
+    side = lambda key, name: picked.select(F.col("doc_id").alias(key), F.col("shingles").alias(name)).hint("merge")
     return checkpoint(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(_alike(similarity), "a long, b long"))
 
 
+def _grouped(rows: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the component of ``key`` under ``links``, itself where it has none."""
+    parts = connected_components(links, "a", "b").withColumnRenamed("node", key)
+    return rows.join(parts, key, "left").withColumn("component", F.coalesce("component", key))
+
+
 def near_copies(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) for every row of ``docs`` (doc_id, unique and not null, and text).
 
     Texts whose sets of ``size``-word shingles have a Jaccard similarity of at least ``similarity``
     are linked; component_id is the smallest doc_id that can be reached. A shorter text is one
     shingle, and texts without words have equal, empty sets. Shingles and equal sets are
-    told by 64-bit hashes.
+    told by 64-bit hashes. ``docs`` is read several times.
     """
-    sets = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sets(size), "doc_id long, unit long, shingles binary"))
-    units, schema = sets.select("unit", "shingles"), "h long, unit long, n long, need long"
-    # any order of the shingles is right, so a share of the texts is enough to see which are common
-    sample = units.filter(F.pmod("unit", F.lit(SAMPLE)) == 0).mapInArrow(_prefixes(np.zeros(0, np.uint64), similarity), schema)
-    common = sample.groupBy("h").count().filter(F.col("count") > COMMON // SAMPLE).orderBy(F.desc("count"), "h").limit(HOTTEST)
-    hot = np.sort(np.array([r.h for r in common.collect()], np.int64).view(np.uint64))
-    posts = units.mapInArrow(_prefixes(hot, similarity), schema)
-    lead = posts.groupBy("h").agg(F.min("unit").alias("lead"), F.max("unit").alias("last")).filter("lead < last").select("h", "lead")
-    posts = stored(posts.join(lead.hint("merge"), "h").dropDuplicates(["h", "unit"]))
-    # the first text of each shingle
-    star = posts.filter("unit <> lead").groupBy(F.col("lead").alias("a"), F.col("unit").alias("b")).agg(F.count("*").alias("k"), F.first("need").alias("need")).filter("k >= need")
-    links = similar(star, sets, similarity)
-    group = connected_components(links, "a", "b").withColumnRenamed("node", "unit")
-    posts = posts.drop("lead").join(group, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
-    mixed = posts.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("h")
-    posts = stored(posts.join(mixed.hint("merge"), "h", "left_semi"))
-    one = posts.selectExpr("h", "unit AS a", "n AS na", "need AS la", "component AS ca")
-    two = posts.selectExpr("h", "unit AS b", "n AS nb", "need AS lb", "component AS cb")
-    met = one.join(two.hint("merge"), "h").filter(f"a < b AND ca <> cb AND least(na, nb) >= {similarity} * greatest(na, nb) - 1e-9")
-    met = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.first(F.least("la", "lb")).alias("need")).filter("k >= need")
-    links = links.union(similar(met, sets, similarity))
-    parts = connected_components(links, "a", "b").withColumnRenamed("node", "unit")
-    first = sets.groupBy("unit").agg(F.min("doc_id").alias("first"))
-    known = first.join(parts, "unit", "left").withColumn("component", F.coalesce("component", "unit"))
-    least = known.groupBy("component").agg(F.min("first").alias("component_id"))
-    known = known.join(least, "component").select("unit", "component_id")
-    return sets.select("doc_id", "unit").join(known, "unit").select("doc_id", "component_id")
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    with small_batches(docs.sparkSession):
+        # any order of the shingles is right, so a share of the texts is enough to see which are common
+        sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(_prefixes(size, np.zeros(0, np.uint64), similarity), _PREFIXES)
+        sample = sample.dropDuplicates(["unit"]).withColumn("component", F.lit(0)).mapInArrow(_posts, "h long, u long, n int, need int, component int")
+        common = sample.groupBy("h").count().filter(F.col("count") > COMMON // SAMPLE).orderBy(F.desc("count"), "h").limit(HOTTEST)
+        hot = np.sort(np.array([r.h for r in common.collect()], np.int64).view(np.uint64))
+        rows = stored(docs.mapInArrow(_prefixes(size, hot, similarity), _PREFIXES))
+        units = checkpoint(rows.groupBy("unit").agg(F.min("doc_id").alias("u"), F.first("fp").alias("fp")))
+        # the closest ones, by the trie
+        lead = units.groupBy("fp").agg(F.min("u").alias("lead"))
+        near = units.join(lead.hint("merge"), "fp").filter("u <> lead").select(F.col("lead").alias("a"), F.col("u").alias("b"))
+        ends = close_pairs(units.select("fp")).join(lead.select(F.col("fp").alias("fp_a"), F.col("lead").alias("p")).hint("merge"), "fp_a").join(lead.select(F.col("fp").alias("fp_b"), F.col("lead").alias("q")).hint("merge"), "fp_b")
+        links = similar(near.union(ends.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))), docs, size, similarity)
+        # then the first text of each shingle of the prefixes
+        heads = _grouped(units.select("u"), links, "u").withColumnRenamed("u", "doc_id")
+        posts = rows.select("doc_id", "n", "need", "prefix").join(heads, "doc_id").mapInArrow(_posts, "h long, u long, n int, need int, component long").repartition("h")
+        met = posts.groupBy("h").agg(F.min(F.struct("u", "component")).alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("h", F.col("f.u").alias("lead"), F.col("f.component").alias("led"))
+        posts = stored(posts.join(met.hint("merge"), "h"))
+        star = posts.filter("component <> led").groupBy(F.col("lead").alias("a"), F.col("u").alias("b")).agg(F.count("*").alias("k"), F.first("need").alias("need")).filter("k >= need")
+        links = links.union(similar(star, docs, size, similarity))
+        posts = _grouped(posts.select("h", "u", "n", "need"), links, "u")
+        mixed = posts.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("h")
+        posts = stored(posts.join(mixed.hint("merge"), "h", "left_semi"))
+        one = posts.selectExpr("h", "u AS a", "n AS na", "need AS la", "component AS ca")
+        two = posts.selectExpr("h", "u AS b", "n AS nb", "need AS lb", "component AS cb")
+        pairs = one.join(two.hint("merge"), "h").filter(f"a < b AND ca <> cb AND least(na, nb) >= {similarity} * greatest(na, nb) - 1e-9")
+        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("k"), F.first(F.least("la", "lb")).alias("need")).filter("k >= need")
+        links = links.union(similar(pairs, docs, size, similarity))
+        known = checkpoint(_grouped(units.select("unit", "u"), links, "u").select("unit", F.col("component").alias("component_id")))
+    return rows.select("doc_id", "unit").join(known, "unit").select("doc_id", "component_id")

@@ -43,7 +43,11 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
 
 def fingerprint(text: str | None, size: int = 3) -> int:
     """Signed 64-bit SimHash of the XXH64 values (seed 42) of all word shingles of a text."""
-    hashes = shingle_hashes(text, size)
+    return packed(shingle_hashes(text, size))
+
+
+def packed(hashes: np.ndarray) -> int:
+    """The signed fingerprint of hashes: a bit is 1 if set in over half of them."""
     if not len(hashes):
         return 0
     bits = np.zeros(64, np.int64)
