@@ -12,19 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ticketlens.plans.shared import checkpoint, chunks_for, prefix_sum
+from ticketlens.plans.shared import checkpoint, numbered
 
 INDEX_SHARE = 0.2
 ALWAYS_INDEXED = 2
 
 
-def ordered_number(df: DataFrame, order: str, out: str) -> DataFrame:
-    """Adds the 0-based place of each row in the order of a unique long column, without one window over all rows."""
-    n, low, high = df.agg(F.count("*"), F.min(order), F.max(order)).first()
-    width = max(1, ((high or 0) - (low or 0) + 1) // chunks_for(n))
-    return prefix_sum(df, [], F.lit(1), [order], out, F.floor((F.col(order) - F.lit(low or 0)) / F.lit(width)))
-
-
 def token_counts(t: DataFrame) -> DataFrame:
     """(token, df): in how many tickets each token occurs."""
     return t.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
@@ -87,7 +80,7 @@ def cluster(t: DataFrame) -> DataFrame:
     rows = checkpoint(t.select("row_id", "category", "tokens"))
     sets = _signatures(rows)
     pairs = checkpoint(_pairs(sets))
-    leaders = checkpoint(ordered_number(_leaders(sets, pairs), "sid", "place"))
+    leaders = checkpoint(numbered(_leaders(sets, pairs), ["sid"], "place"))
     see = pairs.filter("b_sees_a").select(F.col("b").alias("sid"), F.col("a").alias("leader")).union(pairs.filter("a_sees_b").select(F.col("a").alias("sid"), F.col("b").alias("leader"))).union(sets.select("sid", F.col("sid").alias("leader")))
     lead = leaders.join(sets, "sid").select(F.col("sid").alias("leader"), "place", F.col("tokens").alias("l_tokens"), F.col("indexed").alias("l_indexed"))
     options = see.join(lead, "leader")
@@ -98,7 +91,7 @@ def cluster(t: DataFrame) -> DataFrame:
     met = F.filter("tokens", lambda x: F.array_contains("l_indexed", x))
     picked = picked.select("row_id", "place", "leader", (both / (F.size("tokens") + F.size("l_tokens") - both)).alias("near"), F.size(met).alias("met"), F.array_position("tokens", F.get(met, F.lit(0))).alias("first"))
     best = picked.groupBy("row_id").agg(F.max_by("place", F.struct("near", "met", -F.col("first"), -F.col("leader"))).alias("place"))
-    solo = ordered_number(rows.select("row_id", F.size("tokens").alias("k")), "row_id", "i").filter("k = 0").select("row_id", F.concat(F.lit("solo-"), F.col("i").cast("string")).alias("cluster_id"))
+    solo = numbered(rows.select("row_id", F.size("tokens").alias("k")), ["row_id"], "i").filter("k = 0").select("row_id", F.concat(F.lit("solo-"), F.col("i").cast("string")).alias("cluster_id"))
     ids = best.select("row_id", F.concat(F.lit("p-"), F.col("place").cast("string")).alias("cluster_id")).union(solo)
     return t.join(ids, "row_id")
 

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ticketlens.functions.regex import SPACE, known, round_half_up, trim
-from ticketlens.operators.cluster import ordered_number
 from ticketlens.operators.graph import connected_components
 from ticketlens.operators.problems import by_name, ranked
 from ticketlens.operators.weekly import available_weeks, calendar_weeks, comparable
-from ticketlens.plans.shared import checkpoint
+from ticketlens.plans.shared import checkpoint, numbered
 
 THRESHOLDS = (0.5, 0.6, 0.7, 0.8)
 VARIANTS = ("R0", "R1", "R2")
@@ -141,7 +140,7 @@ def cosine_edges(texts: DataFrame, least: float = THRESHOLDS[0]) -> DataFrame:
 def families(t: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
     """(row_id, family): components of the edges at a threshold, numbered by their first row; null for a ticket alone."""
     parts = checkpoint(connected_components(edges.filter(F.col("cos") >= threshold - SLACK)))
-    named = ordered_number(parts.select("component").distinct(), "component", "family")
+    named = numbered(parts.select("component").distinct(), ["component"], "family")
     return t.select("row_id").join(parts.join(named, "component").select(F.col("node").alias("row_id"), "family"), "row_id", "left")
 
 

@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.plans.shared import checkpoint
+from ticketlens.plans.shared import checkpoint, spread_join
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node hands its larger neighbours to the smallest node that it sees."""
     both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return spread_join(both.filter("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node hands its smaller neighbours, and itself, to the smallest of them. Edges have a > b."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = spread_join(edges, least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
@@ -26,8 +26,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """(node, component) for every node of at least one edge; component is its smallest node.
 
     Null ends and loops are ignored; repeated edges and either direction mean the same. The
-    number of edges never grows from round to round, each round's edges are checkpointed, and
-    the driver sees a count and a checksum only.
+    number of edges never grows from round to round, each round's edges are checkpointed, a node with
+    a large share of the edges is spread over tasks, and the driver sees counts and a checksum only.
     """
     a, b = F.col(src), F.col(dst)
     now = checkpoint(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter(a.isNotNull() & b.isNotNull() & (a != b)).distinct())
@@ -37,7 +37,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if mark == seen or not mark[0]:
             break
         seen = mark
-        now = checkpoint(_small_star(_large_star(now)))
+        now = checkpoint(_small_star(checkpoint(_large_star(now))))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     ends = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))

@@ -74,3 +74,39 @@ def prefix_sum(df: DataFrame, by: list[str], value: Column, order: list[str], ou
 
 def chunks_for(rows: int, per_chunk: int = 20_000) -> int:
     return max(1, -(-rows // per_chunk))
+
+
+def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Adds the 0-based place of each row in an order, without one window over all rows.
+
+    Spark's range partitioner deals the rows into parts of about equal size, whatever the values
+    are; rows equal in ``order`` stay together, so ``order`` should tell them apart where they may be many.
+    """
+    parts = chunks_for(df.count())
+    ranged = checkpoint(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    return prefix_sum(ranged, [], F.lit(1), order, out, F.col("_part")).drop("_part")
+
+
+#: A key with more than this share of the rows is spread over SPREAD tasks; there are at most 1 / HOT_SHARE of them.
+HOT_SHARE, SPREAD, HOT_ROWS = 0.001, 64, 1_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has at most one row a key, by a key that any share of ``left`` may hold.
+
+    Keys over ``HOT_SHARE`` of the rows are found by a count that is summed before it moves. Their
+    rows are salted by a hash of the whole row, their rows of ``right`` repeated for each salt, so a key of
+    any size is split over tasks. ``left`` is read twice and should be a stored table; null keys never match.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("_k"))
+    counts = counts.filter(F.col(key).isNotNull())
+    total, most = counts.agg(F.coalesce(F.sum("_k"), F.lit(0)), F.coalesce(F.max("_k"), F.lit(0))).first()
+    least = max(HOT_ROWS, int(total * HOT_SHARE))
+    if most <= least:
+        return left.join(right, key, how)
+    hot = checkpoint(counts.filter(F.col("_k") > least).select(key, F.lit(True).alias("_hot")))
+    columns = left.columns
+    salted = left.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*columns), F.lit(SPREAD))).otherwise(F.lit(0).cast("long"))).drop("_hot")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    repeated = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
