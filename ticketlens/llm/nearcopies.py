@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ticketlens.llm.encoder import slices
 from ticketlens.llm.simhash import close_pairs, packed, shingle_hashes
 from ticketlens.operators.graph import connected_components
-from ticketlens.plans.shared import checkpoint, small_batches, stored
+from ticketlens.plans.shared import checkpoint, small_batches, spread_join, stored
 
 SIZE = 5
 SIMILARITY = 0.8
@@ -171,4 +171,4 @@ def near_copies(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARIT
         pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("k"), F.first(F.least("la", "lb")).alias("need")).filter("k >= need")
         links = links.union(similar(pairs, docs, size, similarity))
         known = checkpoint(_grouped(units.select("unit", "u"), links, "u").select("unit", F.col("component").alias("component_id")))
-    return rows.select("doc_id", "unit").join(known, "unit").select("doc_id", "component_id")
+    return spread_join(rows.select("doc_id", "unit"), known, "unit").select("doc_id", "component_id")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ticketlens.llm.rows import documents
 from ticketlens.operators.graph import connected_components
-from ticketlens.plans.shared import checkpoint
+from ticketlens.plans.shared import checkpoint, spread_join
 
 MAX_BITS = 2
 STEP = 4
@@ -129,7 +129,7 @@ def near_duplicates(docs: DataFrame, budget: int = MAX_BITS) -> DataFrame:
     known = known.join(parts.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = known.groupBy("component").agg(F.min("first").alias("component_id"))
     known = known.join(least, "component").select("fp", "component_id")
-    return marked.join(known, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return spread_join(marked, known, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
