@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlens.llm.encoder import encoder, slices
-from ticketlens.llm.rows import documents
+from ticketlens.llm.rows import documents, keyed
 from ticketlens.llm.tokens import TOKENIZER, tokenizer_path
 from ticketlens.plans.shared import checkpoint, shared_dir
 
@@ -92,20 +92,28 @@ class Rollup:
         return sums.filter("n_docs <> 0 OR n_tokens <> 0")
 
 
-def op6_counts(spark, sf_dir: str) -> DataFrame:
-    """All documents go in; later copies of a text go out; English moves to a version that counts an end id.
+def maintained(docs: DataFrame, rollup: Rollup) -> DataFrame:
+    """Totals after all of ``docs`` went in, later copies of a text out, and English to a version that counts an end id.
 
-    Each batch is sent twice. Equal texts are told by two 64-bit hashes.
+    ``docs`` needs doc_id, text, source, lang. Of rows with equal texts the first by doc_id stays (null first,
+    then by a hash of source and lang); rows are told apart by their own number, so null and repeated doc_ids count
+    each by themselves. A null text equals an empty one and has no tokens; null sources and languages are keys of their own;
+    an empty table gives no totals; other columns are ignored. Equal texts are told by two 64-bit hashes.
+    Each batch is sent twice and counts once.
     """
-    docs = documents(spark, sf_dir)
-    counts = checkpoint(counted(docs))
+    rows = keyed(docs, F.col("source"), F.col("lang"))
+    numbered = rows.select(F.col("_rid").alias("doc_id"), "text", "source", "lang")
+    counts = checkpoint(counted(numbered))
     text = F.coalesce(F.col("text"), F.lit(""))
-    marks = docs.select("doc_id", F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b"))
-    first = marks.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"))
+    marks = numbered.select("doc_id", F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b"))
+    first = checkpoint(marks.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
     gone = counts.join(first, "doc_id", "left_anti")
     english = counts.join(first, "doc_id", "left_semi").filter("lang = 'en'")
     revised = english.withColumns({"tokenizer": F.lit(f"{TOKENIZER}+end"), "n_tokens": F.col("n_tokens") + 1})
-    rollup = Rollup(spark)
-    for batch, rows in (("load", signed(counts, 1)), ("copies", signed(gone, -1)), ("english", revision(english, revised))) * 2:
-        rollup.commit(batch, rows)
+    for batch, signs in (("load", signed(counts, 1)), ("copies", signed(gone, -1)), ("english", revision(english, revised))) * 2:
+        rollup.commit(batch, signs)
     return rollup.totals()
+
+
+def op6_counts(spark, sf_dir: str) -> DataFrame:
+    return maintained(documents(spark, sf_dir), Rollup(spark))

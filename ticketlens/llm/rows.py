@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.plans.shared import checkpoint, chunks_for, prefix_sum
+from ticketlens.plans.shared import checkpoint, numbered
 
 SPACES = "[\\x20\\x09-\\x0D]+"
 
@@ -29,15 +29,25 @@ def keyed(docs: DataFrame, *columns: Column) -> DataFrame:
     """``_rid``, doc_id, text and ``columns``: ``_rid`` is unique and ordered as doc_id (null first).
 
     Where doc_id is unique and never null, as it should be, ``_rid`` is doc_id itself and nothing
-    moves. Else rows are numbered by (doc_id, text hash); rows equal in both are interchangeable.
-    The numbers are then held in a checkpoint, as later passes must see the same ones.
+    moves. Else rows are numbered by doc_id, then hashes of the text and of ``columns``; rows equal in all are
+    interchangeable. The numbers are then held in a checkpoint, as later passes must see the same ones. Any
+    share of the rows may have one doc_id or none.
     """
     picked = docs.select("doc_id", "text", *columns)
     rows, distinct = docs.select("doc_id").groupBy("doc_id").count().agg(F.sum("count"), F.count("doc_id")).first()
     if (rows or 0) == distinct:
         return picked.select(F.col("doc_id").cast("long").alias("_rid"), "*")
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    width = max(1, ((high or 0) - (low or 0) + 1) // chunks_for(rows))
-    chunk = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1))
-    hashed = picked.withColumn("_h", F.xxhash64("text"))
-    return checkpoint(prefix_sum(hashed, [], F.lit(1), ["doc_id", "_h"], "_rid", chunk).drop("_h"))
+    order = {"_h": F.xxhash64("text"), "_g": F.xxhash64(*columns) if columns else F.lit(0), "_u": F.monotonically_increasing_id()}
+    told = docs.select("doc_id", "text", *columns, *[c.alias(n) for n, c in order.items()])
+    return checkpoint(numbered(told, ["doc_id", *order], "_rid").drop(*order))
+
+
+def folded(docs: DataFrame) -> Column:
+    """All columns of ``docs`` but doc_id and text as one struct ``_extra``, so that no name clashes with an operator's own."""
+    extra = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return (F.struct(*extra) if extra else F.lit(None).cast("int")).alias("_extra")
+
+
+def unfolded(rows: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of ``docs`` again; those named in ``new`` take its values if they are there."""
+    return rows.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col(c) if c in ("doc_id", "text") else F.col("_extra").getField(c).alias(c) for c in docs.columns])
