@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ticketlens.llm.decontam import without_contaminated
 from ticketlens.llm.mixing import mixed_documents
 from ticketlens.llm.nearcopies import near_copies
-from ticketlens.llm.rows import documents, keyed
+from ticketlens.llm.rows import documents, folded, keyed, unfolded
 from ticketlens.llm.rules import passed
 from ticketlens.llm.tokens import read_tokens, write_tokens
 from ticketlens.plans.shared import shared_dir
@@ -27,10 +27,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the first, of each group of near copies: five-word shingles, Jaccard similarity of 0.8."""
-    rows = keyed(docs, *[F.col(c) for c in docs.columns if c not in ("doc_id", "text")])
+    rows = keyed(docs, folded(docs))
     groups = near_copies(rows.select(F.col("_rid").alias("doc_id"), "text"))
     first = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_rid"))
-    return rows.join(first, "_rid", "left_semi").select(*docs.columns)
+    return unfolded(rows.join(first, "_rid", "left_semi"), docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
