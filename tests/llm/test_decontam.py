@@ -1,6 +1,9 @@
 import random
+import time
 
-from ticketlens.llm.decontam import Items, contaminated, edit_distance, edits_allowed, plain
+import numpy as np
+
+from ticketlens.llm.decontam import Items, closest, contaminated, edit_distance, edits_allowed, plain, without_contaminated
 
 
 def slow(a, b):
@@ -72,8 +75,6 @@ def test_exact_copies_are_always_found():
     rng = random.Random(2)
     words = [[f"v{rng.randrange(500)}" for _ in range(n)] for n in (1, 2, 5, 17, 40, 59)]
     items = Items(list(range(6)), words)
-    import numpy as np
-
     for t, x in enumerate(items.symbols):
         text = np.array([0, 0, *x, 0], np.uint64)
         assert (0, t, 2, 0) in items.search(text, np.array([len(text)]))
@@ -93,3 +94,63 @@ def test_spaces_of_other_kinds_split_items_and_texts(spark):
     got = {(r.doc_id, r.item_id, r.distance) for r in contaminated(docs, bench).collect()}
     assert {(d, d, 0) for d, _ in texts} <= got
     assert {(d, t) for d, t, _ in got} <= brute(texts, items)
+
+
+def test_closest_equals_looking_at_all_starts():
+    rng = random.Random(6)
+    for _ in range(60):
+        item = rng.choices(range(1, 6), k=rng.randint(3, 12))
+        text = [x for _ in range(8) for x in (*rng.choices(range(1, 6), k=rng.randint(0, 9)), *edited(item, rng.randint(0, 3), rng, [1, 2, 3]))]
+        starts = sorted(rng.sample(range(len(text)), k=len(text) * 2 // 3))
+        most, size = rng.randint(0, 6), len(item)
+        distance = lambda s, item=item, text=text, size=size: edit_distance(item, text[s : s + size])
+        want = []
+        for d, s in sorted((distance(s), s) for s in starts):
+            if d <= most and all(abs(s - x) >= size for x, _ in want):
+                want.append((s, d))
+        assert closest(starts, distance, most, size) == want
+
+
+def test_recall_on_long_items():
+    rng, found, total = random.Random(12), 0, 0
+    vocabulary = [f"w{i}" for i in range(3000)]
+    for n in (60, 150, 400, 1000):
+        words = [rng.choices(vocabulary, k=n) for _ in range(8)]
+        items = Items(list(range(len(words))), words)
+        for t, x in enumerate(words):
+            for share in (0, 0.5, 0.9):
+                part = edited(x, int(edits_allowed(n, 0.8) * share), rng, vocabulary)
+                text = [items.vocabulary.get(w, 0) for w in (*rng.choices(vocabulary, k=80), *part, *rng.choices(vocabulary, k=80))]
+                if edit_distance(items.symbols[t], text[80 : 80 + n]) <= items.allowed[t]:
+                    total += 1
+                    found += any(f[1] == t for f in items.search(np.array(text, np.uint64), np.array([len(text)])))
+    assert total > 80 and found >= 0.95 * total, (found, total)
+
+
+def test_long_repeating_texts_take_linear_time():
+    rng = random.Random(3)
+    for n, times in ((300, 100), (1000, 100)):
+        items = Items([0], [[f"v{rng.randrange(5000)}" for _ in range(n)]])
+        text, began = np.array(items.symbols[0] * times, np.uint64), time.time()
+        assert items.search(text, np.array([len(text)])) == [(0, 0, n * i, 0) for i in range(times)]
+        assert time.time() - began < 20
+
+
+def test_unrelated_windows_are_rarely_candidates():
+    rng = np.random.default_rng(5)
+    items = Items(list(range(12)), [[f"v{i}" for i in rng.integers(0, 400, n)] for n in (10, 20, 40, 60) for _ in range(3)])
+    text = rng.integers(1, len(items.vocabulary) + 1, 4000).astype(np.uint64)
+    for t in range(12):
+        starts = np.arange(0, 3900, 7)
+        size = np.full(len(starts), items.sizes[t])
+        assert (items.embed(text, starts, size, size) == items.item_marks[t]).any(1).mean() < 0.05
+
+
+def test_stage_with_nulls_and_clashing_columns(spark):
+    item = "one two three four five six seven eight nine ten"
+    rows = [(1, f"so {item} it", "a", 5), (None, None, "b", 6), (2, "", "c", None), (2, "clean text of no note", "d", 7), (None, item, "e", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string, distance int")
+    bench = spark.createDataFrame([(1, item), (None, None)], "item_id long, text string")
+    got = without_contaminated(docs, bench)
+    assert got.columns == docs.columns and {r.item_id for r in got.collect()} == {"b", "c", "d"}
+    assert without_contaminated(docs, bench.limit(0)).count() == 5

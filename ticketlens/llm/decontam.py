@@ -11,8 +11,10 @@ windows around such a piece are embedded.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,6 +29,11 @@ from ticketlens.llm.rows import documents
 SIMILARITY = 0.8
 REPETITIONS = 48
 SAMPLED = 3
+#: Steps are sampled from the first WALKED times a window's words; a walk takes about twice its words to end.
+WALKED, FARTHEST = 1.6, 320
+#: Of items of GRID words or more only every (words / GRID)-th window is embedded, of very long ones every WIDEST-th.
+GRID, WIDEST = 60, 6
+EMBEDDED = 20_000
 MAX_ITEM_BYTES = 32_000_000
 _NOT_WORD = re.compile(r"[\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -81,7 +88,7 @@ class Items:
         self.allowed = [edits_allowed(len(x), self.similarity) for x in self.symbols]
         longest = max(map(len, self.symbols), default=0)
         rng = np.random.default_rng(self.seed)
-        self.walk = rng.integers(0, 1 << 63, (3 * longest + 1, self.repetitions), np.uint64) * np.uint64(2) + np.uint64(1)
+        self.walk = rng.integers(0, 1 << 63, (min(int(WALKED * longest), FARTHEST) + 2, self.repetitions), np.uint64) * np.uint64(2) + np.uint64(1)
         # the steps that a repetition samples, as shares of the walk, so that they fit every length
         self.shares = rng.random((SAMPLED, self.repetitions))
         # pieces of which one survives: the first words of each, by how many words are looked at
@@ -98,16 +105,17 @@ class Items:
             seen = np.zeros(1 << 20, bool)
             seen[keys >> np.uint64(44)] = True
             self.tables[n] = (seen, keys)
-        sizes = np.array([len(x) for x in self.symbols], np.int64)
+        self.sizes = np.array([len(x) for x in self.symbols], np.int64)
         flat = np.concatenate([np.array(x, np.uint64) for x in self.symbols]) if self.symbols else np.zeros(0, np.uint64)
-        marks = self.embed(flat, np.cumsum(sizes) - sizes, sizes, sizes)
-        order = np.argsort(marks, axis=None, kind="stable")
-        self.marks, self.mark_item = marks.ravel()[order], (order // self.repetitions).astype(np.int64)
+        self.item_marks = self.embed(flat, np.cumsum(self.sizes) - self.sizes, self.sizes, self.sizes)
 
     def embed(self, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, there: np.ndarray) -> np.ndarray:
         """A hash of the sampled steps for each window (row) and repetition (column).
 
-        ``sizes`` are the windows' lengths, ``there`` how much of them lies inside the text.
+        ``sizes`` are the windows' lengths, ``there`` how much of them lies inside the text. Half of the
+        repetitions walk from the window's end backwards. Steps are sampled from the part of the walk in
+        which a window of this length has hardly ended, and at most from the first FARTHEST steps, since
+        walks of strings with many edits drift apart with their length.
         """
         n, reps = len(starts), self.repetitions
         out = np.zeros((n, reps), np.uint64)
@@ -115,11 +123,13 @@ class Items:
             return out
         at = np.zeros((n, reps), np.int64)
         out += sizes[:, None].astype(np.uint64) * _MIX + np.arange(reps, dtype=np.uint64)[None, :]
-        picked = [np.minimum((self.shares[m][None, :] * 3 * sizes[:, None]).astype(np.int64), 3 * sizes[:, None] - 1) for m in range(SAMPLED)]
-        last = np.maximum.reduce(picked)
-        for step in range(int(last.max()) + 1):
+        reach = np.clip((WALKED * sizes).astype(np.int64), 1, FARTHEST)[:, None]
+        back = (np.arange(reps) % 2 == 1)[None, :]
+        begin, turn = np.where(back, (starts + there - 1)[:, None], starts[:, None]), np.where(back, -1, 1)
+        picked = [(self.shares[m][None, :] * reach).astype(np.int64) for m in range(SAMPLED)]
+        for step in range(int(np.maximum.reduce(picked).max()) + 1):
             inside = at < there[:, None]
-            now = np.where(inside, symbols[starts[:, None] + np.minimum(at, there[:, None] - 1)], np.uint64(1 << 40))
+            now = np.where(inside, symbols[begin + turn * np.minimum(at, there[:, None] - 1)], np.uint64(1 << 40))
             for m in range(SAMPLED):
                 taken = picked[m] == step
                 if taken.any():
@@ -127,56 +137,138 @@ class Items:
             at += (((now + np.uint64(1)) * self.walk[step][None, :]) >> np.uint64(63)).astype(np.int64)
         return out
 
-    def possible(self, t: int, symbols: np.ndarray, starts: np.ndarray, there: np.ndarray) -> np.ndarray:
-        """Which windows hold enough of an item's words: every word that is missing costs an edit."""
-        own = np.zeros(len(self.vocabulary) + 2, bool)
+    def _near(self, symbols: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(item, first, last) starts of the runs of windows around a surviving piece, run by run, not overlapping."""
+        found: dict[int, list[tuple[int, int]]] = {}
+        for n, (seen, keys) in self.tables.items():
+            got = grams(symbols, n)
+            for p in np.flatnonzero(seen[got >> np.uint64(44)]).tolist():
+                for t, a in self.pieces[n].get(int(got[p]), ()):
+                    found.setdefault(t, []).append((p, a))
+        for t, hits in found.items():
+            p, a = np.array(hits, np.int64).T
+            text = np.searchsorted(ends, p, "right")
+            low, high = np.maximum(p - a - self.allowed[t], np.where(text > 0, ends[text - 1], 0)), np.minimum(p - a + self.allowed[t], ends[text] - 1)
+            good = low <= high
+            order = np.lexsort((high[good], low[good]))
+            low, high, text = low[good][order], np.maximum.accumulate(high[good][order]), text[good][order]
+            first = np.ones(len(low), bool)  # a run ends where the next begins beyond it, or in another text
+            first[1:] = (low[1:] > high[:-1] + 1) | (text[1:] != text[:-1])
+            if len(low):
+                yield t, low[first], high[np.append(np.flatnonzero(first)[1:] - 1, len(low) - 1)]
+
+    def possible(self, t: int, symbols: np.ndarray, low: np.ndarray, high: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Starts, of runs from low to high, of windows with enough of an item's words: every word that is missing costs an edit.
+
+        Words are counted by running sums over each run, so cost and memory follow the runs' length.
+        """
+        own, size = np.zeros(len(self.vocabulary) + 2, bool), len(self.symbols[t])
         own[self.symbols[t]] = True
-        steps = np.arange(int(there.max(initial=0)))
-        inside = own[symbols[np.minimum(starts[:, None] + steps[None, :], len(symbols) - 1)]] & (steps[None, :] < there[:, None])
-        return inside.sum(1) >= len(self.symbols[t]) - self.allowed[t]
+        spans = high - low + 1 + size
+        begins = np.cumsum(spans) - spans
+        place = np.repeat(low - begins, spans) + np.arange(int(spans.sum()))
+        stop = np.repeat(ends[np.searchsorted(ends, low, "right")], spans)
+        sums = np.concatenate([[0], np.cumsum(own[symbols[np.minimum(place, len(symbols) - 1)]] & (place < stop), dtype=np.int64)])
+        is_start = place < np.repeat(high + 1, spans)
+        at = np.flatnonzero(is_start)
+        return place[at[sums[at + size] - sums[at] >= size - self.allowed[t]]]
 
     def search(self, symbols: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(text, item, start, distance) of all windows within their item's distance.
+        """(text, item, start, distance) of windows within their item's distance; of overlapping ones the closest, then the first.
 
-        ``symbols`` holds several texts in a row, which end at ``ends``.
+        ``symbols`` holds several texts in a row, which end at ``ends``. Of long items one window
+        of a few is embedded; the exact search covers all starts within the allowed edits of a candidate.
         """
-        near: dict[int, set[int]] = {}
-        for n, (seen, keys) in self.tables.items():
-            got = grams(symbols, n)
-            for p in np.flatnonzero(seen[got >> np.uint64(44)]).tolist():
-                for t, a in self.pieces[n].get(int(got[p]), ()):
-                    k, text = self.allowed[t], int(np.searchsorted(ends, p, "right"))
-                    low, high = int(ends[text - 1]) if text else 0, int(ends[text])
-                    near.setdefault(t, set()).update(range(max(low, p - a - k), min(high - 1, p - a + k) + 1))
-        windows: set[tuple[int, int, int]] = set()
-        for t, starts in near.items():
-            size = len(self.symbols[t])
-            at = np.array(sorted(starts), np.int64)
-            there = np.minimum(size, ends[np.searchsorted(ends, at, "right")] - at)
-            good = self.possible(t, symbols, at, there)
-            windows.update((s, size, n) for s, n in zip(at[good].tolist(), there[good].tolist(), strict=True))
-        if not windows:
+        starts: dict[int, np.ndarray] = {}
+        picked, items = [], []
+        for t, low, high in self._near(symbols, ends):
+            at = self.possible(t, symbols, low, high, ends)
+            if not len(at):
+                continue
+            starts[t], step = at, min(max(1, len(self.symbols[t]) // GRID), WIDEST)
+            shown = at[np.concatenate([[True], (at[1:] // step != at[:-1] // step) | (at[1:] > at[:-1] + step)])] if step > 1 else at
+            picked.append(shown)
+            items.append(np.full(len(shown), t))
+        if not picked:
             return []
-        found_by: dict[int, set[tuple[int, int]]] = {}
-        listed = sorted(windows)
-        for at in range(0, len(listed), 20_000):
-            part = np.array(listed[at : at + 20_000], np.int64)
-            marks = self.embed(symbols, part[:, 0], part[:, 1], part[:, 2])
-            left, right = np.searchsorted(self.marks, marks, "left"), np.searchsorted(self.marks, marks, "right")
-            for w, r in zip(*np.nonzero(right > left), strict=True):
-                for j in range(left[w, r], right[w, r]):
-                    found_by.setdefault(int(self.mark_item[j]), set()).add((int(part[w, 0]), int(part[w, 2])))
-        pairs = []
-        for t, some in found_by.items():
-            table = np.array(sorted(some), np.int64)
-            good = self.possible(t, symbols, table[:, 0], table[:, 1])
-            pairs += [(s, n, t) for s, n in table[good].tolist()]
-        found = []
-        for s, size, t in sorted(pairs):
-            d = edit_distance(self.symbols[t], symbols[s : s + size].tolist())
-            if d <= self.allowed[t]:
-                found.append((int(np.searchsorted(ends, s, "right")), t, s, d))
-        return found
+        at, item = np.concatenate(picked), np.concatenate(items)
+        sizes = self.sizes[item]
+        order = np.lexsort((at, item, sizes))  # windows of one length walk together
+        at, item, sizes = at[order], item[order], sizes[order]
+        there = np.minimum(sizes, ends[np.searchsorted(ends, at, "right")] - at)
+        near = np.zeros(len(at), bool)
+        for part in range(0, len(at), EMBEDDED):
+            cut = slice(part, part + EMBEDDED)
+            near[cut] = (self.embed(symbols, at[cut], sizes[cut], there[cut]) == self.item_marks[item[cut]]).any(1)
+        found, at, item = [], at[near], item[near]
+        for t in np.unique(item).tolist():
+            mine, size, some = np.sort(at[item == t]), len(self.symbols[t]), starts[t]
+            beside = np.searchsorted(mine, some)
+            away = np.minimum(np.abs(some - mine[np.minimum(beside, len(mine) - 1)]), np.abs(some - mine[np.maximum(beside - 1, 0)]))
+            some = some[away <= max(self.allowed[t], WIDEST)]
+            text = np.searchsorted(ends, some, "right")
+            words = symbols[int(some[0]) : int(some[-1]) + size].tolist() if len(some) * size > some[-1] - some[0] + size else None
+            for one in np.unique(text).tolist():
+                stop = int(ends[one])
+
+                def distance(s: int, t=t, size=size, stop=stop, words=words, first=int(some[0])) -> int:
+                    last = min(s + size, stop)
+                    return edit_distance(self.symbols[t], words[s - first : last - first] if words is not None else symbols[s:last].tolist())
+
+                found += [(one, t, s, d) for s, d in closest(some[text == one].tolist(), distance, self.allowed[t], size)]
+        return sorted(found)
+
+
+def closest(starts: list[int], distance: Callable[[int], int], most: int, size: int) -> list[tuple[int, int]]:
+    """(start, distance) within ``most``: again and again the closest, then first, that keeps ``size`` away from those before.
+
+    Best first: a shift by one word changes a window's distance by 2 at most, so the ends of a stretch of
+    starts bound what lies between them, and a stretch is looked into only if that could be next.
+    """
+    known: dict[int, int] = {}
+    taken: list[int] = []
+    heap: list[tuple[int, int, int, int]] = []
+
+    def clear(low: int, high: int) -> bool:
+        """Whether some start from low to high keeps away from those taken."""
+        i = bisect.bisect_right(taken, low)
+        if i and low - taken[i - 1] < size:
+            low = taken[i - 1] + size
+        if i < len(taken) and taken[i] - high < size:
+            high = taken[i] - size
+        return low <= high
+
+    def value(i: int) -> int:
+        if i not in known:
+            known[i] = distance(starts[i])
+            heapq.heappush(heap, (known[i], starts[i], i, i))
+        return known[i]
+
+    def stretch(i: int, j: int) -> None:
+        if j - i > 1:
+            least = max(0, -(-(value(i) + value(j) - 2 * (starts[j] - starts[i])) // 2))
+            if least <= most:
+                heapq.heappush(heap, (least, starts[i], i, j))
+
+    if starts:
+        value(0)
+        value(len(starts) - 1)
+        stretch(0, len(starts) - 1)
+    out = []
+    while heap:
+        d, s, i, j = heapq.heappop(heap)
+        if d > most:
+            break
+        if i == j:
+            if clear(s, s):
+                bisect.insort(taken, s)
+                out.append((s, d))
+        elif clear(starts[i + 1], starts[j - 1]):
+            k = (i + j) // 2
+            value(k)
+            stretch(i, k)
+            stretch(k, j)
+    return out
 
 
 def grams(symbols: np.ndarray, n: int) -> np.ndarray:
@@ -193,18 +285,6 @@ def grams(symbols: np.ndarray, n: int) -> np.ndarray:
     return np.where(known, out | np.uint64(1), np.uint64(0))
 
 
-def best_matches(found: list[tuple[int, int, int, int]], sizes: list[int]) -> list[tuple[int, int, int, int]]:
-    """Of overlapping windows of one text and item the closest, then the first."""
-    kept: list[tuple[int, int, int, int]] = []
-    spans: dict[tuple[int, int], list[int]] = {}
-    for text, item, start, d in sorted(found, key=lambda x: (x[0], x[1], x[3], x[2])):
-        taken = spans.setdefault((text, item), [])
-        if all(abs(start - s) >= sizes[item] for s in taken):
-            taken.append(start)
-            kept.append((text, item, start, d))
-    return kept
-
-
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("distance", pa.int64())])
 
 
@@ -228,7 +308,7 @@ def _searcher(items: Items):
                 keep = np.flatnonzero(ids >= 0)
                 edges = lists.offsets.to_numpy().astype(np.int64)
                 ends = np.searchsorted(keep, edges[1:])
-                found = best_matches(items.search(ids[keep].astype(np.uint64), ends), [len(x) for x in items.symbols])
+                found = items.search(ids[keep].astype(np.uint64), ends)
                 if not found:
                     continue
                 docs = part.column("doc_id").cast(pa.int64()).to_pylist()
