@@ -91,14 +91,15 @@ def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
 HOT_SHARE, SPREAD, HOT_ROWS = 0.001, 64, 1_000
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """``left`` joined with ``right``, which has at most one row a key, by a key that any share of ``left`` may hold.
 
     Keys over ``HOT_SHARE`` of the rows are found by a count that is summed before it moves. Their
     rows are salted by a hash of the whole row, their rows of ``right`` repeated for each salt, so a key of
-    any size is split over tasks. ``left`` is read twice and should be a stored table; null keys never match.
+    any size is split over tasks. Null keys never match. ``counts`` (key, _k) says how many rows of ``left`` each
+    key that matters has; without it ``left`` is read twice and should be a stored table.
     """
-    counts = left.groupBy(key).agg(F.count("*").alias("_k"))
+    counts = left.groupBy(key).agg(F.count("*").alias("_k")) if counts is None else counts
     counts = counts.filter(F.col(key).isNotNull())
     total, most = counts.agg(F.coalesce(F.sum("_k"), F.lit(0)), F.coalesce(F.max("_k"), F.lit(0))).first()
     least = max(HOT_ROWS, int(total * HOT_SHARE))
