@@ -1,8 +1,26 @@
+import hashlib
 import random
 
 import numpy as np
 
-from ticketlens.llm.repeats import brute_force, op10_repeats, runs_of, without_repeats
+from ticketlens.llm.repeats import WINDOW, op10_repeats, runs_of, shared_lengths, without_repeats
+
+
+def brute_force(rows: list[tuple[int, str | None]], window: int = WINDOW) -> dict[int, tuple[int, int, str]]:
+    """The contract word by word, for small tests."""
+    seen: set[tuple[str, ...]] = set()
+    out = {}
+    for doc, text in sorted(rows):
+        words = (text or "").encode().split()
+        gone = [False] * len(words)
+        for i in range(len(words) - window + 1):
+            w = tuple(words[i : i + window])
+            if w in seen:
+                gone[i : i + window] = [True] * window
+            seen.add(w)
+        left = b" ".join(w for w, g in zip(words, gone, strict=True) if not g)
+        out[doc] = (len(words), sum(gone), hashlib.sha256(left).hexdigest())
+    return out
 
 
 def texts(seed):
@@ -44,3 +62,31 @@ def test_runs_differ_by_order_and_length():
         got = runs_of(words, n)
         assert len(got) == len(words) - n + 1 and len(set(got.tolist())) == len(got)
         assert (runs_of(words[5:], n) == got[5:]).all()
+
+
+def test_depths_equal_comparing_neighbours():
+    rng = np.random.default_rng(4)
+    key, suffixes = rng.integers(0, 3, 300), rng.integers(0, 2, (300, 8)).astype(np.uint64)
+    order, depth = shared_lengths(key, suffixes)
+    rows = [(int(key[i]), *suffixes[i].tolist()) for i in order]
+    assert rows == sorted(rows)
+    for k in range(1, 300):
+        a, b = rows[k - 1], rows[k]
+        want = next((j for j in range(8) if a[j + 1] != b[j + 1]), 8) if a[0] == b[0] else 0
+        assert depth[k] == want
+
+
+def test_hot_prefixes_grow_until_groups_fit(spark):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(400)]
+    phrase = "this very common phrase stands in nearly every one of our texts".split()
+    rows = []
+    for d in range(160):
+        passage = rng.choice([phrase[:7], phrase, phrase + words[:12]])
+        rows.append((d, " ".join([*rng.choices(words, k=rng.randint(8, 30)), *passage, *rng.choices(words, k=rng.randint(8, 30))])))
+    rows += [(200 + i, rows[i % 7][1]) for i in range(30)] + [(300, "a b " * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = brute_force(rows)
+    for group in (2, 9, 10_000):
+        got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in without_repeats(docs, group=group).collect()}
+        assert got == want, group
