@@ -112,3 +112,35 @@ def test_empty_and_repeated_rows(spark):
     one = docs.filter("doc_id = 1")
     odd = one.union(one).union(one.selectExpr("CAST(NULL AS BIGINT)", "text", "lang", "source", "n_chars"))
     assert corpus_pipeline.near_dedup(spark, odd, SF).count() == 1
+
+
+def test_a_broken_run_goes_on_from_its_folder(spark, monkeypatch, tmp_path):
+    docs = [(i, f"text number {i} of the small table", "en", f"s{i % 2}", 10) for i in range(6)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "in" / "documents.parquet"))
+    calls, broken = [], [True]
+
+    def stage(name, fails=False):
+        def run(spark, docs, sf_dir):
+            calls.append(name)
+            if fails and broken[0]:
+                raise RuntimeError("lost")
+            return docs.filter(f"doc_id <> {len(name)}")
+
+        return name, run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stage("a"), stage("bb"), stage("ccc", fails=True), stage("dddd")])
+    folder = str(tmp_path / "run")
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, str(tmp_path / "in"), folder)
+    broken[0] = False
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path / "in"), folder).collect()} == {0, 5}
+    assert calls == ["a", "bb", "ccc", "ccc", "dddd"]
+
+
+def test_rules_stage_with_nulls_ties_and_clashing_columns(spark):
+    text = "this is the text of a plain and quite ordinary document that says what it has to say in so many words"
+    rows = [(1, text, "a", True, "r"), (1, text, "b", None, None), (None, text, "c", False, "r"), (2, None, "d", True, "r"), (3, "", "e", True, "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words string, kept boolean, _row string")
+    got = corpus_pipeline.quality_rules(spark, docs, SF)
+    assert got.columns == docs.columns and {r.n_words for r in got.collect()} == {"a", "b", "c"}
+    assert corpus_pipeline.quality_rules(spark, docs.limit(0), SF).count() == 0

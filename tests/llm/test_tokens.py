@@ -22,6 +22,19 @@ def test_words_in_a_row_equal_whole_texts():
     assert ids.tolist() == [i for w in want for i in w]
 
 
+def test_other_vocabularies_give_the_librarys_ids():
+    import public_tokenizers
+
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        whole, coder = Tokenizer.from_file(path), Encoder(path)
+        texts = [t for t in ODD if t] + ["Hello  World, it's\n\n12 o'clock", " lead and trail "]
+        ids, counts = coder.encode(pa.array([*texts, None]))
+        want = [whole.encode(t, add_special_tokens=False).ids for t in texts] + [[]]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w], name
+        assert coder._by_word == (name == "word_bpe_49k.json")
+
+
 def test_round_trip(spark):
     rows = [(i * 7 % 101, f"text number {i}, Été {i * i}!\n" * (i % 5), "k") for i in range(101)] + [(None, "none", "k"), (3, None, "k"), (3, None, "k")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _rid string").repartition(5)

@@ -1,7 +1,8 @@
 """Token ids of whole texts, a vocabulary file's own way, at the price of its distinct words.
 
-The tokenizer drops white space and never merges across it, so a text's ids are its words' ids in
-a row. Arrow finds the distinct words of a slice of texts; each is encoded once for a worker.
+Where a tokenizer drops white space and never merges across it, a text's ids are its words' ids in
+a row. Arrow finds the distinct words of a slice of texts; each is encoded once for a worker. Each vocabulary
+file is first tried on probe texts; one that does not work this way has its texts encoded whole.
 """
 
 from __future__ import annotations
@@ -18,6 +19,11 @@ import pyarrow.compute as pc
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
 MAX_CACHED = 400_000
 SLICE_BYTES = 4_000_000
+#: Texts on which the short cuts must give the library's own ids.
+PROBES = (
+    "The quick brown Fox, (it) jumped: over 12 lazy dogs' backs!", "  two  spaces\tand\n\nlines \n", "ÉCOLE d'été naïve Straße ÑANDÚ İstanbul ǅ ﬁ", "don't can't HTML's we'll", "3.14 1,000 2024-01-02 a_b x@y.z #tag $5 50%",
+    "日本語 テスト 한국어 привет мир שלום", "e\u0301 a\u030a \u00a0nbsp\u3000wide", "\U0001f600 ok\u200d\U0001f525 …“quoted”—dash", "", " ", "x", "</s> <s> [UNK] <unk> <pad> <|endoftext|> [CLS] a[SEP]b", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa ZZZZZZ", "ein, zwei; drei. (vier) [fünf] {sechs}",
+)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -28,7 +34,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Encodes Arrow arrays of texts with a file of the tokenizers library (word ends, no white space)."""
+    """Encodes Arrow arrays of texts with a file of the tokenizers library, with the ids that the library gives each whole text."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -39,6 +45,22 @@ class Encoder:
         self._words: dict[str, tuple[int, ...]] = {}
         self._parts: dict[str, tuple[int, ...]] = {}
         self.vocabulary = self._whole.get_vocab_size(with_added_tokens=True)
+        # by words with a short cut for plain ones, by words, or whole
+        self._plain, self._by_word = True, True
+        if not self._right():
+            self._plain = False
+            self._words.clear()
+            self._by_word = self._right()
+        self._words.clear()
+
+    def _right(self) -> bool:
+        """Whether the short cuts give the library's ids on all probes."""
+        try:
+            ids, counts = self.encode(pa.array(PROBES))
+        except KeyError:
+            return False
+        want = [self._whole.encode(t, add_special_tokens=False).ids for t in PROBES]
+        return counts.tolist() == list(map(len, want)) and ids.tolist() == list(chain.from_iterable(want))
 
     def _part(self, part: str) -> tuple[int, ...]:
         if (found := self._parts.get(part)) is None:
@@ -49,7 +71,7 @@ class Encoder:
     def word(self, word: str) -> tuple[int, ...]:
         """Ids of a text without white space."""
         if (found := self._words.get(word)) is None:
-            if m := _PLAIN.match(word):
+            if self._plain and (m := _PLAIN.match(word)):
                 found = self._part(m[1].lower()) + (self._part(m[2]) if m[2] else ())
             else:
                 found = tuple(self._whole.encode(word, add_special_tokens=False).ids)
@@ -58,6 +80,9 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text); null is an empty text."""
+        if not self._by_word:
+            each = [e.ids for e in self._whole.encode_batch(texts.fill_null("").to_pylist(), add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(each), np.uint32), np.array(list(map(len, each)), np.int64)
         lists = pc.ascii_split_whitespace(texts.fill_null(""))
         offsets = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.values.dictionary_encode()

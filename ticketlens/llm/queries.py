@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from ticketlens.llm.counts import op6_counts
 from ticketlens.llm.decontam import op5_decontamination
 from ticketlens.llm.mixing import op8_mixing
@@ -25,7 +24,6 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_repeats": op10_repeats,
-    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {"op7_rules": OP7_SQL}
