@@ -33,7 +33,7 @@ incidents AS (
  SELECT b.doc_id AS row_id, concat('INC', lpad(CAST(b.doc_id AS VARCHAR), 7, '0')) AS number, 'Incident' AS task_type, b.o_orderpriority AS priority,
   CASE b.o_orderstatus WHEN 'F' THEN 'Closed' WHEN 'P' THEN 'Resolved' ELSE 'New' END AS state,
   CASE WHEN b.doc_id % 10 = 9 THEN split_part(b.text, chr(10), 1) ELSE concat(b.short_text, ' INC', CAST(b.doc_id AS VARCHAR)) END AS short_description,
-  substring(b.text, 1, 400) AS description,
+  b.text AS description,
   concat(strftime(b.opened_ts + to_minutes(1), '%Y-%m-%d %H:%M:%S'), ' - System (Work notes)', chr(10), 'Task is created by system', chr(10), chr(10),
    strftime(b.opened_ts + to_minutes(3), '%Y-%m-%d %H:%M:%S'), ' - user_', CAST(b.user_id AS VARCHAR), ' (Work notes)', chr(10), b.note_text,
    CASE WHEN j.journal IS NULL THEN '' ELSE concat(chr(10), chr(10), j.journal) END) AS work_notes,

@@ -51,7 +51,7 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("priority"),
         F.when(F.col("o_orderstatus") == "F", "Closed").when(F.col("o_orderstatus") == "P", "Resolved").otherwise("New").alias("state"),
         F.when(F.col("doc_id") % 10 == 9, F.substring_index("text", "\n", 1)).otherwise(F.concat(short_text, F.lit(" INC"), F.col("doc_id").cast("string"))).alias("short_description"),
-        F.substring("text", 1, 400).alias("description"),
+        F.col("text").alias("description"),
         F.concat(first, F.coalesce(F.concat(F.lit("\n\n"), "journal"), F.lit(""))).alias("work_notes"),
         F.col("source").alias("assignment_group"),
         user.alias("assigned_to"),
