@@ -60,10 +60,21 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; each one's rows are written to the shared folder, so that a later failure starts there."""
-    docs, folder = documents(spark, sf_dir), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+def _done(spark: SparkSession, path: str) -> bool:
+    """Spark's committer marks a folder when all of its files are there."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """All stages; each one's rows are written to ``folder``, a new one in the shared folder by default.
+
+    A run that broke off goes on if it is given its folder again: stages whose rows are complete
+    are read, not made anew. A folder belongs to one input.
+    """
+    docs, folder = documents(spark, sf_dir), folder or f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        if not _done(spark, f"{folder}/{name}"):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
