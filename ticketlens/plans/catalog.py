@@ -29,16 +29,27 @@ SQL: dict[str, str] = {}
 KEY = "category"
 
 
-_TABLES: dict[tuple[str, str], DataFrame] = {}
+_TABLES: dict[tuple, DataFrame] = {}
+
+
+def _state(spark, sf_dir: str) -> tuple:
+    """Path, length and time of every file that the view reads."""
+    jvm, found = spark.sparkContext._jvm, []
+    for table in ("documents", "events", "orders", "labels", "conversations"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
 
 
 def ticket_table(spark, sf_dir: str) -> DataFrame:
-    """Annotated tickets as a Parquet table, written once for an application and folder.
+    """Annotated tickets as a Parquet table, written once for an application and state of the input's files.
 
-    Notes, scores and causes are then worked out once, and a query reads its own columns only. A folder
-    whose files change needs ``_TABLES.clear()``.
+    Notes, scores and causes are then worked out once, and a query reads its own columns only.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, _state(spark, sf_dir))
     if key not in _TABLES:
         _TABLES[key] = stored(tickets(spark, sf_dir))
     return _TABLES[key]

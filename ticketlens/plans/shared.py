@@ -15,13 +15,16 @@ from pyspark.sql.window import Window
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests, a laptop) a fresh temporary folder is made.
+    Only where it is unset on a local master (tests, a laptop) a fresh temporary folder is made; a
+    cluster without one is an error, since a folder of the driver's own machine would not be shared.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir().get()
 
