@@ -3,7 +3,7 @@
 Linked documents share a group. A round counts each group's members by shard, picks the
 shard that holds most of a group (of those with room), and moves the others there as long as the
 quota, counted after the round's departures, lasts; so full shards exchange equal numbers. Every move
-puts more pairs of a group together; rounds end when nothing moves any more. Documents without links are dealt last and fill every shard to its exact quota, so
+puts more pairs of a group together; rounds end when next to nothing moves any more. Documents without links are dealt last and fill every shard to its exact quota, so
 counts differ by one at most whatever the links are.
 """
 
@@ -13,13 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.llm.rows import documents, keyed
-from ticketlens.plans.shared import checkpoint, chunks_for, prefix_sum
+from ticketlens.plans.shared import HOT_ROWS, checkpoint, chunks_for, prefix_sum, spread_join
 
 SHARDS = 16
 #: Far more rounds than moves last; beyond them an error is raised.
 ROUNDS = 200
-#: Rounds without a move, each with ties drawn anew, after which nothing is left to gain.
+#: After so many rounds in a row, each with ties drawn anew, that moved fewer than a TOLERANCE of the linked rows, hardly anything is left to gain.
 STILL = 2
+TOLERANCE = 0.0005
 SEED = 77
 
 
@@ -57,7 +58,7 @@ def propagate(linked: DataFrame, quota: dict[int, int], rounds: int = ROUNDS) ->
 
     Each round is three shuffles of narrow rows: counts by (group, shard), which are summed
     before they move; the join of members with their group's choice; and the rank of the
-    moves from one shard to another, in chunks. What the driver holds is a number for each pair of
+    moves from one shard to another, in chunks. A group of any size is spread over tasks. What the driver holds is a number for each pair of
     shards. Raises an error if moves go on after ``rounds`` rounds.
     """
     shards = len(quota)
@@ -66,22 +67,29 @@ def propagate(linked: DataFrame, quota: dict[int, int], rounds: int = ROUNDS) ->
     state = prefix_sum(linked, [], F.lit(1), ["_rid"], "_at", _hashed(chunks, SEED)).select("_rid", "group", (F.col("_at") % shards).cast("int").alias("shard"))
     state = checkpoint(state)
     still = 0
+    hot = (state.groupBy("group").count().agg(F.max("count")).first()[0] or 0) > HOT_ROWS
+    size = {s: k for s, k in state.groupBy("shard").count().collect()}
     for r in range(rounds):
-        size = {s: k for s, k in state.groupBy("shard").count().collect()}
         room = {s: quota[s] - size.get(s, 0) for s in quota}
         held = state.groupBy("group", "shard").agg(F.count("*").alias("n"))
         # the fullest shard of a group; among equals, one picked by the group and the round
         best = held.groupBy("group").agg(F.max(F.struct((_by_table(room, F.col("shard")) > 0).cast("int").alias("open"), "n", F.xxhash64("group", "shard", F.lit(r)).alias("tie"), "shard")).alias("b")).select("group", F.col("b.shard").alias("to"), F.col("b.n").alias("lead"))
-        here = held.withColumnRenamed("n", "mates").withColumnRenamed("shard", "_sh").withColumnRenamed("group", "_g")
-        moves = state.join(best, "group").filter("shard <> to").join(here, (F.col("group") == F.col("_g")) & (F.col("shard") == F.col("_sh"))).filter("lead >= mates").select("_rid", "shard", "to")
+        # members of a group in one shard move alike, so the choice is a row for each (group, shard)
+        place = F.struct("group", "shard").alias("place")
+        choice = held.join(best, "group").filter("shard <> to AND lead >= n").select(place, "to")
+        moves = state.withColumn("place", place)
+        moves = (spread_join(moves, choice, "place", "inner", held.select(place, F.col("n").alias("_k"))) if hot else moves.join(choice, "place")).select("_rid", "shard", "to")
         moves = checkpoint(moves)
         take = accepted({(s, t): k for s, t, k in moves.groupBy("shard", "to").count().collect()}, room)
-        if any(take.values()):
-            still = 0
+        moved = sum(take.values())
+        if moved:
+            for (s, t), k in take.items():
+                size[s], size[t] = size[s] - k, size.get(t, 0) + k
             ranked = prefix_sum(moves, ["shard", "to"], F.lit(1), ["_rid"], "_rank", _hashed(max(1, chunks // shards), SEED + r + 1))
             taken = ranked.filter(F.col("_rank") < _by_table({s * shards + t: k for (s, t), k in take.items()}, F.col("shard") * shards + F.col("to"))).select("_rid", "to")
             state = checkpoint(state.join(taken, "_rid", "left").select("_rid", "group", F.coalesce("to", "shard").alias("shard")))
-        elif not sum(size.values()) or (still := still + 1) == STILL:
+        still = still + 1 if moved <= TOLERANCE * n else 0
+        if not n or still == STILL:
             return state
     raise RuntimeError(f"labels still move after {rounds} rounds")
 
@@ -100,8 +108,8 @@ def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Data
     rows = checkpoint(keyed(docs).select("_rid", "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.struct(F.xxhash64(text).alias("a"), mark.alias("b")).alias("group")))
     n = rows.count()
     quota = quotas(n, shards)
-    groups = rows.groupBy("group").agg(F.count("*").alias("k")).filter("k > 1")
-    linked = propagate(rows.join(groups, "group", "left_semi").select("_rid", "group"), quota, rounds)
+    groups = checkpoint(rows.groupBy("group").agg(F.count("*").alias("_k")).filter("_k > 1"))
+    linked = propagate(spread_join(rows.select("_rid", "group"), groups.select("group"), "group", "left_semi", groups), quota, rounds)
     size = {s: k for s, k in linked.groupBy("shard").count().collect()}
     free = {s: quota[s] - size.get(s, 0) for s in quota}
     chunks = chunks_for(n)
