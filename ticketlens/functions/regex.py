@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -50,3 +52,28 @@ def known(c: Column) -> Column:
     """Trimmed text; blank is null."""
     t = trim(c)
     return F.when(t != "", t)
+
+
+def contains_any(lowered: Column, phrases: tuple[str, ...]) -> Column:
+    """Whether a text in lower case has one of some literal phrases; a plain search, no pattern."""
+    return reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(p)) for p in phrases])
+
+
+def stems(pattern: str) -> tuple[str, ...]:
+    """What each alternative of a pattern begins with literally; a text without any of them cannot match."""
+    parts, depth, last = [], 0, 0
+    for i, c in enumerate(pattern):
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            parts.append(pattern[last:i])
+            last = i + 1
+    out = []
+    for part in [*parts, pattern[last:]]:
+        stem = re.match(r"[^.(\[?*+{\\|^$]*", part)[0]
+        out.append(stem[:-1] if part[len(stem) : len(stem) + 1] in ("?", "*", "{") else stem)
+    return tuple(dict.fromkeys(out))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once for each row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -8,10 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ticketlens import config
-from ticketlens.functions.regex import SPACE, any_of, java, round_half_up
-from ticketlens.functions.text import ROOT_CAUSE
+from ticketlens.functions.regex import SPACE, bound, contains_any, java, round_half_up
+from ticketlens.functions.text import has_phrase
 
-#: Notes that say nothing.
+#: Notes that say nothing (fixed values).
 NOISE = tuple(java(p) for p in (
     r"^hi team[,.]?\s*(please\s+)?(assist|check|help|look into|provide assistance)",
     r"^please (check|assist|help|look into|take a look)",
@@ -22,17 +22,17 @@ NOISE = tuple(java(p) for p in (
     r"^(hi|hello|dear)\s+team",
     r"this incident will be closed due (yo|to) has been completed",
 ))
-SLANG = tuple((java(p, f), m) for p, f, m in (
-    (r"\bwip\b", "iu", "Filler: WIP"),
-    (r"\btbd\b", "iu", "Vague: TBD"),
-    (r"\bgonna\b", "iu", "Informal: gonna"),
-    (r"\bwanna\b", "iu", "Informal: wanna"),
-    (r"\bpls\b|\bplz\b", "iu", "Informal: pls/plz"),
-    (r"due (yo)\b", "iu", "Typo: due yo"),
-    (r"^hi[,.]?\s*team", "imu", "Generic opener: Hi team"),
-    (r"please (check|assist|help)\s+the?\s*user", "iu", "Vague handoff"),
+#: Patterns (fixed values, in lower case), what a text that matches has literally, and messages.
+SLANG = tuple((java(p, f), s, m) for p, f, s, m in (
+    (r"\bwip\b", "", ("wip",), "Filler: WIP"),
+    (r"\btbd\b", "", ("tbd",), "Vague: TBD"),
+    (r"\bgonna\b", "", ("gonna",), "Informal: gonna"),
+    (r"\bwanna\b", "", ("wanna",), "Informal: wanna"),
+    (r"\bpls\b|\bplz\b", "", ("pls", "plz"), "Informal: pls/plz"),
+    (r"due (yo)\b", "", ("due yo",), "Typo: due yo"),
+    (r"^hi[,.]?\s*team", "m", ("team",), "Generic opener: Hi team"),
+    (r"please (check|assist|help)\s+the?\s*user", "", ("please ",), "Vague handoff"),
 ))
-STEPS = "(?iu)" + any_of(config.STEP_PHRASES)
 
 
 def combined_text(body: Column, notes: Column) -> Column:
@@ -46,25 +46,35 @@ def label(total: Column) -> Column:
 def _spelling(text: Column) -> Column:
     """Share of suspicious words: a letter three times, five consonants at the end, short without a vowel."""
     words = F.filter(F.split(text, f"[{SPACE}]+"), lambda w: F.length(w) > 1)
-    bare = F.transform(words, lambda w: F.regexp_replace(F.lower(w), "[^a-z]", ""))
-    odd = F.filter(bare, lambda w: w.rlike(r"(.)\1{2,}") | w.rlike("[bcdfghjklmnpqrstvwxyz]{5,}$") | (F.length(w).between(3, 5) & ~w.rlike("[aeiou]")))
-    ratio = F.when(F.size(words) == 0, F.lit(0.0)).otherwise(F.size(odd) / F.size(words))
-    return F.when(ratio < 0.03, 95).when(ratio < 0.08, 75).when(ratio < 0.15, 55).otherwise(30)
+    odd = lambda w: w.rlike(r"(.)\1{2,}") | w.rlike("[bcdfghjklmnpqrstvwxyz]{5,}$") | (F.length(w).between(3, 5) & ~w.rlike("[aeiou]"))
+    counts = bound(words, lambda ws: F.struct(F.size(ws).alias("n"), F.size(F.filter(F.transform(ws, lambda w: F.regexp_replace(F.lower(w), "[^a-z]", "")), odd)).alias("odd")))
+    ratio = bound(counts, lambda c: F.when(c["n"] == 0, F.lit(0.0)).otherwise(c["odd"] / c["n"]))
+    return bound(ratio, lambda x: F.when(x < 0.03, 95).when(x < 0.08, 75).when(x < 0.15, 55).otherwise(30))
 
 
 def ticket_score(short: Column, body: Column, auto: Column, state: Column, notes: Column, combined: Column) -> Column:
     """struct<total, label, dims, feedback, noise_ratio, note_count, note_chars>; feedback in a fixed order."""
     tagged = short.rlike(r"^\[.+?\]\[.+?\]")
-    short_score = F.when(F.length(short) <= 9, 0).when(F.length(short) <= 24, 40).when(tagged, 60).otherwise(100)
-    body_score = F.when(auto, 70).when(F.length(body) <= 49, 0).when(F.length(body) <= 149, 50).otherwise(100)
-    cause = F.when(combined.rlike(ROOT_CAUSE), 100).otherwise(0)
-    closed = F.lower(state).isin("closed", "resolved")
-    steps = F.when(combined.rlike(STEPS), 100).when(closed, 0).otherwise(30)
-    spelling = _spelling(combined)
     noise = F.filter(notes, lambda n: reduce(lambda a, p: a | n["text"].rlike(p), NOISE, F.length(n["text"]) < 12))
+    slang = bound(F.lower(combined), lambda t: F.array(*[F.when(contains_any(t, s) & t.rlike(p), 1).otherwise(0) for p, s, _ in SLANG]))
+    parts = F.struct(
+        F.when(F.length(short) <= 9, 0).when(F.length(short) <= 24, 40).when(tagged, 60).otherwise(100).alias("short"),
+        F.when(auto, 70).when(F.length(body) <= 49, 0).when(F.length(body) <= 149, 50).otherwise(100).alias("body"),
+        F.when(has_phrase(combined, config.ROOT_CAUSE_PHRASES), 100).otherwise(0).alias("cause"),
+        F.when(has_phrase(combined, config.STEP_PHRASES), 100).when(F.lower(state).isin("closed", "resolved"), 0).otherwise(30).alias("steps"),
+        _spelling(combined).alias("spelling"),
+        F.size(noise).alias("noisy"),
+        slang.alias("slang"),
+    )
+    # what costs time is worked out once for each row
+    return bound(parts, lambda p: _scored(p, notes))
+
+
+def _scored(p: Column, notes: Column) -> Column:
+    short_score, body_score, cause, steps, spelling = (p[c] for c in ("short", "body", "cause", "steps", "spelling"))
+    slang = [F.get(p["slang"], F.lit(k)) for k in range(len(SLANG))]
     count = F.size(notes)
-    noise_ratio = F.when(count > 0, F.size(noise) / count).otherwise(F.lit(0.0))
-    slang = [F.when(combined.rlike(p), 1).otherwise(0) for p, _ in SLANG]
+    noise_ratio = F.when(count > 0, p["noisy"] / count).otherwise(F.lit(0.0))
     manner = F.greatest(F.lit(0.0), F.lit(100) - reduce(lambda a, b: a + b, slang) * 15 - noise_ratio * 60)
     dims = [round_half_up(short_score * 0.4 + body_score * 0.6), cause, steps, spelling, round_half_up(manner)]
     total = round_half_up(reduce(lambda a, b: a + b, [d * w for d, w in zip(dims, config.WEIGHTS, strict=True)])).cast("int")
@@ -74,7 +84,7 @@ def ticket_score(short: Column, body: Column, auto: Column, state: Column, notes
         F.when(cause == 0, "No root cause documented."),
         F.when(steps == 0, "Closed without documenting resolution steps.").when(steps == 30, "No resolution steps documented yet."),
         F.when(spelling == 55, "Some spelling issues detected.").when(spelling == 30, "Significant spelling issues detected."),
-        *[F.when(s == 1, m) for s, (_, m) in zip(slang, SLANG, strict=True)],
+        *[F.when(s == 1, m) for s, (_, _, m) in zip(slang, SLANG, strict=True)],
         F.when(count == 0, "No human work notes found."),
     ]
     chars = F.aggregate(notes, F.lit(0), lambda a, n: a + F.length(n["text"]))

@@ -2,28 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ticketlens import config
-from ticketlens.functions.regex import SPACE, any_of, java, trim
+from ticketlens.functions.regex import SPACE, bound, contains_any, java, stems, trim
+
+
+def _replaced(needs: str, pattern: str, by: str) -> Callable[[Column], Column]:
+    return lambda x: F.when(F.contains(x, F.lit(needs)), F.regexp_replace(x, pattern, by)).otherwise(x)
 
 
 def clean_text(text: Column) -> Column:
-    """Line breaks made one kind; code marks, tags, links and machine time stamps out; long gaps shortened."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "_x000D_", "\n")
-    t = F.regexp_replace(t, "\\r\\n?", "\n")
-    t = F.regexp_replace(t, r"\[/?code\]", "")
-    t = F.regexp_replace(t, "<[^>]+>", "")
-    t = F.regexp_replace(t, java(r"https?://\S+", ""), "[URL]")
-    t = F.regexp_replace(t, java(r"nav_to\.do\S+", ""), "[URL]")
-    t = F.regexp_replace(t, r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d+Z", "")
-    t = F.regexp_replace(t, f"[{SPACE}]{{3,}}", "  ")
-    return trim(t)
+    """Line breaks made one kind; code marks, tags, links and machine time stamps out; long gaps shortened.
+
+    The patterns are fixed values, in a fixed order.
+    """
+    t = F.coalesce(text, F.lit(""))
+    # a pattern is tried only where what it needs is there
+    for needs, pattern, by in (
+        ("_x000D_", "_x000D_", "\n"), ("\r", "\\r\\n?", "\n"), ("code]", r"\[/?code\]", ""), (">", "<[^>]+>", ""), ("://", java(r"https?://\S+", ""), "[URL]"),
+        ("nav_to.do", java(r"nav_to\.do\S+", ""), "[URL]"), ("Z", r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d+Z", ""),
+    ):
+        t = bound(t, _replaced(needs, pattern, by))
+    return trim(F.regexp_replace(t, f"[{SPACE}]{{3,}}", "  "))
 
 
 def has_phrase(text: Column, phrases: tuple[str, ...]) -> Column:
-    return F.lower(text).rlike(any_of(phrases))
+    return bound(F.lower(text), lambda t: contains_any(t, phrases))
 
 
 def is_auto_description(text: Column) -> Column:
@@ -43,18 +51,24 @@ def parse_notes(journal: Column) -> Column:
 
     The control characters 1 to 3 mark the cuts and are taken out of the journal first.
     """
-    raw = F.regexp_replace(F.translate(F.coalesce(journal, F.lit("")), "\x01\x02\x03", ""), "\\r\\n?", "\n")
-    parts = F.split(F.regexp_replace(raw, NOTE_HEADER, "$1\x01$2\x02$3\x03"), "\x01")
-
     def note(part: Column) -> Column:
+        at = trim(F.regexp_extract(part, "^([^\x02]*)\x02", 1))
         author = trim(F.regexp_extract(part, "^[^\x02]*\x02([^\x03]*)\x03", 1))
         text = clean_text(F.regexp_replace(part, "^[^\x03]*\x03", ""))
-        system = F.lower(author).isin(*config.SYSTEM_AUTHORS) | has_phrase(text, config.SYSTEM_PHRASES)
-        return F.struct(trim(F.regexp_extract(part, "^([^\x02]*)\x02", 1)).alias("timestamp"), author.alias("author"), text.alias("text"), system.alias("is_system"))
 
-    whole = F.array(F.struct(F.lit("").alias("timestamp"), F.lit("Unknown").alias("author"), clean_text(raw).alias("text"), F.lit(False).alias("is_system")))
-    found = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), note)
-    return F.when(F.size(parts) > 1, found).when(trim(raw) != "", whole).otherwise(F.lit(None).cast(NOTE_TYPE)).cast(NOTE_TYPE)
+        def built(x: Column) -> Column:
+            system = F.lower(x["author"]).isin(*config.SYSTEM_AUTHORS) | has_phrase(x["text"], config.SYSTEM_PHRASES)
+            return F.struct(at.alias("timestamp"), x["author"].alias("author"), x["text"].alias("text"), system.alias("is_system"))
+
+        return bound(F.struct(author.alias("author"), text.alias("text")), built)
+
+    def read(raw: Column) -> Column:
+        whole = F.array(F.struct(F.lit("").alias("timestamp"), F.lit("Unknown").alias("author"), clean_text(raw).alias("text"), F.lit(False).alias("is_system")))
+        parts = F.split(F.regexp_replace(raw, NOTE_HEADER, "$1\x01$2\x02$3\x03"), "\x01")
+        cut = lambda x: F.when(F.size(x) > 1, F.transform(F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0))), note)).when(trim(raw) != "", whole).otherwise(F.lit(None).cast(NOTE_TYPE))
+        return bound(parts, cut)
+
+    return bound(F.regexp_replace(F.translate(F.coalesce(journal, F.lit("")), "\x01\x02\x03", ""), "\\r\\n?", "\n"), read).cast(NOTE_TYPE)
 
 
 def tokens(text: Column) -> Column:
@@ -85,23 +99,27 @@ def truncate(text: Column, most: int) -> Column:
 
 
 def category(short: Column, body: Column) -> Column:
-    """The first category that the short description names, else that the body names."""
-    out = F
-    for text in (short, body):
-        for name, words in config.CATEGORIES:
-            out = out.when(text.rlike(java(rf"\b(?:{words})\b")), F.lit(name))
-    return out.otherwise(F.lit(config.UNCATEGORIZED))
+    """The first category that the short description names, else that the body names.
 
+    Patterns, which are in lower case, are tried only on texts that have the beginning of one of their words.
+    """
+
+    def named(t: Column) -> Column:
+        out = F
+        for name, words in config.CATEGORIES:
+            out = out.when(contains_any(t, stems(words)) & t.rlike(java(rf"\b(?:{words})\b", "")), F.lit(name))
+        return out.otherwise(F.lit(None).cast("string"))
 
-ROOT_CAUSE = "(?iu)" + any_of(config.ROOT_CAUSE_PHRASES)
+    return F.coalesce(bound(F.lower(short), named), bound(F.lower(body), named), F.lit(config.UNCATEGORIZED))
 
 
 def root_cause(text: Column) -> Column:
     """The first sentence with a root-cause phrase and 8 characters or more, at most 180 long; else blank."""
     sentences = F.split(text, java(r"(?<=[.!?;])\s+|\n+|(?:^|\s)[-•*]\s+", ""))
     strip = lambda s: trim(F.regexp_replace(trim(s), f"^[,:;\\-{SPACE}]+", ""))
-    good = F.filter(sentences, lambda s: s.rlike(ROOT_CAUSE) & (F.length(strip(s)) >= 8))
-    return F.coalesce(truncate(strip(F.get(good, F.lit(0))), 180), F.lit(""))
+    good = F.filter(sentences, lambda s: contains_any(F.lower(s), config.ROOT_CAUSE_PHRASES) & (F.length(strip(s)) >= 8))
+    found = F.when(has_phrase(text, config.ROOT_CAUSE_PHRASES), bound(F.get(good, F.lit(0)), lambda s: truncate(strip(s), 180)))
+    return F.coalesce(found, F.lit(""))
 
 
 def signature(short: Column, body: Column) -> Column:
