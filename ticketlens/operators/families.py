@@ -10,7 +10,7 @@ from ticketlens.functions.regex import SPACE, known, round_half_up, trim
 from ticketlens.operators.graph import connected_components
 from ticketlens.operators.problems import by_name, ranked
 from ticketlens.operators.weekly import available_weeks, calendar_weeks, comparable
-from ticketlens.plans.shared import checkpoint, numbered
+from ticketlens.plans.shared import checkpoint, numbered, prefix_sum
 
 THRESHOLDS = (0.5, 0.6, 0.7, 0.8)
 VARIANTS = ("R0", "R1", "R2")
@@ -176,17 +176,41 @@ def member_keys(t: DataFrame) -> DataFrame:
     return t.crossJoin(unique).select("row_id", F.when(F.col("_u"), number).otherwise(other).alias("member"))
 
 
+#: Members of a list that is hashed as a whole.
+HASHED = 6_000
+
+
+def list_hash(rows: DataFrame, by: list[str], item: str) -> DataFrame:
+    """(by, hash): the SHA-256 of the JSON list of each key's items in order.
+
+    Lists of more than ``HASHED`` items are hashed in parts of so many, and the list of the parts' hashes again,
+    so no row ever holds an unbounded list; up to ``HASHED`` items, which is more than the reference results cover, it is the plain hash.
+    Items are hexadecimal hashes, whose first digits deal them to tasks.
+    """
+    chunks = F.conv(F.substring(item, 1, 3), 16, 10).cast("int")
+    placed = prefix_sum(rows.select(*by, item), by, F.lit(1), [item], "_at", chunks)
+    while True:
+        placed = placed.withColumn("_part", F.floor(F.col("_at") / HASHED))
+        parts = placed.groupBy(*by, "_part").agg(F.sha2(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("_at", F.col(item).alias("i")))), lambda x: x["i"])), 256).alias(item))
+        parts = checkpoint(parts)
+        if (parts.agg(F.max("_part")).first()[0] or 0) == 0:
+            return parts.select(*by, F.col(item).alias("hash"))
+        placed = parts.withColumnRenamed("_part", "_at")
+
+
 def identity(t: DataFrame, fam: DataFrame) -> DataFrame:
     """(family, size, display_id): F001 ... by size, then by a hash of the sorted members."""
-    keys = fam.filter("family IS NOT NULL").join(member_keys(t), "row_id").groupBy("family").agg(F.count("*").alias("size"), F.sha2(F.to_json(F.array_sort(F.collect_list("member"))), 256).alias("_h"))
-    order = ranked(keys, [], F.desc("size"), F.col("_h"))
-    return order.select("family", "size", F.concat(F.lit("F"), F.lpad(F.col("rank").cast("string"), 3, "0")).alias("display_id"))
+    members = checkpoint(fam.filter("family IS NOT NULL").join(member_keys(t), "row_id").select("family", "member"))
+    keys = list_hash(members, ["family"], "member").join(members.groupBy("family").agg(F.count("*").alias("size")), "family")
+    order = numbered(keys.withColumn("_s", -F.col("size")), ["_s", "hash"], "_p")
+    return order.select("family", "size", F.concat(F.lit("F"), F.lpad((F.col("_p") + 1).cast("string"), 3, "0")).alias("display_id"))
 
 
 def partition_hash(t: DataFrame, fam: DataFrame) -> DataFrame:
     """(hash): a fingerprint of the whole partition, the same whatever the order of rows."""
-    each = fam.filter("family IS NOT NULL").join(member_keys(t), "row_id").groupBy("family").agg(F.sha2(F.to_json(F.array_sort(F.collect_list("member"))), 256).alias("h"))
-    return each.agg(F.sha2(F.to_json(F.array_sort(F.collect_list("h"))), 256).alias("hash"))
+    members = checkpoint(fam.filter("family IS NOT NULL").join(member_keys(t), "row_id").select("family", "member"))
+    each = list_hash(members, ["family"], "member")
+    return list_hash(each.select(F.lit(1).alias("all"), "hash"), ["all"], "hash").select("hash")
 
 
 def _week_counts(rows: DataFrame, weeks: DataFrame) -> DataFrame:
@@ -246,8 +270,8 @@ def composition(fam: DataFrame) -> DataFrame:
 def segments(fam: DataFrame) -> DataFrame:
     """(segment, groups, n, pct): the five largest groups, the next twenty, the rest, one-off tickets; empty ones are left out."""
     sized = fam.groupBy("family").agg(F.count("*").alias("n"))
-    place = ranked(sized.filter("family IS NOT NULL"), [], F.desc("n"), F.col("family"))
-    named = place.select(F.when(F.col("rank") <= 5, 0).when(F.col("rank") <= 25, 1).otherwise(2).alias("_o"), "n", F.lit(1).alias("k")).union(sized.filter("family IS NULL").select(F.lit(3), "n", F.lit(0)))
+    place = numbered(sized.filter("family IS NOT NULL").withColumn("_s", -F.col("n")), ["_s", "family"], "_p")
+    named = place.select(F.when(F.col("_p") < 5, 0).when(F.col("_p") < 25, 1).otherwise(2).alias("_o"), "n", F.lit(1).alias("k")).union(sized.filter("family IS NULL").select(F.lit(3), "n", F.lit(0)))
     rows = named.groupBy("_o").agg(F.sum("k").alias("groups"), F.sum("n").alias("n"))
     names = F.get(F.array(*[F.lit(x) for x in ("top 5", "next 20", "remaining", "one-off")]), F.col("_o"))
     return largest_remainder(rows, "n", "_o").select(names.alias("segment"), "groups", "n", "pct")
@@ -311,6 +335,12 @@ def activity(t: DataFrame, fam: DataFrame, visible: DataFrame) -> DataFrame:
     return whole.join(seen, ["family", "week"], "left").select("family", "week", F.coalesce("_v", F.lit(0)).alias("in_view"), "whole")
 
 
+def ordered_cards(cards_: DataFrame, by_week: bool = False) -> DataFrame:
+    """Cards in the order in which they are shown: largest, or largest in the week; ties by display id."""
+    order = [F.desc("total"), F.col("display_id")]
+    return cards_.orderBy(*([F.desc(F.coalesce("week_n", F.lit(0)))] if by_week else []), *order)
+
+
 def history(t: DataFrame, fam: DataFrame) -> DataFrame:
     return t.join(fam.filter("family IS NOT NULL"), "row_id").groupBy("family").agg(F.count("*").alias("total"), F.min(F.nullif(F.col("opened"), F.lit(""))).alias("first_seen"))
 

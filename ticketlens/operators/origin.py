@@ -98,6 +98,22 @@ def top_with_others(table: DataFrame, most: int) -> DataFrame:
     return top.union(table.filter("value IS NULL").select(F.lit("missing"), "value", F.lit(1).cast("long"), F.col("n")))
 
 
+def service_ranking(t: DataFrame, key: str, most: int) -> DataFrame:
+    """(place, kind, value, n, share): the largest services, one row for the others, one for no service, with shares of all tickets."""
+    table = dimension_table(t, "service", key)
+    total = table.agg(F.sum("n").alias("_t"))
+    r = ranked(table.filter("value IS NOT NULL").select("value", "n"), [], F.desc("n"), by_name("value"))
+    top = r.groupBy(F.least("rank", F.lit(most + 1)).alias("place")).agg(F.max(F.when(F.col("rank") <= most, "service").otherwise("others")).alias("kind"), F.max(F.when(F.col("rank") <= most, F.col("value"))).alias("value"), F.sum("n").alias("n"))
+    rows = top.union(table.filter("value IS NULL").select(F.lit(most + 2), F.lit("missing"), "value", "n"))
+    return rows.crossJoin(total).select("place", "kind", "value", "n", F.round(F.try_divide("n", "_t"), 6).alias("share"))
+
+
+def expanded_row(t: DataFrame, row: str, column: str, value: str | None) -> DataFrame:
+    """(value, n): the column margin of one row of a cross table."""
+    d = with_dimensions(t)
+    return d.filter(F.col(row).eqNullSafe(F.lit(value))).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+
+
 def capped_matrix(t: DataFrame, row: str, column: str, rows: int = 15, columns: int = 8) -> DataFrame:
     """(row_value, column_value, n): a cross table of the largest values, the rest as Others, null as (none)."""
 

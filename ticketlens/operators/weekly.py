@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -91,6 +93,21 @@ def digest(t: DataFrame, week: str, key: str = "cluster_id") -> dict[str, DataFr
     }
 
 
+def digest_table(t: DataFrame, week: str, key: str = "cluster_id") -> DataFrame:
+    """(section, rank, name, n, detail): one week's whole review as one table, a section after the other."""
+    d = digest(t, week, key)
+    name, text = F.col(key).cast("string").alias("name"), lambda c: F.col(c).cast("string").alias("detail")
+    rows = [
+        d["volume"].select(F.lit("volume").alias("section"), F.lit(1).alias("rank"), F.col("week").alias("name"), "n", text("delta_pct")),
+        d["movements"].select(F.lit("movements"), "rank", "name", "n", text("delta_pct")),
+        d["new"].select(F.lit("new"), "rank", name, "n", text("weeks_active")),
+        d["recurring"].select(F.lit("recurring"), "rank", name, "n", text("weeks_active")),
+        d["top"].select(F.lit("top"), "rank", name, "n", F.lit(None).cast("string").alias("detail")),
+        d["actions"].select(F.lit("actions"), F.row_number().over(Window.orderBy("priority", F.desc("n"), key)), name, "n", F.col("kind").alias("detail")),
+    ]
+    return reduce(DataFrame.union, rows)
+
+
 def bridge(t: DataFrame, dimension: str) -> DataFrame:
     """(week, value, n, typical, change): the value that moved most, ties by count, then value; none without a baseline or change."""
     h = _value_history(t, F.coalesce(F.col(dimension), F.lit(""))).filter("base_weeks > 0").withColumn("change", F.col("n") - F.col("typical")).filter("change <> 0")

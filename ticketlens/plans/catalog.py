@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -165,6 +166,7 @@ query("problem_sheet", sql("""SELECT p.category, title, n, rca_coverage, coalesc
  LEFT JOIN (SELECT category, string_agg(number, ', ' ORDER BY row_id) AS sn FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY row_id) AS r FROM annotated) WHERE r <= 25 GROUP BY 1) s ON s.category = p.category""", TABLE, CAUSES), lambda t: S.problem_sheet(t, KEY).select(KEY, "title", "n", "rca_coverage", "root_causes", "top_groups", "sample_numbers"))
 _FIT = f"CASE WHEN length(short_desc_clean) > {config.CELL_LIMIT} THEN concat(substring(short_desc_clean, 1, {config.CELL_LIMIT - len(S.CUT_MARK)}), {q(S.CUT_MARK)}) ELSE short_desc_clean END AS short_desc_clean"
 query("detail_sheet", sql(f"SELECT a.category, title AS problem, number, {_FIT}, a.state, a.priority, opened, closed, assignment_group, assigned_to, total AS score, label, root_cause_text AS root_cause, channel FROM annotated a JOIN problem_table p ON p.category = a.category", TABLE), lambda t: (lambda x: S.detail_sheet(x, P.problem_table(x, KEY), KEY).join(x.select("number", "channel"), "number"))(t))
+query("typed_cells", sql("SELECT row_id, strftime(CAST(opened AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS opened_at, CASE WHEN closed <> '' THEN strftime(CAST(closed AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') END AS closed_at, row_id + CAST(0.5 AS DOUBLE) AS as_number, CAST(NULL AS DOUBLE) AS not_a_number FROM annotated"), lambda t: t.select("row_id", F.date_format(S.as_date(F.col("opened")), "yyyy-MM-dd HH:mm:ss").alias("opened_at"), F.date_format(S.as_date(F.col("closed")), "yyyy-MM-dd HH:mm:ss").alias("closed_at"), S.as_number(F.concat(F.col("row_id").cast("string"), F.lit(".5"))).alias("as_number"), S.as_number(F.col("number")).alias("not_a_number")))
 query("metadata_sheet", sql("""SELECT unnest(['filters', 'opened_from', 'opened_to', 'tickets', 'problems', 'scorer_version', 'truncated_cells']) AS field, unnest(['all', (SELECT min(nullif(opened, '')) FROM annotated), (SELECT max(opened) FROM annotated), (SELECT CAST(count(*) AS VARCHAR) FROM annotated), (SELECT CAST(count(*) AS VARCHAR) FROM problem_table), '1',
  (SELECT CAST(count(*) FILTER (length(work_notes) > 32767) AS VARCHAR) FROM annotated)]) AS value""", TABLE), lambda t: S.metadata_sheet(t.select("opened", "work_notes", "row_id"), P.problem_table(t, KEY), "all"))
 
@@ -206,6 +208,8 @@ query("candidate_context", sql(f"""SELECT c.category, c.visible_count, c.known_s
  LEFT JOIN (SELECT category, string_agg(svc, ',' ORDER BY svc) AS top_services, max(n) AS top_count, count(*) AS k FROM (SELECT category, svc, count(*) AS n, rank() OVER (PARTITION BY category ORDER BY count(*) DESC) AS r FROM d WHERE {_MONTHS} AND svc IS NOT NULL GROUP BY 1, 2) WHERE r = 1 GROUP BY 1) l ON l.category = c.category""", DIM), lambda t: O.candidate_context(t, filtered(t, Filters(FILTERS.months)), KEY))
 _TOP = """r AS (SELECT value, n, row_number() OVER (ORDER BY n DESC, value COLLATE en, value) AS rank FROM (SELECT {0} AS value, count(*) AS n FROM d GROUP BY 1) WHERE value IS NOT NULL)"""
 query("top_with_others", sql("SELECT CASE WHEN rank <= 5 THEN 'top' ELSE 'others' END AS segment, CASE WHEN rank <= 5 THEN value END AS value, count(*) AS entries, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY 1, 2 UNION ALL SELECT 'missing', NULL, 1, k FROM (SELECT count(*) AS k FROM d WHERE off IS NULL) WHERE k > 0", DIM, _TOP.format("off")), lambda t: O.top_with_others(O.dimension_table(t, "offering", KEY), 5))
+query("service_ranking", sql("SELECT CAST(least(rank, 3) AS INTEGER) AS place, CASE WHEN rank <= 2 THEN 'service' ELSE 'others' END AS kind, CASE WHEN rank <= 2 THEN value END AS value, CAST(sum(n) AS BIGINT) AS n, round(sum(n) / (SELECT count(*) FROM d), 6) AS share FROM r GROUP BY 1, 2, 3 UNION ALL SELECT 4, 'missing', NULL, k, round(k / (SELECT count(*) FROM d), 6) FROM (SELECT count(*) AS k FROM d WHERE svc IS NULL) WHERE k > 0", DIM, _TOP.format("svc")), lambda t: O.service_ranking(t, KEY, 2))
+query("cross_tab_row", sql("SELECT grp AS value, count(*) AS n FROM d WHERE svc = 'en' GROUP BY 1", DIM), lambda t: O.expanded_row(t, "service", "group", "en"))
 query("capped_matrix", sql("""SELECT CASE WHEN grp IS NULL THEN '(none)' ELSE coalesce(a.value, 'Others') END AS row_value, CASE WHEN off IS NULL THEN '(none)' ELSE coalesce(b.value, 'Others') END AS column_value, count(*) AS n FROM d
  LEFT JOIN (SELECT * FROM r WHERE rank <= 15) a ON a.value = grp LEFT JOIN (SELECT * FROM r2 WHERE rank <= 8) b ON b.value = off GROUP BY 1, 2""", DIM, _TOP.format("grp"), _TOP.format("off").replace("r AS", "r2 AS", 1)), lambda t: O.capped_matrix(t, "group", "offering"))
 
@@ -251,6 +255,7 @@ query("week_top_problems", sql("SELECT week, CAST(rank AS INTEGER) AS rank, cate
 query("week_actions", sql("""SELECT category, kind, n FROM (SELECT p.category, p.n, CASE WHEN rca_coverage < 50 THEN 'problem-management' WHEN median_hours <= 2 THEN 'automation' WHEN k >= 3 AND top < 40 THEN 'knowledge-gap' WHEN is_chronic THEN 'chronic' END AS kind FROM problem_table p
  LEFT JOIN (SELECT category, count(*) AS k, arg_min(pct, rank) AS top FROM top_causes GROUP BY 1) c ON c.category = p.category WHERE p.n >= greatest(3, floor((SELECT count(*) FROM annotated) * 0.01 + 0.5))) WHERE kind IS NOT NULL
  ORDER BY CASE kind WHEN 'problem-management' THEN 0 WHEN 'chronic' THEN 1 WHEN 'automation' THEN 2 ELSE 3 END, n DESC, category LIMIT 6""", "whole AS (SELECT * FROM annotated)", *[x.replace("annotated", "one_week") for x in ("one_week AS (SELECT * FROM whole WHERE week = '2024-W09')", TABLE, CAUSES)]).replace("(SELECT count(*) FROM annotated) * 0.01", "(SELECT count(*) FROM one_week) * 0.01"), lambda t: W.digest(t, "2024-W09", KEY)["actions"].select(KEY, "kind", "n"))
+query("week_digest", None, lambda t: W.digest_table(t, "2024-W09", KEY))
 query("week_bridge", sql("""SELECT week, nullif(value, '') AS value, n, round(typical, 6) AS typical, round(n - typical, 6) AS change FROM (SELECT *, row_number() OVER (PARTITION BY week ORDER BY abs(n - typical) DESC, n DESC, value COLLATE en) AS r FROM hx WHERE base_weeks > 0 AND n <> typical) WHERE r = 1""", WEEKS, history_sql("coalesce(service, '')")), lambda t: W.bridge(t, "service"))
 query("data_through", sql("SELECT max(opened) AS through FROM annotated"), W.data_through)
 query("week_comparable", sql("SELECT DISTINCT week, (SELECT CAST(max(opened) AS DATE) FROM annotated) >= CAST(date_trunc('week', CAST(opened AS TIMESTAMP)) AS DATE) + 6 AS comparable FROM annotated"), W.comparable)
@@ -315,18 +320,75 @@ family_query("family_history", family_sql("SELECT family, count(*) AS total, min
 family_query("family_concentration", family_sql("SELECT count(*) AS groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS n, round(coalesce(sum(n), 0) / (SELECT count(*) FROM fam), 6) AS share FROM (SELECT count(*) AS n FROM fam WHERE family IS NOT NULL GROUP BY family ORDER BY n DESC LIMIT 5)"), lambda t, fam: M.concentration(fam()))
 family_query("family_week_change", family_sql("""SELECT g.family, g.week, g.n, round(ty, 6) AS typical, round(g.n - ty, 6) AS change, CASE WHEN ty > 0 THEN CAST(floor((g.n - ty) / ty * 100 + 0.5) AS BIGINT) END AS pct, coalesce(ty = 0 AND g.n > 0, false) AS is_new FROM
  (SELECT *, avg(n) OVER (PARTITION BY family ORDER BY week ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS ty FROM (SELECT f.family, wk.week, count(a.row_id) AS n FROM (SELECT DISTINCT family FROM fam WHERE family IS NOT NULL) f CROSS JOIN wk LEFT JOIN (SELECT row_id, week, family AS fm FROM annotated JOIN fam USING (row_id)) a ON a.fm = f.family AND a.week = wk.week GROUP BY 1, 2)) g""", WEEKS), lambda t, fam: M.week_change(t.join(fam().filter("family IS NOT NULL"), "row_id"), t).withColumns({"typical": F.round("typical", 6), "change": F.round("change", 6)}))
-family_query("family_composition", None, lambda t, fam: M.composition(fam()))
-family_query("family_segments", None, lambda t, fam: M.segments(fam()))
-family_query("family_breakdown", None, lambda t, fam: M.breakdown(t, fam(), "assignment_group"))
-family_query("family_identity", None, lambda t, fam: M.identity(t, fam()))
-family_query("family_partition_hash", None, lambda t, fam: M.partition_hash(t, fam()))
-family_query("family_rows", None, lambda t, fam: (lambda f: M.family_rows(t, f, filtered(t, Filters(FILTERS.months)), "2024-W09"))(checkpoint(fam())))
-family_query("family_cards", None, lambda t, fam: M.cards(t, checkpoint(fam()), "2024-W09"))
-family_query("family_activity", None, lambda t, fam: M.activity(t, fam(), filtered(t, Filters(FILTERS.months))))
-family_query("family_representatives", None, lambda t, fam: M.representatives(t, fam(), M.tfidf(M.variant(t))))
-family_query("family_common_words", None, lambda t, fam: M.common_words(fam(), M.tfidf(M.variant(t))))
-family_query("family_names", None, lambda t, fam: M.representatives(t, fam(), M.tfidf(M.variant(t))).join(M.open_text(t), "row_id").select("family", M.group_name(F.col("text")).alias("name")))
-family_query("family_partitions", None, lambda t, fam: M.partitions(t))
+
+def largest_sql(table: str, order: str, part: str = "") -> str:
+    """Whole percentages of n that sum to 100, as ``largest_remainder`` gives them."""
+    share = f"SELECT *, CASE WHEN sum(n) OVER ({part}) > 0 THEN n * CAST(100 AS DOUBLE) / sum(n) OVER ({part}) END AS _x FROM {table}"
+    return f"(SELECT *, CAST(CASE WHEN _x IS NULL THEN 0 ELSE _f + CASE WHEN row_number() OVER ({part} ORDER BY _x - _f DESC, {order}) <= 100 - sum(_f) OVER ({part}) THEN 1 ELSE 0 END END AS BIGINT) AS pct FROM (SELECT *, floor(_x) AS _f FROM ({share})))"
+
+
+def breakdown_sql(dimension: str, name: str) -> str:
+    return f"""{name}_c AS (SELECT family, {known_sql(dimension)} AS value, count(*) AS n FROM annotated JOIN fam USING (row_id) WHERE family IS NOT NULL GROUP BY 1, 2),
+{name}_r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY n DESC, value IS NULL, value COLLATE en, value) AS r FROM {name}_c),
+{name}_g AS (SELECT family, least(r, 6) AS place, max(CASE WHEN r <= 5 THEN coalesce(value, '(none)') ELSE 'Other' END) AS value, count(*) AS entries, CAST(sum(n) AS BIGINT) AS n FROM {name}_r GROUP BY 1, 2),
+{name} AS (SELECT family, CAST(place AS INTEGER) AS place, value, entries, n, pct FROM {largest_sql(f"{name}_g", "place", "PARTITION BY family")})"""
+
+
+LIST_HASH = "sha256(concat('[\"', array_to_string(list_sort(list({0})), '\",\"'), '\"]'))"
+MEMBER = "sha256(concat('FAM-01|', number))"
+IDENTITY = f"""mem AS (SELECT family, {MEMBER} AS m FROM annotated JOIN fam USING (row_id) WHERE family IS NOT NULL),
+fh AS (SELECT family, count(*) AS size, {LIST_HASH.format('m')} AS h FROM mem GROUP BY 1),
+idn AS (SELECT family, size, concat('F', lpad(CAST(row_number() OVER (ORDER BY size DESC, h) AS VARCHAR), 3, '0')) AS display_id FROM fh)"""
+CALENDAR = "cw AS (SELECT strftime(d, '%G-W%V') AS week FROM (SELECT unnest(generate_series((SELECT date_trunc('week', CAST(min(opened) AS TIMESTAMP)) FROM annotated)::TIMESTAMP, (SELECT CAST(max(opened) AS TIMESTAMP) FROM annotated), INTERVAL 7 DAY)) AS d))"
+
+
+def change_sql(rows: str, name: str) -> str:
+    """Counts of each family in ``rows`` on every week with data, and what is typical before each."""
+    return f"""{name}_g AS (SELECT f.family, wk.week, count(v.row_id) AS n FROM (SELECT DISTINCT family FROM {rows}) f CROSS JOIN wk LEFT JOIN {rows} v ON v.family = f.family AND v.week = wk.week GROUP BY 1, 2),
+{name} AS (SELECT *, avg(n) OVER (PARTITION BY family ORDER BY week ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS ty FROM {name}_g)"""
+
+
+FAMILY_ROWS = "fr AS (SELECT a.*, family FROM annotated a JOIN fam USING (row_id) WHERE family IS NOT NULL)"
+SEEN_ROWS = f"vr AS (SELECT * FROM fr WHERE {_MONTHS})"
+VECTORS = """rw AS (SELECT family, row_id, term, weight FROM tv JOIN fam USING (row_id) WHERE family IS NOT NULL), tot AS (SELECT family, term, sum(weight) AS s FROM rw GROUP BY 1, 2),
+dt AS (SELECT family, row_id, sum(weight * s) AS vs, sum(weight * weight) AS vv FROM rw JOIN tot USING (family, term) GROUP BY 1, 2),
+cl AS (SELECT family, row_id, round((vs - vv) / (m - 1), 12) AS closeness FROM dt JOIN (SELECT family, count(*) AS m FROM fam GROUP BY 1) USING (family)),
+rep AS (SELECT family, row_id, closeness FROM (SELECT cl.*, row_number() OVER (PARTITION BY family ORDER BY closeness DESC, opened, """ + MEMBER + """) AS r FROM cl JOIN annotated USING (row_id)) WHERE r = 1)"""
+family_query("family_composition", family_sql("SELECT kind, groups, n, pct FROM " + largest_sql("(SELECT CASE WHEN family IS NULL THEN 'one-off' ELSE 'repeating' END AS kind, count(DISTINCT family) AS groups, count(*) AS n FROM fam GROUP BY 1)", "CASE WHEN kind = 'repeating' THEN 0 ELSE 1 END")), lambda t, fam: M.composition(fam()))
+family_query("family_segments", family_sql("SELECT CASE o WHEN 0 THEN 'top 5' WHEN 1 THEN 'next 20' WHEN 2 THEN 'remaining' ELSE 'one-off' END AS segment, groups, n, pct FROM " + largest_sql("""(SELECT o, CAST(sum(k) AS BIGINT) AS groups, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN r <= 5 THEN 0 WHEN r <= 25 THEN 1 ELSE 2 END AS o, n, 1 AS k FROM
+ (SELECT n, row_number() OVER (ORDER BY n DESC, family) AS r FROM fs WHERE family IS NOT NULL) UNION ALL SELECT 3, n, 0 FROM fs WHERE family IS NULL) GROUP BY o)""", "o"), "fs AS (SELECT family, count(*) AS n FROM fam GROUP BY 1)"), lambda t, fam: M.segments(fam()))
+family_query("family_breakdown", family_sql("SELECT * FROM bd", breakdown_sql("assignment_group", "bd")), lambda t, fam: M.breakdown(t, fam(), "assignment_group"))
+family_query("family_identity", family_sql("SELECT * FROM idn", IDENTITY), lambda t, fam: M.identity(t, checkpoint(fam())))
+family_query("family_partition_hash", family_sql(f"SELECT {LIST_HASH.format('h')} AS hash FROM fh", IDENTITY), lambda t, fam: M.partition_hash(t, fam()))
+family_query("family_rows", family_sql("""SELECT i.family, i.size, i.display_id, in_view, services, offerings, groups, no_service_share, weeks_present, c.n AS week_n, round(ty, 6) AS typical, round(c.n - ty, 6) AS change, CASE WHEN ty > 0 THEN CAST(floor((c.n - ty) / ty * 100 + 0.5) AS BIGINT) END AS pct,
+ coalesce(ty = 0 AND c.n > 0, false) AS is_new, weeks_present >= 3 AS recurring FROM idn i JOIN (SELECT family, count(*) AS in_view, count(DISTINCT service) AS services, count(DISTINCT service_offering) AS offerings, count(DISTINCT """ + known_sql("assignment_group") + """) AS groups, round(count(*) FILTER (service IS NULL) / count(*), 6) AS no_service_share,
+ count(DISTINCT nullif(week, '')) AS weeks_present FROM vr GROUP BY 1) s ON s.family = i.family LEFT JOIN (SELECT * FROM vc WHERE week = '2024-W09') c ON c.family = i.family""", IDENTITY, WEEKS, FAMILY_ROWS, SEEN_ROWS, change_sql("vr", "vc")), lambda t, fam: (lambda f: M.family_rows(t, f, filtered(t, Filters(FILTERS.months)), "2024-W09"))(checkpoint(fam())))
+family_query("family_cards", family_sql("""SELECT i.family, i.size, i.display_id, total, weeks_appeared, last_seen, first_seen, weekly, c.n AS week_n, CASE WHEN comparable THEN round(ty, 6) END AS typical, CASE WHEN comparable THEN round(c.n - ty, 6) END AS change,
+ g.value AS top_group, g.pct AS top_group_pct, g.pct < 50 AS mixed_group, v.value AS top_service, v.pct AS top_service_pct, v.pct < 50 AS mixed_service FROM idn i
+ JOIN (SELECT family, count(*) AS total, count(DISTINCT nullif(week, '')) AS weeks_appeared, max(opened) AS last_seen, min(opened) AS first_seen FROM fr GROUP BY 1) b ON b.family = i.family
+ JOIN (SELECT family, string_agg(CAST(n AS VARCHAR), ',' ORDER BY week) AS weekly FROM (SELECT f.family, cw.week, count(fr.row_id) AS n FROM (SELECT DISTINCT family FROM fr) f CROSS JOIN cw LEFT JOIN fr ON fr.family = f.family AND fr.week = cw.week GROUP BY 1, 2) GROUP BY 1) l ON l.family = i.family
+ LEFT JOIN (SELECT fc.*, (SELECT CAST(max(opened) AS DATE) FROM annotated) >= (SELECT CAST(date_trunc('week', CAST(max(opened) AS TIMESTAMP)) AS DATE) + 6 FROM annotated WHERE week = '2024-W09') AS comparable FROM fc WHERE week = '2024-W09') c ON c.family = i.family
+ JOIN (SELECT * FROM bg WHERE place = 1) g ON g.family = i.family JOIN (SELECT * FROM bv WHERE place = 1) v ON v.family = i.family""", IDENTITY, WEEKS, CALENDAR, FAMILY_ROWS, change_sql("fr", "fc"), breakdown_sql("assignment_group", "bg"), breakdown_sql("service", "bv")), lambda t, fam: M.cards(t, checkpoint(fam()), "2024-W09").withColumn("weekly", F.array_join(F.transform("weekly", lambda x: x.cast("string")), ",")))
+family_query("family_activity", family_sql("SELECT f.family, cw.week, (SELECT count(*) FROM vr WHERE vr.family = f.family AND vr.week = cw.week) AS in_view, (SELECT count(*) FROM fr WHERE fr.family = f.family AND fr.week = cw.week) AS whole FROM (SELECT DISTINCT family FROM fr) f CROSS JOIN cw", CALENDAR, FAMILY_ROWS, SEEN_ROWS), lambda t, fam: M.activity(t, checkpoint(fam()), filtered(t, Filters(FILTERS.months))))
+family_query("family_representatives", family_sql("SELECT family, row_id, round(closeness, 6) AS closeness FROM rep", VECTORS), lambda t, fam: M.representatives(t, checkpoint(fam()), checkpoint(M.tfidf(M.variant(t)))).withColumn("closeness", F.round("closeness", 6)))
+family_query("family_common_words", family_sql("SELECT family, CAST(rank AS INTEGER) AS rank, term FROM (SELECT family, term, row_number() OVER (PARTITION BY family ORDER BY w DESC, term) AS rank FROM (SELECT family, term, round(sum(weight), 9) AS w FROM rw WHERE NOT regexp_matches(term, '(^| )tok(hex|id|num)( |$)') GROUP BY 1, 2)) WHERE rank <= 5", VECTORS), lambda t, fam: M.common_words(fam(), M.tfidf(M.variant(t))))
+family_query("family_names", family_sql(r"SELECT family, CASE WHEN length(first) > 80 THEN concat(substring(first, 1, 79), '…') ELSE first END AS name FROM nm", VECTORS, r"""nl AS (SELECT family, i, trim(regexp_replace(regexp_replace(parts[i], '\[URL\]|\[[^\]]*\]', ' ', 'g'), '\s+', ' ', 'g')) AS line FROM (SELECT family, string_split(text, chr(10)) AS parts FROM rep JOIN ot USING (row_id)), range(1, len(parts) + 1) AS g(i)),
+nm AS (SELECT family, coalesce(arg_min(line, i) FILTER (len(list_filter(string_split(line, ' '), lambda w: regexp_matches(w, '\p{L}'))) >= 3), arg_min(line, i) FILTER (line <> ''), '') AS first FROM nl GROUP BY 1)"""), lambda t, fam: M.representatives(t, checkpoint(fam()), checkpoint(M.tfidf(M.variant(t)))).join(M.open_text(t), "row_id").select("family", M.group_name(F.col("text")).alias("name")))
+
+
+def partitions_sql() -> str:
+    ctes, selects = [EDGES.replace("0.6 - 1e-9", "0.5 - 1e-9")], []
+    for i, s in enumerate(M.THRESHOLDS):
+        part = PARTS.replace("FROM eg", f"FROM eg WHERE cos >= {s} - 1e-9")
+        for name in ("reach", "cp", "sz", "fam"):
+            part = re.sub(rf"\b{name}\b", f"{name}{i}", part)
+        ctes.append(part)
+        selects.append(f"SELECT row_id, CAST({s} AS DOUBLE) AS threshold, family FROM fam{i}")
+    return sql(" UNION ALL ".join(selects), OPEN, TFIDF, *ctes).replace("WITH base AS", "WITH RECURSIVE base AS", 1)
+
+
+family_query("family_partitions", partitions_sql(), lambda t, fam: M.partitions(t))
+family_query("family_member_list", family_sql("SELECT row_id, number, opened FROM annotated JOIN fam USING (row_id) WHERE family = 0"), lambda t, fam: M.family_members(t, checkpoint(fam()), 0, newest=True).select("row_id", "number", "opened"))
 family_query("cosine_edges", family_sql("SELECT src, dst, round(least(cos, 1.0), 6) AS cos FROM eg"), lambda t, fam: M.cosine_edges(checkpoint(M.variant(t)), 0.6).withColumn("cos", F.round("cos", 6)))
 query("problem_clusters", None, lambda t: C.cluster(t).select("row_id", "cluster_id"))
 query("clustered_problems", None, lambda t: (lambda x: S.problem_sheet(x))(checkpoint(C.cluster(t))))
