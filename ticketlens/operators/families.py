@@ -115,25 +115,42 @@ def tfidf(texts: DataFrame) -> DataFrame:
     return raw.select("row_id", "term", (F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("row_id")))).alias("weight"))
 
 
+#: Terms of at most so many texts are rare: all their pairs are summed before anything else is looked at.
+RARE = 30
+
+
 def cosine_edges(texts: DataFrame, least: float = THRESHOLDS[0]) -> DataFrame:
     """(src, dst, cos) with src < dst for all pairs of texts at ``least`` or more; identical texts hang on their first row.
 
-    Terms are ordered from rare to frequent. Where what is left of a row has a length below
-    ``least``, no row can reach it by the rest alone, so only terms before that point are joined.
+    What two texts share in rare terms is summed exactly; the rest is at most the product of the lengths of what
+    they have beyond rare terms, and only pairs for which both together can reach ``least`` are worked out. Pairs that
+    share no rare term must both be long beyond them; of such texts only terms are joined before the point where
+    what is left has a length below ``least``. Nothing is lost, and most pairs never carry their vectors.
     """
     groups = texts.filter("text <> ''").groupBy("text").agg(F.min("row_id").alias("rep"))
     named = texts.join(groups, "text")
     same = named.filter("row_id <> rep").select(F.col("rep").alias("src"), F.col("row_id").alias("dst"), F.lit(1.0).alias("cos"))
-    weights = checkpoint(tfidf(texts).join(groups.select(F.col("rep").alias("row_id")), "row_id", "left_semi"))
-    df = weights.groupBy("term").agg(F.count("*").alias("df"))
-    rare = Window.partitionBy("row_id").orderBy("df", "term")
-    left = 1 - F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(rare.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    prefix = weights.join(df, "term").withColumn("left", left).filter(F.col("left") >= (least - SLACK) ** 2 - SLACK).select("row_id", "term")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    pairs = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.row_id") < F.col("b.row_id"))).select(F.col("a.row_id").alias("src"), F.col("b.row_id").alias("dst")).distinct()
-    left_side = weights.select(F.col("row_id").alias("src"), "term", F.col("weight").alias("x"))
-    right_side = weights.select(F.col("row_id").alias("dst"), "term", F.col("weight").alias("y"))
-    dots = pairs.join(left_side, "src").join(right_side, ["dst", "term"]).groupBy("src", "dst").agg(F.sum(F.col("x") * F.col("y")).alias("cos"))
+    weights = tfidf(texts).join(groups.select(F.col("rep").alias("row_id")), "row_id", "left_semi")
+    weights = checkpoint(weights.select("row_id", F.xxhash64("term").alias("t"), F.xxhash64(F.lit(1), "term").alias("u"), "weight"))
+    df = weights.groupBy("t", "u").agg(F.count("*").alias("df"))
+    known = weights.join(df.filter("df > 1"), ["t", "u"])  # a term of one text is in no pair
+    square = F.col("weight") * F.col("weight")
+    # of the text's own length: what rare terms have, and what is left from each term on, from rare to frequent
+    ordered = Window.partitionBy("row_id").orderBy("df", "t", "u")
+    whole = Window.partitionBy("row_id")
+    known = known.withColumn("beyond", F.sqrt(F.sum(F.when(F.col("df") > RARE, square).otherwise(0.0)).over(whole))).withColumn("left", F.sum(square).over(whole) - F.coalesce(F.sum(square).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    known = checkpoint(known.filter((F.col("df") <= RARE) | ((F.col("beyond") >= least - SLACK) & (F.col("left") >= (least - SLACK) ** 2 - SLACK))))
+    a, b = known.alias("a"), known.alias("b")
+    term = (F.col("a.t") == F.col("b.t")) & (F.col("a.u") == F.col("b.u")) & (F.col("a.row_id") < F.col("b.row_id"))
+    room = F.col("a.beyond") * F.col("b.beyond")
+    ends = [F.col("a.row_id").alias("src"), F.col("b.row_id").alias("dst")]
+    rare = a.filter(F.col("a.df") <= RARE).join(b.filter(F.col("b.df") <= RARE), term).select(*ends, (F.col("a.weight") * F.col("b.weight")).alias("x"), room.alias("room"))
+    near = rare.groupBy("src", "dst").agg(F.sum("x").alias("x"), F.first("room").alias("room")).filter(F.col("x") + F.col("room") >= least - SLACK).select("src", "dst")
+    common = a.filter(F.col("a.df") > RARE).join(b.filter(F.col("b.df") > RARE), term & (room >= least - SLACK)).select(*ends)
+    pairs = checkpoint(near.union(common).distinct())
+    left_side = weights.select(F.col("row_id").alias("src"), "t", "u", F.col("weight").alias("x"))
+    right_side = weights.select(F.col("row_id").alias("dst"), "t", "u", F.col("weight").alias("y"))
+    dots = pairs.join(left_side, "src").join(right_side, ["dst", "t", "u"]).groupBy("src", "dst").agg(F.sum(F.col("x") * F.col("y")).alias("cos"))
     return dots.filter(F.col("cos") >= least - SLACK).select("src", "dst", F.least("cos", F.lit(1.0)).alias("cos")).union(same)
 
 
@@ -295,13 +312,13 @@ def breakdown(t: DataFrame, fam: DataFrame, dimension: str, most: int = 5) -> Da
 def representatives(t: DataFrame, fam: DataFrame, weights: DataFrame) -> DataFrame:
     """(family, row_id, closeness): the member with the highest mean cosine to the others, from the sum of all vectors.
 
-    Ties, to 12 decimals, go to the earliest opened, then to the member's hash.
+    Ties, to 9 decimals (sums of floats differ beyond them), go to the earliest opened, then to the member's hash.
     """
     rows = weights.join(fam.filter("family IS NOT NULL"), "row_id")
     total = rows.groupBy("family", "term").agg(F.sum("weight").alias("s"))
     size = fam.filter("family IS NOT NULL").groupBy("family").agg(F.count("*").alias("m"))
     dots = rows.join(total, ["family", "term"]).groupBy("family", "row_id").agg(F.sum(F.col("weight") * F.col("s")).alias("vs"), F.sum(F.col("weight") * F.col("weight")).alias("vv"))
-    mean = dots.join(size, "family").withColumn("closeness", F.round((F.col("vs") - F.col("vv")) / (F.col("m") - 1), 12))
+    mean = dots.join(size, "family").withColumn("closeness", F.round((F.col("vs") - F.col("vv")) / (F.col("m") - 1), 9))
     order = mean.join(t.select("row_id", "opened"), "row_id").join(member_keys(t), "row_id")
     return ranked(order, ["family"], F.desc("closeness"), F.col("opened"), F.col("member")).filter("rank = 1").select("family", "row_id", "closeness")
 

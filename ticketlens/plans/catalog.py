@@ -352,7 +352,7 @@ FAMILY_ROWS = "fr AS (SELECT a.*, family FROM annotated a JOIN fam USING (row_id
 SEEN_ROWS = f"vr AS (SELECT * FROM fr WHERE {_MONTHS})"
 VECTORS = """rw AS (SELECT family, row_id, term, weight FROM tv JOIN fam USING (row_id) WHERE family IS NOT NULL), tot AS (SELECT family, term, sum(weight) AS s FROM rw GROUP BY 1, 2),
 dt AS (SELECT family, row_id, sum(weight * s) AS vs, sum(weight * weight) AS vv FROM rw JOIN tot USING (family, term) GROUP BY 1, 2),
-cl AS (SELECT family, row_id, round((vs - vv) / (m - 1), 12) AS closeness FROM dt JOIN (SELECT family, count(*) AS m FROM fam GROUP BY 1) USING (family)),
+cl AS (SELECT family, row_id, round((vs - vv) / (m - 1), 9) AS closeness FROM dt JOIN (SELECT family, count(*) AS m FROM fam GROUP BY 1) USING (family)),
 rep AS (SELECT family, row_id, closeness FROM (SELECT cl.*, row_number() OVER (PARTITION BY family ORDER BY closeness DESC, opened, """ + MEMBER + """) AS r FROM cl JOIN annotated USING (row_id)) WHERE r = 1)"""
 family_query("family_composition", family_sql("SELECT kind, groups, n, pct FROM " + largest_sql("(SELECT CASE WHEN family IS NULL THEN 'one-off' ELSE 'repeating' END AS kind, count(DISTINCT family) AS groups, count(*) AS n FROM fam GROUP BY 1)", "CASE WHEN kind = 'repeating' THEN 0 ELSE 1 END")), lambda t, fam: M.composition(fam()))
 family_query("family_segments", family_sql("SELECT CASE o WHEN 0 THEN 'top 5' WHEN 1 THEN 'next 20' WHEN 2 THEN 'remaining' ELSE 'one-off' END AS segment, groups, n, pct FROM " + largest_sql("""(SELECT o, CAST(sum(k) AS BIGINT) AS groups, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN r <= 5 THEN 0 WHEN r <= 25 THEN 1 ELSE 2 END AS o, n, 1 AS k FROM
