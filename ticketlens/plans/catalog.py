@@ -19,8 +19,8 @@ from ticketlens.operators import problems as P
 from ticketlens.operators import profile as R
 from ticketlens.operators import trends as T
 from ticketlens.operators import weekly as W
-from ticketlens.plans.checks import known_sql, pct_sql, q, round1_sql, sql, whole_pct_sql
 from ticketlens.plans.filters import Filters, Selection, by_months, dimension_options, filtered, options, searched, with_label
+from ticketlens.plans.oracle import known_sql, pct_sql, q, round1_sql, sql, tokens_sql, truncate_sql, whole_pct_sql
 from ticketlens.plans.shared import checkpoint, stored
 from ticketlens.sources import sinks as S
 from ticketlens.sources.view import incidents, tickets
@@ -141,8 +141,6 @@ query("trend_history", sql("SELECT * FROM tr WHERE period <= '2024-W10' ORDER BY
 _CAUSES = """keyed AS (SELECT category, row_id, root_cause_text, CASE WHEN ck = '' THEN lower(root_cause_text) ELSE ck END AS cause_key FROM (SELECT *, array_to_string(list_sort({tok}), ' ') AS ck FROM annotated WHERE root_cause_text <> '')),
 causes AS (SELECT category, cause_key, arg_min(root_cause_text, row_id) AS cause, count(*) AS n, min(row_id) AS first_row FROM keyed GROUP BY 1, 2),
 top_causes AS (SELECT category, rank, cause, n, {pct} AS pct FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY n DESC, first_row) AS rank, (SELECT count(*) FROM annotated a WHERE a.category = causes.category) AS k FROM causes) WHERE rank <= 5)"""
-from ticketlens.plans.oracle import tokens_sql, truncate_sql  # noqa: E402
-
 CAUSES = _CAUSES.replace("{tok}", tokens_sql("root_cause_text")).replace("{pct}", pct_sql("n", "k"))
 TABLE = f"""top_name AS (SELECT category AS c, name FROM (SELECT category, short_desc_clean AS name, row_number() OVER (PARTITION BY category ORDER BY count(*) DESC, short_desc_clean COLLATE en, short_desc_clean) AS r FROM annotated WHERE short_desc_clean <> '' GROUP BY 1, 2) WHERE r = 1),
 flat AS (SELECT category, count(*) AS n, count(DISTINCT nullif(week, '')) AS weeks_active, coalesce(min(nullif(opened, '')), '') AS first_seen, coalesce(max(nullif(opened, '')), '') AS last_seen, {DOCUMENTED} AS documented, {pct_sql(DOCUMENTED, 'count(*)')} AS rca_coverage,
