@@ -29,10 +29,10 @@ from ticketlens.plans.shared import checkpoint, small_batches, spread_join, stor
 
 SIZE = 5
 SIMILARITY = 0.8
-#: Shingles in the prefixes of more texts than this go last; at most HOTTEST of them, which a task holds at once.
+#: Shingles of more texts than this, by a sample, go last; at most HOTTEST of them, which a task holds at once.
 COMMON = 50
 HOTTEST = 100_000
-SAMPLE = 4
+SAMPLE = 16
 MAP_BITS = 1 << 23
 #: A prefix has n // EXTRA shingles more than one common one asks for.
 EXTRA = 20
@@ -221,7 +221,7 @@ def near_copies(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARIT
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     with small_batches(docs.sparkSession):
         # any order of the shingles is right, so a share of the texts is enough to see which are common
-        sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(_prefixes(size, np.zeros(0, np.uint64), similarity), _PREFIXES)
+        sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(_prefixes(size, np.zeros(0, np.uint64), 0.0), _PREFIXES)  # whole sets
         sample = sample.dropDuplicates(["unit"]).withColumn("component", F.lit(0)).mapInArrow(_posts, "h long, u long, n int, rest int, component int")
         common = sample.groupBy("h").count().filter(F.col("count") > COMMON // SAMPLE).orderBy(F.desc("count"), "h").limit(HOTTEST)
         hot = np.sort(np.array([r.h for r in common.collect()], np.int64).view(np.uint64))
@@ -235,17 +235,21 @@ def near_copies(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARIT
         # then the first text of each shingle of the prefixes
         heads = _grouped(units.select("u"), links, "u").withColumnRenamed("u", "doc_id")
         posts = rows.select("doc_id", "n", "rest", "prefix").join(heads, "doc_id").mapInArrow(_posts, "h long, u long, n int, rest int, component long").repartition("h")
-        met = posts.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("h")
-        posts = stored(posts.join(met.hint("merge"), "h", "left_semi"))
-        # the most central text of each shingle: the one with the largest share of shingles that others have
-        share = posts.groupBy("u").agg((F.count("*") / F.first(F.col("n") - F.col("rest"))).alias("c"))
+        met = posts.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("texts")).filter("lo < hi").select("h", "texts")
+        posts = stored(posts.join(met.hint("merge"), "h"))
+        # the most central text of each shingle: the one whose shingles most texts have, so that a group's shingles agree on it
+        share = posts.groupBy("u").agg(F.sum("texts").alias("c"))
         central = posts.join(share.hint("merge"), "u")
         lead = central.groupBy("h").agg(F.max(F.struct("c", "u", "component", "n", "rest")).alias("f")).select("h", F.col("f.u").alias("lead"), F.col("f.component").alias("led"), F.col("f.n").alias("ln"), F.col("f.rest").alias("lr"))
-        posts = stored(spread_join(posts, lead, "h"))
+        posts = stored(spread_join(posts.drop("texts"), lead, "h"))
         star = posts.filter("component <> led").groupBy(F.col("lead").alias("a"), F.col("u").alias("b")).agg(F.count("*").alias("k"), *[F.first(c).alias(c) for c in ("n", "rest", "ln", "lr")])
         star = star.filter(f"2 * k >= {_common_least(similarity, 'n', 'ln', 'rest', 'lr')} AND least(n, ln) >= {similarity} * greatest(n, ln) - 1e-9")
+        star = checkpoint(star.select("a", "b"))
+        # central texts that may be similar to the same texts share a block, so that most of a pair's common shingles meet in one place
+        spots = checkpoint(connected_components(star, "a", "b").select(F.col("node").alias("lead"), F.col("component").alias("spot")))
         links = links.union(similar(star, docs, size, similarity))
-        posts = _grouped(posts.select("h", "u", "n", "rest", "lead"), links, "u")
+        posts = spread_join(posts.select("h", "u", "n", "rest", "lead"), spots, "lead", "left").withColumn("lead", F.coalesce("spot", "lead")).drop("spot")
+        posts = _grouped(posts, links, "u")
         mixed = posts.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("h")
         posts = stored(posts.join(mixed.hint("merge"), "h", "left_semi"))
         # all pairs that are left: inside blocks of a central text's texts
