@@ -8,11 +8,13 @@ rounds of joins; then every ticket picks its leader by itself. There is no limit
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ticketlens.plans.shared import checkpoint, numbered
+from ticketlens.plans.shared import checkpoint, forget, numbered, stored
 
 INDEX_SHARE = 0.2
 ALWAYS_INDEXED = 2
@@ -59,15 +61,21 @@ def _pairs(sets: DataFrame) -> DataFrame:
 
 
 def _leaders(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """sids of the leaders: no earlier leader that they see. One checkpoint of (sid, state) a round."""
-    edges = checkpoint(pairs.filter("b_sees_a").select("a", "b"))
-    state = checkpoint(sets.select("sid", F.lit(0).alias("state")))
-    while True:
-        ahead = edges.join(state.select(F.col("sid").alias("a"), F.col("state").alias("s")), "a").groupBy("b").agg(F.max(F.when(F.col("s") == 1, 1).otherwise(0)).alias("led"), F.max(F.when(F.col("s") == 0, 1).otherwise(0)).alias("open"))
-        now = F.when(F.col("state") != 0, F.col("state")).when(F.col("led") == 1, 2).when(F.coalesce("open", F.lit(0)) == 0, 1).otherwise(0)
-        state = checkpoint(state.join(ahead.withColumnRenamed("b", "sid"), "sid", "left").select("sid", now.alias("state")))
-        if not state.filter("state = 0").limit(1).count():
-            return state.filter("state = 1").select("sid")
+    """sids of the leaders: no earlier leader that they see.
+
+    Sets without an open earlier neighbour lead, those who see them follow, and only the pairs among the others
+    go on to the next round, as a table of known size.
+    """
+    edges = stored(pairs.filter("b_sees_a").select("a", "b"))
+    led = []
+    while not edges.isEmpty():
+        heads = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        followers = stored(edges.join(heads, "a", "left_semi").select(F.col("b").alias("sid")).distinct())
+        led.append(followers)
+        left = stored(edges.join(followers.withColumnRenamed("sid", "b"), "b", "left_anti").join(followers.withColumnRenamed("sid", "a"), "a", "left_anti"))
+        forget(edges)
+        edges = left
+    return sets.select("sid").join(reduce(DataFrame.union, led), "sid", "left_anti") if led else sets.select("sid")
 
 
 def cluster(t: DataFrame) -> DataFrame:

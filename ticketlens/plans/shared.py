@@ -30,16 +30,41 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through files in the shared folder; survives lost executors."""
+    """Cuts the lineage through files in the shared folder; survives lost executors.
+
+    The frame keeps the size that the planner had guessed for its plan. Iterations must use ``stored``: a guess
+    that is built on the guess of the round before grows without bound.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def _place(spark: SparkSession, path: str):
+    """A path and its file system, which need not be the driver's own disk."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: cuts the lineage, smaller on disk than a checkpoint."""
+    """The rows as a Parquet table in the shared folder: cuts the lineage, and the planner knows its true size.
+
+    The folder goes when the application ends, or earlier by ``forget``.
+    """
     path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place, system = _place(df.sparkSession, path)
+    system.deleteOnExit(place)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Deletes tables of ``stored`` that nothing reads any more; other frames and None are left alone."""
+    for df in tables:
+        if path := getattr(df, "_stored_at", None):
+            place, system = _place(df.sparkSession, path)
+            system.delete(place, True)
 
 
 @contextmanager
@@ -108,7 +133,7 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     least = max(HOT_ROWS, int(total * HOT_SHARE))
     if most <= least:
         return left.join(right, key, how)
-    hot = checkpoint(counts.filter(F.col("_k") > least).select(key, F.lit(True).alias("_hot")))
+    hot = stored(counts.filter(F.col("_k") > least).select(key, F.lit(True).alias("_hot")))
     columns = left.columns
     salted = left.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*columns), F.lit(SPREAD))).otherwise(F.lit(0).cast("long"))).drop("_hot")
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
