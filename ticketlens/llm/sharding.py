@@ -3,7 +3,7 @@
 Linked documents share a group. A round counts each group's members by shard, picks the
 shard that holds most of a group (of those with room), and moves the others there as long as the
 quota, counted after the round's departures, lasts; so full shards exchange equal numbers. Every move
-puts more pairs of a group together; rounds end when next to nothing moves any more. Documents without links are dealt last and fill every shard to its exact quota, so
+puts more pairs of a group together, so rounds end; they do so when nothing moves any more. Documents without links are dealt last and fill every shard to its exact quota, so
 counts differ by one at most whatever the links are.
 """
 
@@ -13,14 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.llm.rows import documents, keyed
-from ticketlens.plans.shared import HOT_ROWS, checkpoint, chunks_for, prefix_sum, spread_join
+from ticketlens.plans.shared import HOT_ROWS, chunks_for, forget, prefix_sum, spread_join, stored
 
 SHARDS = 16
 #: Far more rounds than moves last; beyond them an error is raised.
 ROUNDS = 200
-#: After so many rounds in a row, each with ties drawn anew, that moved fewer than a TOLERANCE of the linked rows, hardly anything is left to gain.
+#: Rounds without a move, each with ties drawn anew, after which nothing is left to move.
 STILL = 2
-TOLERANCE = 0.0005
 SEED = 77
 
 
@@ -65,7 +64,7 @@ def propagate(linked: DataFrame, quota: dict[int, int], rounds: int = ROUNDS) ->
     n = linked.count()
     chunks = chunks_for(n)
     state = prefix_sum(linked, [], F.lit(1), ["_rid"], "_at", _hashed(chunks, SEED)).select("_rid", "group", (F.col("_at") % shards).cast("int").alias("shard"))
-    state = checkpoint(state)
+    state = stored(state)
     still = 0
     hot = (state.groupBy("group").count().agg(F.max("count")).first()[0] or 0) > HOT_ROWS
     size = {s: k for s, k in state.groupBy("shard").count().collect()}
@@ -79,7 +78,7 @@ def propagate(linked: DataFrame, quota: dict[int, int], rounds: int = ROUNDS) ->
         choice = held.join(best, "group").filter("shard <> to AND lead >= n").select(place, "to")
         moves = state.withColumn("place", place)
         moves = (spread_join(moves, choice, "place", "inner", held.select(place, F.col("n").alias("_k"))) if hot else moves.join(choice, "place")).select("_rid", "shard", "to")
-        moves = checkpoint(moves)
+        moves = stored(moves)
         take = accepted({(s, t): k for s, t, k in moves.groupBy("shard", "to").count().collect()}, room)
         moved = sum(take.values())
         if moved:
@@ -87,8 +86,10 @@ def propagate(linked: DataFrame, quota: dict[int, int], rounds: int = ROUNDS) ->
                 size[s], size[t] = size[s] - k, size.get(t, 0) + k
             ranked = prefix_sum(moves, ["shard", "to"], F.lit(1), ["_rid"], "_rank", _hashed(max(1, chunks // shards), SEED + r + 1))
             taken = ranked.filter(F.col("_rank") < _by_table({s * shards + t: k for (s, t), k in take.items()}, F.col("shard") * shards + F.col("to"))).select("_rid", "to")
-            state = checkpoint(state.join(taken, "_rid", "left").select("_rid", "group", F.coalesce("to", "shard").alias("shard")))
-        still = still + 1 if moved <= TOLERANCE * n else 0
+            before, state = state, stored(state.join(taken, "_rid", "left").select("_rid", "group", F.coalesce("to", "shard").alias("shard")))
+            forget(before)
+        forget(moves)
+        still = 0 if moved else still + 1
         if not n or still == STILL:
             return state
     raise RuntimeError(f"labels still move after {rounds} rounds")
@@ -105,10 +106,10 @@ def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Data
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     mark = F.xxhash64(F.crc32(F.encode(text, "UTF-8")), text, F.lit(1))
-    rows = checkpoint(keyed(docs).select("_rid", "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.struct(F.xxhash64(text).alias("a"), mark.alias("b")).alias("group")))
+    rows = stored(keyed(docs).select("_rid", "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.struct(F.xxhash64(text).alias("a"), mark.alias("b")).alias("group")))
     n = rows.count()
     quota = quotas(n, shards)
-    groups = checkpoint(rows.groupBy("group").agg(F.count("*").alias("_k")).filter("_k > 1"))
+    groups = stored(rows.groupBy("group").agg(F.count("*").alias("_k")).filter("_k > 1"))
     linked = propagate(spread_join(rows.select("_rid", "group"), groups.select("group"), "group", "left_semi", groups), quota, rounds)
     size = {s: k for s, k in linked.groupBy("shard").count().collect()}
     free = {s: quota[s] - size.get(s, 0) for s in quota}
