@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ticketlens.llm.counts import op6_counts
 from ticketlens.llm.decontam import op5_decontamination
+from ticketlens.llm.minhash import op13_minhash
 from ticketlens.llm.mixing import op8_mixing
 from ticketlens.llm.pii import op4_pii
 from ticketlens.llm.quality import op3_quality
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_repeats": op10_repeats,
+    "op13_minhash": op13_minhash,
 }
 
 SQL: dict[str, str] = {"op7_rules": OP7_SQL}
