@@ -5,7 +5,7 @@ from itertools import combinations
 
 import numpy as np
 
-from ticketlens.llm.minhash import BANDS, ROWS, band_keys, minima, near_duplicates, op13_minhash, similar_groups
+from ticketlens.llm.minhash import MINIMA, band_keys, band_rows, minima, near_duplicates, op13_minhash, similar_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -88,5 +88,6 @@ def test_share_of_equal_minima_and_bands():
     rng = np.random.default_rng(1)
     common, a, b = rng.integers(0, 1 << 63, (3, 850), np.uint64)
     x, y = minima(np.concatenate([common, a[:75]])), minima(np.concatenate([common, b[:75]]))
-    assert abs((x == y).mean() - 0.85) < 0.08 and len(x) == BANDS * ROWS
-    assert (band_keys(x) == band_keys(y)).any() and not (band_keys(x) == band_keys(minima(a))).any()
+    assert abs((x == y).mean() - 0.85) < 0.08 and len(x) == MINIMA
+    assert band_rows(0.85) == 7 and band_rows(0.8) == 6 and band_rows(0.5) == 2
+    assert (band_keys(x, 7) == band_keys(y, 7)).any() and not (band_keys(x, 7) == band_keys(minima(a), 7)).any()

@@ -1,14 +1,14 @@
 """Near copies by MinHash: texts whose sets of word shingles reach a Jaccard similarity share a component.
 
-Every set gets ``BANDS * ROWS`` minima under multiply-shift universal hashes. A band of ``ROWS`` minima is a key; sets
+Every set gets ``MINIMA`` minima under multiply-shift universal hashes. A band of some minima is a key; sets
 that share a key are candidates, their signatures (a byte a minimum) estimate the similarity, and whole sets decide.
 Equal sets count once. A bucket is never spelled out as pairs: first every member meets the bucket's first text only,
 and links so found are joined into components by alternating large-star and small-star. Buckets that still hold
 several components are compared inside tasks, in cells of bounded size, and only pairs of different components whose signatures
 allow a link ever leave a task: those that look like links first, so that components grow before the doubtful ones are listed.
 
-A pair at the similarity is missed by all bands with a chance of (1 - s**ROWS)**BANDS (4e-7 at 0.8, 3e-10 at 0.85), and by its
-signature beyond ``MARGIN`` standard deviations (3e-7).
+Bands have as many minima as a chance of at most ``MISS`` allows that a pair at the similarity shares none of them; its signature
+falls short of it by more than ``MARGIN`` standard deviations with a chance of 3e-7.
 """
 
 from __future__ import annotations
@@ -30,16 +30,15 @@ from ticketlens.operators.graph import connected_components
 from ticketlens.plans.shared import forget, small_batches, spread_join, stored
 
 SIZE, SIMILARITY = 5, 0.85
-ROWS, BANDS = 6, 48
-MARGIN = 5.0
+MINIMA, MISS, MARGIN = 288, 1e-6, 5.0
 SEED = 13
 #: Texts of one side of a cell, and signatures that are compared at once.
 BLOCK, TILE = 1_024, 64
 
 _RANDOM = np.random.default_rng(SEED)
-_FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFTS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
-_BAND_FACTORS = _RANDOM.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = _RANDOM.integers(0, 1 << 63, MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFTS = _RANDOM.integers(0, 1 << 63, MINIMA, np.uint64)
+_KEY_FACTORS = _RANDOM.integers(0, 1 << 63, MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
@@ -52,14 +51,20 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band; bands differ in their factors, so keys of two bands do not meet but by chance."""
-    key = (least.reshape(BANDS, ROWS).astype(np.uint64) * _BAND_FACTORS).sum(1, dtype=np.uint64)
+def band_rows(similarity: float) -> int:
+    """Minima of a band: the more, the fewer unlike sets meet."""
+    return max([1, *(r for r in range(1, 33) if (1 - similarity**r) ** (MINIMA // r) <= MISS)])
+
+
+def band_keys(least: np.ndarray, rows: int) -> np.ndarray:
+    """A 64-bit key for each band of ``rows`` minima; bands differ in their factors, so keys of two bands do not meet but by chance."""
+    used = MINIMA // rows * rows
+    key = (least[:used].astype(np.uint64) * _KEY_FACTORS[:used]).reshape(-1, rows).sum(1, dtype=np.uint64)
     key ^= key >> np.uint64(29)
     return (key * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
 
-def _signed(size: int, fingerprints: bool):
+def _signed(size: int, band: int, fingerprints: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
             rows, keys = [], []
@@ -67,7 +72,7 @@ def _signed(size: int, fingerprints: bool):
                 own = np.unique(shingle_hashes(text, size))
                 least = minima(own)
                 rows.append((xxhash.xxh128_digest(own.tobytes()), len(own), packed(own) if fingerprints else 0, least.astype(np.uint8).tobytes()))
-                keys.append(band_keys(least) if len(own) else np.zeros(0, np.int64))
+                keys.append(band_keys(least, band) if len(own) else np.zeros(0, np.int64))
             ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.binary()))]
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))
@@ -76,9 +81,9 @@ def _signed(size: int, fingerprints: bool):
     return run
 
 
-def signatures(docs: DataFrame, size: int = SIZE, fingerprints: bool = False) -> DataFrame:
+def signatures(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, fingerprints: bool = False) -> DataFrame:
     """doc_id, unit (a hash of the set of shingles), n (its size), fp (its SimHash, if wanted), sig (a byte a minimum), keys (of its bands)."""
-    return docs.select("doc_id", "text").mapInArrow(_signed(size, fingerprints), "doc_id long, unit binary, n long, fp long, sig binary, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(_signed(size, band_rows(similarity), fingerprints), "doc_id long, unit binary, n long, fp long, sig binary, keys array<long>")
 
 
 def _sets(size: int):
@@ -91,12 +96,12 @@ def _sets(size: int):
 
 
 def _bytes(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), BANDS * ROWS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), MINIMA)
 
 
 def least_equal(similarity: float) -> int:
     """Equal signature bytes that a pair at the similarity has at least, but for a chance of ``MARGIN`` deviations; bytes are equal by chance once in 256."""
-    n, p = BANDS * ROWS, similarity + (1 - similarity) / 256
+    n, p = MINIMA, similarity + (1 - similarity) / 256
     return math.floor(n * p - MARGIN * math.sqrt(n * p * (1 - p)))
 
 
@@ -218,7 +223,7 @@ def similar_groups(docs: DataFrame, size: int, similarity: float, empties_linked
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     with small_batches(docs.sparkSession):
-        rows = stored(signatures(docs, size, fingerprints=first is not None))
+        rows = stored(signatures(docs, size, similarity, first is not None))
         heads = rows.groupBy("unit").agg(F.min("doc_id").alias("u"))
         units = stored(rows.select("doc_id", "n", "fp", "sig", "keys").join(heads.select(F.col("u").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "u"))
         confirmed = Confirmed(docs, size, similarity)
