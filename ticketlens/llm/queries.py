@@ -6,6 +6,7 @@ from ticketlens.llm.counts import op6_counts
 from ticketlens.llm.decontam import op5_decontamination
 from ticketlens.llm.minhash import op13_minhash
 from ticketlens.llm.mixing import op8_mixing
+from ticketlens.llm.negatives import OP12_SQL, op12_negatives
 from ticketlens.llm.pii import op4_pii
 from ticketlens.llm.quality import op3_quality
 from ticketlens.llm.repeats import op10_repeats
@@ -25,7 +26,8 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_repeats": op10_repeats,
+    "op12_negatives": op12_negatives,
     "op13_minhash": op13_minhash,
 }
 
-SQL: dict[str, str] = {"op7_rules": OP7_SQL}
+SQL: dict[str, str] = {"op7_rules": OP7_SQL, "op12_negatives": OP12_SQL}
