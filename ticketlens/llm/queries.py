@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ticketlens.llm.counts import op6_counts
 from ticketlens.llm.decontam import op5_decontamination
+from ticketlens.llm.lexical import OP11_SQL, op11_lexical
 from ticketlens.llm.minhash import op13_minhash
 from ticketlens.llm.mixing import op8_mixing
 from ticketlens.llm.negatives import OP12_SQL, op12_negatives
@@ -26,8 +27,9 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_repeats": op10_repeats,
+    "op11_lexical": op11_lexical,
     "op12_negatives": op12_negatives,
     "op13_minhash": op13_minhash,
 }
 
-SQL: dict[str, str] = {"op7_rules": OP7_SQL, "op12_negatives": OP12_SQL}
+SQL: dict[str, str] = {"op7_rules": OP7_SQL, "op11_lexical": OP11_SQL, "op12_negatives": OP12_SQL}
