@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,7 +14,7 @@ from ticketlens.functions.regex import SPACE, known, round_half_up, trim
 from ticketlens.operators.graph import connected_components
 from ticketlens.operators.problems import by_name, ranked
 from ticketlens.operators.weekly import available_weeks, calendar_weeks, comparable
-from ticketlens.plans.shared import checkpoint, numbered, prefix_sum
+from ticketlens.plans.shared import checkpoint, numbered, stored
 
 THRESHOLDS = (0.5, 0.6, 0.7, 0.8)
 VARIANTS = ("R0", "R1", "R2")
@@ -193,41 +197,77 @@ def member_keys(t: DataFrame) -> DataFrame:
     return t.crossJoin(unique).select("row_id", F.when(F.col("_u"), number).otherwise(other).alias("member"))
 
 
-#: Members of a list that is hashed as a whole.
-HASHED = 6_000
-
+def _hashed_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, hash) of each run of rows with one key: the SHA-256 of the JSON list of its items, one row at a time."""
+    key, state = None, None
+    for batch in batches:
+        done = []
+        for k, item in zip(batch.column("key").to_pylist(), batch.column("item").to_pylist(), strict=True):
+            if state is None or k != key:
+                if state is not None:
+                    state.update(b'"]')
+                    done.append((key, state.hexdigest()))
+                key, state = k, hashlib.sha256(b'["')
+            else:
+                state.update(b'","')
+            state.update(item.encode())
+        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in done], t) for c, t in enumerate((pa.int64(), pa.string()))], ["key", "hash"])
+    if state is not None:
+        state.update(b'"]')
+        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([state.hexdigest()])], ["key", "hash"])
+
+
+def list_hash(rows: DataFrame, key: str, item: str) -> DataFrame:
+    """(key, hash): the SHA-256 of the JSON list of each key's items in order.
+
+    Rows are sorted within tasks and fed into one running hash: no row, task or driver ever holds a list, whatever its
+    length. Items are hexadecimal hashes, which JSON writes as they are; ``key`` is a long.
+    """
+    rows = rows.select(F.col(key).cast("long").alias("key"), F.col(item).alias("item"))
+    return rows.repartition("key").sortWithinPartitions("key", "item").mapInArrow(_hashed_lists, "key long, hash string").withColumnRenamed("key", key)
 
-def list_hash(rows: DataFrame, by: list[str], item: str) -> DataFrame:
-    """(by, hash): the SHA-256 of the JSON list of each key's items in order.
 
-    Lists of more than ``HASHED`` items are hashed in parts of so many, and the list of the parts' hashes again,
-    so no row ever holds an unbounded list; up to ``HASHED`` items, which is more than the reference results cover, it is the plain hash.
-    Items are hexadecimal hashes, whose first digits deal them to tasks.
-    """
-    chunks = F.conv(F.substring(item, 1, 3), 16, 10).cast("int")
-    placed = prefix_sum(rows.select(*by, item), by, F.lit(1), [item], "_at", chunks)
-    while True:
-        placed = placed.withColumn("_part", F.floor(F.col("_at") / HASHED))
-        parts = placed.groupBy(*by, "_part").agg(F.sha2(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("_at", F.col(item).alias("i")))), lambda x: x["i"])), 256).alias(item))
-        parts = checkpoint(parts)
-        if (parts.agg(F.max("_part")).first()[0] or 0) == 0:
-            return parts.select(*by, F.col(item).alias("hash"))
-        placed = parts.withColumnRenamed("_part", "_at")
+def _hashed_nest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash) of all rows (first, item), in order: the SHA-256 of the JSON list of lists, one row at a time."""
+    state, now = hashlib.sha256(b"["), None
+    for batch in batches:
+        for first, item in zip(batch.column("first").to_pylist(), batch.column("item").to_pylist(), strict=True):
+            state.update(b'","' if first == now else b'["' if now is None else b'"],["')
+            state.update(item.encode())
+            now = first
+    state.update(b"]" if now is None else b'"]]')
+    yield pa.RecordBatch.from_arrays([pa.array([state.hexdigest()])], ["hash"])
 
 
 def identity(t: DataFrame, fam: DataFrame) -> DataFrame:
     """(family, size, display_id): F001 ... by size, then by a hash of the sorted members."""
-    members = checkpoint(fam.filter("family IS NOT NULL").join(member_keys(t), "row_id").select("family", "member"))
-    keys = list_hash(members, ["family"], "member").join(members.groupBy("family").agg(F.count("*").alias("size")), "family")
+    members = stored(fam.filter("family IS NOT NULL").join(member_keys(t), "row_id").select("family", "member"))
+    keys = list_hash(members, "family", "member").join(members.groupBy("family").agg(F.count("*").alias("size")), "family")
     order = numbered(keys.withColumn("_s", -F.col("size")), ["_s", "hash"], "_p")
-    return order.select("family", "size", F.concat(F.lit("F"), F.lpad((F.col("_p") + 1).cast("string"), 3, "0")).alias("display_id"))
+    place = (F.col("_p") + 1).cast("string")
+    return order.select("family", "size", F.concat(F.lit("F"), F.when(F.length(place) < 3, F.lpad(place, 3, "0")).otherwise(place)).alias("display_id"))
 
 
-def partition_hash(t: DataFrame, fam: DataFrame) -> DataFrame:
-    """(hash): a fingerprint of the whole partition, the same whatever the order of rows."""
-    members = checkpoint(fam.filter("family IS NOT NULL").join(member_keys(t), "row_id").select("family", "member"))
-    each = list_hash(members, ["family"], "member")
-    return list_hash(each.select(F.lit(1).alias("all"), "hash"), ["all"], "hash").select("hash")
+def numbers_unique(t: DataFrame) -> bool:
+    """Whether ticket numbers can name tickets: none is blank and none repeats, once trimmed."""
+    return t.agg(F.count("*") == F.count_distinct(F.nullif(trim(F.col("number")), F.lit("")))).first()[0]
+
+
+def partition_hash(t: DataFrame, fam: DataFrame, dataset: str = "tickets") -> DataFrame:
+    """(hash): the SHA-256 of the JSON list of families, each the sorted list of its tickets' keys, in their order; tickets alone are left out.
+
+    A ticket's key is a hash of the dataset's name and its number. Where numbers are blank or repeat nothing can name the
+    tickets, and an error is raised. Keys are unique, so families are in order by their least key: rows are sorted by it in parallel, and
+    one task reads them, in constant memory, as the hash of one text asks for.
+    """
+    if not numbers_unique(t):
+        raise ValueError("ticket numbers are blank or repeat: the partition's hash is blocked")
+    key = F.sha2(F.concat(F.lit(f"C-REAL-04|{dataset}|"), trim(F.col("number"))), 256)
+    members = stored(fam.filter("family IS NOT NULL").join(t.select("row_id", key.alias("item")), "row_id").select("family", "item"))
+    first = members.groupBy("family").agg(F.min("item").alias("first"))
+    ordered = checkpoint(members.join(first, "family").select("first", "item").orderBy("first", "item"))
+    nothing = hashlib.sha256(b"[]").hexdigest()
+    return ordered.coalesce(1).mapInArrow(_hashed_nest, "hash string").agg(F.coalesce(F.max("hash"), F.lit(nothing)).alias("hash"))
 
 
 def _week_counts(rows: DataFrame, weeks: DataFrame) -> DataFrame:
@@ -353,9 +393,10 @@ def activity(t: DataFrame, fam: DataFrame, visible: DataFrame) -> DataFrame:
 
 
 def ordered_cards(cards_: DataFrame, by_week: bool = False) -> DataFrame:
-    """Cards in the order in which they are shown: largest, or largest in the week; ties by display id."""
-    order = [F.desc("total"), F.col("display_id")]
-    return cards_.orderBy(*([F.desc(F.coalesce("week_n", F.lit(0)))] if by_week else []), *order)
+    """Cards with ``place``, their 1-based place as they are shown: largest, or largest in the week, first; ties by the display id's number."""
+    number = F.substring("display_id", 2, 20).cast("long")
+    keys = cards_.withColumns({"_w": -F.coalesce("week_n", F.lit(0)) if by_week else F.lit(0), "_t": -F.col("total"), "_i": number})
+    return numbered(keys, ["_w", "_t", "_i"], "_p").withColumn("place", F.col("_p") + 1).drop("_w", "_t", "_i", "_p")
 
 
 def history(t: DataFrame, fam: DataFrame) -> DataFrame:

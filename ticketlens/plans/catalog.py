@@ -162,8 +162,24 @@ query("problem_sheet", sql("""SELECT p.category, title, n, rca_coverage, coalesc
  LEFT JOIN (SELECT category, string_agg(concat(CAST(rank AS VARCHAR), '. ', cause, ' (', CAST(n AS VARCHAR), ')'), chr(10) ORDER BY rank) AS rc FROM top_causes WHERE rank <= 3 GROUP BY 1) c ON c.category = p.category
  LEFT JOIN (SELECT category, string_agg(concat(name, ' (', CAST(n AS VARCHAR), ')'), '; ' ORDER BY rank) AS tg FROM (SELECT category, coalesce(nullif(assignment_group, ''), 'Unassigned') AS name, count(*) AS n, row_number() OVER (PARTITION BY category ORDER BY count(*) DESC, name COLLATE en, name) AS rank FROM annotated GROUP BY 1, 2) WHERE rank <= 3 GROUP BY 1) g ON g.category = p.category
  LEFT JOIN (SELECT category, string_agg(number, ', ' ORDER BY row_id) AS sn FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY row_id) AS r FROM annotated) WHERE r <= 25 GROUP BY 1) s ON s.category = p.category""", TABLE, CAUSES), lambda t: S.problem_sheet(t, KEY).select(KEY, "title", "n", "rca_coverage", "root_causes", "top_groups", "sample_numbers"))
-_FIT = f"CASE WHEN length(short_desc_clean) > {config.CELL_LIMIT} THEN concat(substring(short_desc_clean, 1, {config.CELL_LIMIT - len(S.CUT_MARK)}), {q(S.CUT_MARK)}) ELSE short_desc_clean END AS short_desc_clean"
-query("detail_sheet", sql(f"SELECT a.category, title AS problem, number, {_FIT}, a.state, a.priority, opened, closed, assignment_group, assigned_to, total AS score, label, root_cause_text AS root_cause, channel FROM annotated a JOIN problem_table p ON p.category = a.category", TABLE), lambda t: (lambda x: S.detail_sheet(x, P.problem_table(x, KEY), KEY).join(x.select("number", "channel"), "number"))(t))
+def fit_sql(c: str) -> str:
+    mark = f"concat(chr(10), '…[TRUNCADO: el valor original tiene ', length({c}), ' caracteres; Excel admite {config.CELL_LIMIT}]')"
+    return f"CASE WHEN length({c}) > {config.CELL_LIMIT} THEN concat(substring({c}, 1, {config.CELL_LIMIT} - length({mark})), {mark}) ELSE nullif({c}, '') END"
+
+
+def serial_sql(c: str) -> str:
+    return f"(CAST(epoch(CAST(nullif({c}, '') AS TIMESTAMP)) AS BIGINT) + 2209161600) / CAST(86400 AS DOUBLE)"
+
+
+def _detail(t: DataFrame) -> DataFrame:
+    """With two columns that a file might have besides: a date and an amount, as text."""
+    wide = t.withColumns({"due": F.substring("opened", 1, 10), "size": F.concat(F.col("row_id").cast("string"), F.lit(".25"))})
+    return S.detail_sheet(wide, P.problem_table(t, KEY), KEY, {"due": "date", "size": "number"})
+
+
+_WHOLE = ", ".join(f"{fit_sql('a.' + c)} AS {c}" for c in ("number", "task_type", "priority", "state", "short_description", "description", "work_notes", "assignment_group", "assigned_to", "channel"))
+_NONE = ", ".join(f"CAST(NULL AS VARCHAR) AS {c}_text" for c in ("opened", "closed", "due", "size"))
+query("detail_sheet", sql(f"SELECT a.category, title AS problem, {_WHOLE}, {serial_sql('opened')} AS opened, {serial_sql('closed')} AS closed, {serial_sql('substring(opened, 1, 10)')} AS due, row_id + CAST(0.25 AS DOUBLE) AS size, {_NONE}, made_sla, week, round(resolution_hours, 6) AS resolution_hours, is_closed, total AS score, label, {', '.join(config.DIMS)}, root_cause_text AS root_cause FROM annotated a JOIN problem_table p ON p.category = a.category", TABLE), _detail)
 query("typed_cells", sql("SELECT row_id, strftime(CAST(opened AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS opened_at, CASE WHEN closed <> '' THEN strftime(CAST(closed AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') END AS closed_at, row_id + CAST(0.5 AS DOUBLE) AS as_number, CAST(NULL AS DOUBLE) AS not_a_number FROM annotated"), lambda t: t.select("row_id", F.date_format(S.as_date(F.col("opened")), "yyyy-MM-dd HH:mm:ss").alias("opened_at"), F.date_format(S.as_date(F.col("closed")), "yyyy-MM-dd HH:mm:ss").alias("closed_at"), S.as_number(F.concat(F.col("row_id").cast("string"), F.lit(".5"))).alias("as_number"), S.as_number(F.col("number")).alias("not_a_number")))
 query("metadata_sheet", sql("""SELECT unnest(['filters', 'opened_from', 'opened_to', 'tickets', 'problems', 'scorer_version', 'truncated_cells']) AS field, unnest(['all', (SELECT min(nullif(opened, '')) FROM annotated), (SELECT max(opened) FROM annotated), (SELECT CAST(count(*) AS VARCHAR) FROM annotated), (SELECT CAST(count(*) AS VARCHAR) FROM problem_table), '1',
  (SELECT CAST(count(*) FILTER (length(work_notes) > 32767) AS VARCHAR) FROM annotated)]) AS value""", TABLE), lambda t: S.metadata_sheet(t.select("opened", "work_notes", "row_id"), P.problem_table(t, KEY), "all"))
@@ -336,7 +352,7 @@ LIST_HASH = "sha256(concat('[\"', array_to_string(list_sort(list({0})), '\",\"')
 MEMBER = "sha256(concat('FAM-01|', number))"
 IDENTITY = f"""mem AS (SELECT family, {MEMBER} AS m FROM annotated JOIN fam USING (row_id) WHERE family IS NOT NULL),
 fh AS (SELECT family, count(*) AS size, {LIST_HASH.format('m')} AS h FROM mem GROUP BY 1),
-idn AS (SELECT family, size, concat('F', lpad(CAST(row_number() OVER (ORDER BY size DESC, h) AS VARCHAR), 3, '0')) AS display_id FROM fh)"""
+idn AS (SELECT family, size, concat('F', printf('%03d', row_number() OVER (ORDER BY size DESC, h))) AS display_id FROM fh)"""
 CALENDAR = "cw AS (SELECT strftime(d, '%G-W%V') AS week FROM (SELECT unnest(generate_series((SELECT date_trunc('week', CAST(min(opened) AS TIMESTAMP)) FROM annotated)::TIMESTAMP, (SELECT CAST(max(opened) AS TIMESTAMP) FROM annotated), INTERVAL 7 DAY)) AS d))"
 
 
@@ -357,7 +373,7 @@ family_query("family_segments", family_sql("SELECT CASE o WHEN 0 THEN 'top 5' WH
  (SELECT n, row_number() OVER (ORDER BY n DESC, family) AS r FROM fs WHERE family IS NOT NULL) UNION ALL SELECT 3, n, 0 FROM fs WHERE family IS NULL) GROUP BY o)""", "o"), "fs AS (SELECT family, count(*) AS n FROM fam GROUP BY 1)"), lambda t, fam: M.segments(fam()))
 family_query("family_breakdown", family_sql("SELECT * FROM bd", breakdown_sql("assignment_group", "bd")), lambda t, fam: M.breakdown(t, fam(), "assignment_group"))
 family_query("family_identity", family_sql("SELECT * FROM idn", IDENTITY), lambda t, fam: M.identity(t, checkpoint(fam())))
-family_query("family_partition_hash", family_sql(f"SELECT {LIST_HASH.format('h')} AS hash FROM fh", IDENTITY), lambda t, fam: M.partition_hash(t, fam()))
+family_query("family_partition_hash", family_sql("SELECT sha256(CAST(to_json(coalesce(list_sort(list(l)), [])) AS VARCHAR)) AS hash FROM (SELECT list_sort(list(sha256(concat('C-REAL-04|tickets|', trim(number))))) AS l FROM annotated JOIN fam USING (row_id) WHERE family IS NOT NULL GROUP BY family)"), lambda t, fam: M.partition_hash(t, fam()))
 family_query("family_rows", family_sql("""SELECT i.family, i.size, i.display_id, in_view, services, offerings, groups, no_service_share, weeks_present, c.n AS week_n, round(ty, 6) AS typical, round(c.n - ty, 6) AS change, CASE WHEN ty > 0 THEN CAST(floor((c.n - ty) / ty * 100 + 0.5) AS BIGINT) END AS pct,
  coalesce(ty = 0 AND c.n > 0, false) AS is_new, weeks_present >= 3 AS recurring FROM idn i JOIN (SELECT family, count(*) AS in_view, count(DISTINCT service) AS services, count(DISTINCT service_offering) AS offerings, count(DISTINCT """ + known_sql("assignment_group") + """) AS groups, round(count(*) FILTER (service IS NULL) / count(*), 6) AS no_service_share,
  count(DISTINCT nullif(week, '')) AS weeks_present FROM vr GROUP BY 1) s ON s.family = i.family LEFT JOIN (SELECT * FROM vc WHERE week = '2024-W09') c ON c.family = i.family""", IDENTITY, WEEKS, FAMILY_ROWS, SEEN_ROWS, change_sql("vr", "vc")), lambda t, fam: (lambda f: M.family_rows(t, f, filtered(t, Filters(FILTERS.months)), "2024-W09"))(checkpoint(fam())))
@@ -367,6 +383,9 @@ family_query("family_cards", family_sql("""SELECT i.family, i.size, i.display_id
  JOIN (SELECT family, string_agg(CAST(n AS VARCHAR), ',' ORDER BY week) AS weekly FROM (SELECT f.family, cw.week, count(fr.row_id) AS n FROM (SELECT DISTINCT family FROM fr) f CROSS JOIN cw LEFT JOIN fr ON fr.family = f.family AND fr.week = cw.week GROUP BY 1, 2) GROUP BY 1) l ON l.family = i.family
  LEFT JOIN (SELECT fc.*, (SELECT CAST(max(opened) AS DATE) FROM annotated) >= (SELECT CAST(date_trunc('week', CAST(max(opened) AS TIMESTAMP)) AS DATE) + 6 FROM annotated WHERE week = '2024-W09') AS comparable FROM fc WHERE week = '2024-W09') c ON c.family = i.family
  JOIN (SELECT * FROM bg WHERE place = 1) g ON g.family = i.family JOIN (SELECT * FROM bv WHERE place = 1) v ON v.family = i.family""", IDENTITY, WEEKS, CALENDAR, FAMILY_ROWS, change_sql("fr", "fc"), breakdown_sql("assignment_group", "bg"), breakdown_sql("service", "bv")), lambda t, fam: M.cards(t, checkpoint(fam()), "2024-W09").withColumn("weekly", F.array_join(F.transform("weekly", lambda x: x.cast("string")), ",")))
+CARD_ORDER = """SELECT family, display_id, total, week_n, row_number() OVER (ORDER BY {0}total DESC, CAST(substring(display_id, 2) AS BIGINT)) AS place FROM (SELECT i.family, display_id, count(*) AS total, count(*) FILTER (week = '2024-W09') AS week_n FROM idn i JOIN fr ON fr.family = i.family GROUP BY 1, 2)"""
+for _name, _by_week in (("family_card_order", False), ("family_card_order_week", True)):
+    family_query(_name, family_sql(CARD_ORDER.format("week_n DESC, " if _by_week else ""), IDENTITY, FAMILY_ROWS), lambda t, fam, by_week=_by_week: M.ordered_cards(M.cards(t, checkpoint(fam()), "2024-W09"), by_week).select("family", "display_id", "total", "week_n", "place"))
 family_query("family_activity", family_sql("SELECT f.family, cw.week, (SELECT count(*) FROM vr WHERE vr.family = f.family AND vr.week = cw.week) AS in_view, (SELECT count(*) FROM fr WHERE fr.family = f.family AND fr.week = cw.week) AS whole FROM (SELECT DISTINCT family FROM fr) f CROSS JOIN cw", CALENDAR, FAMILY_ROWS, SEEN_ROWS), lambda t, fam: M.activity(t, checkpoint(fam()), filtered(t, Filters(FILTERS.months))))
 family_query("family_representatives", family_sql("SELECT family, row_id, round(closeness, 6) AS closeness FROM rep", VECTORS), lambda t, fam: M.representatives(t, checkpoint(fam()), checkpoint(M.tfidf(M.variant(t)))).withColumn("closeness", F.round("closeness", 6)))
 family_query("family_common_words", family_sql("SELECT family, CAST(rank AS INTEGER) AS rank, term FROM (SELECT family, term, row_number() OVER (PARTITION BY family ORDER BY w DESC, term) AS rank FROM (SELECT family, term, round(sum(weight), 9) AS w FROM rw WHERE NOT regexp_matches(term, '(^| )tok(hex|id|num)( |$)') GROUP BY 1, 2)) WHERE rank <= 5", VECTORS), lambda t, fam: M.common_words(fam(), M.tfidf(M.variant(t))))

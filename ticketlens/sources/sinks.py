@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlens import config
@@ -10,17 +12,31 @@ from ticketlens.functions.dates import duration_text
 from ticketlens.functions.regex import trim
 from ticketlens.operators.problems import problems
 
-CUT_MARK = "… [cut]"
 
 
 def fit(c: Column, most: int = config.CELL_LIMIT) -> Column:
-    """A text that fits a spreadsheet's cell; longer ones end in a mark."""
-    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most - len(CUT_MARK)), F.lit(CUT_MARK))).otherwise(c)
+    """A text that fits a spreadsheet's cell; a longer one ends in a mark with its length."""
+    mark = F.concat(F.lit("\n…[TRUNCADO: el valor original tiene "), F.length(c).cast("string"), F.lit(f" caracteres; Excel admite {most}]"))
+    return F.when(F.length(c) > most, F.concat(F.substring(c, F.lit(1), F.lit(most) - F.length(mark)), mark)).otherwise(c)
+
+
+#: The shape of ISO date text, and the days from a spreadsheet's day 0 (1899-12-30) to 1970.
+ISO_DATE = r"^(\d{4})-(\d{2})-(\d{2})(?: (\d{2}):(\d{2})(?::(\d{2}))?)?$"
+SERIAL_OF_1970 = 25_569
 
 
 def as_date(c: Column) -> Column:
     t = trim(c)
-    return F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}(?: \d{2}:\d{2}(?::\d{2})?)?$"), F.try_to_timestamp(t))
+    return F.when(t.rlike(ISO_DATE), F.try_to_timestamp(t))
+
+
+def as_serial(c: Column) -> Column:
+    """An ISO date text as a spreadsheet's date number, as written; days and months beyond the calendar run on. Null for other texts."""
+    t = trim(c)
+    part = lambda k: F.coalesce(F.nullif(F.regexp_extract(t, ISO_DATE, k), F.lit("")).try_cast("int"), F.lit(0))
+    month = F.add_months(F.make_date(part(1), F.lit(1), F.lit(1)), part(2) - 1)
+    seconds = (F.unix_date(month).cast("long") + part(3) - 1 + SERIAL_OF_1970) * 86_400 + part(4) * 3_600 + part(5) * 60 + part(6)
+    return F.when(t.rlike(ISO_DATE), seconds / F.lit(86_400.0))
 
 
 def as_number(c: Column) -> Column:
@@ -39,17 +55,37 @@ def problem_sheet(t: DataFrame, key: str = "cluster_id") -> DataFrame:
     )
 
 
-def detail_sheet(t: DataFrame, sheet: DataFrame, key: str = "cluster_id") -> DataFrame:
-    """Tickets of the exported problems with problem title and score, then the file's other columns but excluded person columns."""
-    mine = ["number", "short_desc_clean", "state", "priority", "opened", "closed", "assignment_group", "assigned_to"]
-    standard = {*config.SOURCE_COLUMNS, *config.DIMENSION_COLUMNS, "row_id", "score", "category", "root_cause_text", "resolution_hours", "week", "month", "is_closed", "tokens", "all_notes", "human_notes", "short_desc_clean", "desc_clean", "is_auto_desc", key}
-    extra = [c for c in t.columns if c not in standard and c not in config.EXPORT_EXCLUDED]
-    taken = {*mine, "problem", "score", "label", "root_cause", key}
-    others = [F.col(f"`{c}`").alias(f"{c} (origen)" if c in taken else c) for c in extra]
-    kinds = dict(t.dtypes)
-    fitted = [fit(F.col(c)).alias(c) if kinds[c] == "string" else F.col(c) for c in mine]
-    titles = sheet.select(key, F.col("title").alias("problem"))
-    return t.join(titles, key).select(key, "problem", *fitted, F.col("score.total").alias("score"), F.col("score.label").alias("label"), F.col("root_cause_text").alias("root_cause"), *others)
+#: Canonical columns in the order of the detail sheet.
+CANONICAL = ("number", "task_type", "priority", "state", "short_description", "description", "work_notes", "assignment_group", "assigned_to", "opened", "closed", "channel", "made_sla")
+
+
+def cells(c: Column, name: str, kind: str) -> list[Column]:
+    """A column of one kind as typed cells: dates as serials, numbers as numbers; what is neither stays text in a column of its own."""
+    if kind not in ("date", "number"):
+        return [fit(F.nullif(c, F.lit(""))).alias(name)]
+    value = as_serial(c) if kind == "date" else as_number(c)
+    return [value.alias(name), F.when(value.isNull(), fit(F.nullif(c, F.lit("")))).alias(f"{name}_text")]
+
+
+def detail_sheet(t: DataFrame, sheet: DataFrame, key: str = "cluster_id", kinds: dict[str, str] | None = None) -> DataFrame:
+    """A row for each ticket of the exported problems: problem, canonical columns, what was worked out, then the file's other columns.
+
+    ``kinds`` are those of ``column_kinds``; columns of persons are left out, and a name that the sheet has itself gets " (origen)". Tickets
+    meet their problem by ``key``, never by number, so repeated numbers stay one row each.
+    """
+    made = {*CANONICAL, *config.DIMENSION_COLUMNS, "row_id", "score", "category", "root_cause_text", "resolution_hours", "week", "month", "is_closed", "tokens", "all_notes", "human_notes", "short_desc_clean", "desc_clean", "is_auto_desc", key}
+    extra = [c for c in t.columns if c not in made and c not in config.EXPORT_EXCLUDED]
+    kinds, types = kinds or {}, dict(t.dtypes)
+    out: list[Column] = [F.col(key), F.col("_title").alias("problem")]
+    for c in CANONICAL:
+        out += cells(F.col(c), c, "date") if c in ("opened", "closed") else [fit(F.nullif(F.col(c), F.lit(""))).alias(c) if types[c] == "string" else F.col(c)]
+    own = [F.col("category").alias("category"), "week", F.round("resolution_hours", 6).alias("resolution_hours"), "is_closed", F.col("score.total").alias("score"), F.col("score.label").alias("label"), *[F.col(f"score.dims.{d}").alias(d) for d in config.DIMS], F.col("root_cause_text").alias("root_cause")]
+    out += own if key != "category" else own[1:]
+    taken = {*CANONICAL, *config.DIMS, "problem", "category", "week", "resolution_hours", "is_closed", "score", "label", "root_cause", key}
+    for c in extra:
+        name, column = f"{c} (origen)" if c in taken else c, F.col(f"`{c}`")
+        out += cells(column, name, kinds.get(c, "text")) if types[c] == "string" else [column.alias(name)]
+    return t.join(sheet.select(key, F.col("title").alias("_title")), key).select(*out)
 
 
 def metadata_sheet(t: DataFrame, sheet: DataFrame, filters: str = "", version: str = "1") -> DataFrame:
@@ -66,3 +102,45 @@ def write(df: DataFrame, path: str, kind: str = "parquet") -> None:
     """Writes a sheet as a folder of files; Spark's committer makes a broken job leave no half result."""
     writer = df.write.mode("overwrite")
     writer.option("header", True).option("escape", '"').csv(path) if kind == "csv" else writer.format(kind).save(path)
+
+
+def _folder(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), lambda name: jvm.org.apache.hadoop.fs.Path(place, name)
+
+
+def write_set(sheets: dict[str, DataFrame], path: str) -> str:
+    """Writes several sheets as Parquet that appear together or not at all; returns the set's name.
+
+    Every sheet goes to a new folder of its own first. One small marker, renamed into place when all are complete, then makes
+    the set the newest: readers see the set before or the new one, whatever breaks in between. Sets are numbered by their markers.
+    """
+    spark = next(iter(sheets.values())).sparkSession
+    system, at = _folder(spark, path)
+    name = f"set-{uuid.uuid4().hex}"
+    for sheet, df in sheets.items():
+        write(df, f"{path}/{name}/{sheet}")
+    marker = at(f"{name}/marker")
+    stream = system.create(marker, True)
+    stream.write(bytearray(",".join(sheets).encode()))
+    stream.close()
+    if not system.rename(marker, at(f"marker-{len(_markers(spark, path)):08d}-{name}")):
+        raise OSError(f"the set {name} could not be made the newest in {path}")
+    return name
+
+
+def _markers(spark: SparkSession, path: str) -> list[str]:
+    system, at = _folder(spark, path)
+    found = system.globStatus(at("marker-*"))
+    return sorted(f.getPath().getName() for f in found) if found else []
+
+
+def read_set(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The sheets of the newest complete set; none where there is none."""
+    markers = _markers(spark, path)
+    if not markers:
+        return {}
+    name = markers[-1].split("-", 2)[2]
+    sheets = spark.read.text(f"{path}/{markers[-1]}").first()[0].split(",")
+    return {s: spark.read.parquet(f"{path}/{name}/{s}") for s in sheets}
