@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from ticketlens.functions.regex import SPACE, known, round_half_up, trim
 from ticketlens.operators.graph import connected_components
 from ticketlens.operators.problems import by_name, ranked
 from ticketlens.operators.weekly import available_weeks, calendar_weeks, comparable
-from ticketlens.plans.shared import checkpoint, numbered, stored
+from ticketlens.plans.shared import checkpoint, forget, numbered, small_batches, stored
 
 THRESHOLDS = (0.5, 0.6, 0.7, 0.8)
 VARIANTS = ("R0", "R1", "R2")
@@ -63,24 +65,99 @@ def _kept_words(texts: DataFrame, lines: DataFrame) -> DataFrame:
     return out.withColumn("keys", F.transform("words", lambda w: _zeros(F.lower(w))))
 
 
-def _grams(kept: DataFrame) -> DataFrame:
-    at = F.sequence(F.lit(1), F.greatest(F.size("keys") - (GRAM - 1), F.lit(1)))
-    grams = F.transform(at, lambda i: F.array_join(F.slice("keys", i, F.lit(GRAM)), "\x01"))
-    return kept.filter(F.size("keys") >= GRAM).select("row_id", F.posexplode(grams).alias("pos", "gram"))
+def _cut(texts: DataFrame, lines: DataFrame) -> DataFrame:
+    """(row_id, words, keys, h) of what template lines leave, stored: texts are cut once, h are hashes of the keys."""
+    return stored(_kept_words(texts, lines).withColumn("h", F.transform("keys", lambda k: F.xxhash64(k))))
+
+
+def _chain(h: np.ndarray) -> np.ndarray:
+    """A hash of each pair of neighbours."""
+    with np.errstate(over="ignore"):
+        mixed = h[:-1] * np.int64(-7046029254386353131) + h[1:]
+        return mixed ^ (mixed >> np.int64(29))
+
+
+def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(h), bool)
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+
+
+def _runs(words: np.ndarray, pairs: np.ndarray | None, length: int):
+    """(row_id, pos, gram, first) of each run of ``length`` frequent words whose pairs are frequent, too; first marks a run's first place in its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, places, grams, firsts = [], [], [], []
+            column = batch.column("h")
+            offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+            for row, (a, b) in enumerate(zip(offsets, offsets[1:], strict=False)):
+                if b - a < length:
+                    continue
+                h = values[a:b]
+                good = _among(h, words)
+                ok = np.lib.stride_tricks.sliding_window_view(good, length).all(1)
+                if pairs is not None:
+                    ok &= np.lib.stride_tricks.sliding_window_view(_among(_chain(h), pairs), length - 1).all(1)
+                at = np.flatnonzero(ok)
+                if not len(at):
+                    continue
+                gram = h
+                for _ in range(length - 1):
+                    gram = _chain(gram)
+                gram = gram[at]
+                first = np.zeros(len(at), bool)
+                first[np.unique(gram, return_index=True)[1]] = True
+                ids.append(np.full(len(at), row))
+                places.append(at)
+                grams.append(gram)
+                firsts.append(first)
+            if ids:
+                rows = batch.column("row_id").take(pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([rows, pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(grams)), pa.array(np.concatenate(firsts))], ["row_id", "pos", "gram", "first"])
+
+    return run
+
+
+_RUN = "row_id long, pos int, gram long, first boolean"
+
+
+def _frequent(counts: DataFrame, least: float) -> np.ndarray:
+    """Sorted hashes of the items (gram, df) of at least ``least`` texts. At most a text's mean number of items, divided by tau, are."""
+    return np.sort(np.array([r.gram for r in counts.filter(F.col("df") >= least - SLACK).toLocalIterator()], np.int64))
+
+
+def _template_runs(kept: DataFrame, tau: float) -> tuple[DataFrame, DataFrame]:
+    """Runs of five words at their places, only those that can be frequent, and the frequent ones (gram, df) among them.
+
+    A run of at least a share ``tau`` of the texts holds only words and pairs of so many texts. Both are counted first, and are few enough to be
+    held by every task, so that other runs are never made.
+    """
+    least = tau * kept.count()
+    narrow = kept.select("row_id", "h")
+    single = narrow.select(F.explode(F.array_distinct("h")).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    words = _frequent(single, least)
+    by_text = lambda runs: runs.filter("first").groupBy("gram").agg(F.count("*").alias("df"))
+    pairs = _frequent(by_text(narrow.mapInArrow(_runs(words, None, 2), _RUN)), least)
+    runs = stored(narrow.mapInArrow(_runs(words, pairs, GRAM), _RUN))
+    return runs, stored(by_text(runs).filter(F.col("df") >= least - SLACK))
 
 
 def template_grams(texts: DataFrame, lines: DataFrame, tau: float) -> DataFrame:
     """(gram, df): runs of five words that at least a share ``tau`` of the texts still have."""
-    n = texts.agg(F.count("*").alias("_n"))
-    return _grams(_kept_words(texts, lines)).groupBy("gram").agg(F.count_distinct("row_id").alias("df")).crossJoin(n).filter(F.col("df") / F.col("_n") >= tau).drop("_n")
+    kept = _cut(texts, lines)
+    runs, frequent = _template_runs(kept, tau)
+    one = runs.filter("first").join(F.broadcast(frequent), "gram").groupBy("gram", "df").agg(F.min(F.struct("row_id", "pos")).alias("at"))
+    named = one.select("df", F.col("at.row_id").alias("row_id"), F.col("at.pos").alias("pos")).join(kept.select("row_id", "keys"), "row_id")
+    return named.select(F.array_join(F.slice("keys", F.col("pos") + 1, F.lit(GRAM)), "\x01").alias("gram"), "df")
 
 
 def without_templates(texts: DataFrame, tau: float) -> DataFrame:
     """(row_id, text): words outside template lines and template runs, in their case, joined by spaces."""
-    lines = template_lines(texts, tau)
-    kept = _kept_words(texts, lines)
-    hits = _grams(kept).join(template_grams(texts, lines, tau).select("gram"), "gram", "left_semi").groupBy("row_id").agg(F.array_sort(F.collect_list("pos")).alias("hits"))
-    out = kept.join(hits, "row_id", "left")
+    kept = _cut(texts, template_lines(texts, tau))
+    runs, frequent = _template_runs(kept, tau)
+    hits = runs.join(F.broadcast(frequent.select("gram")), "gram", "left_semi").groupBy("row_id").agg(F.array_sort(F.collect_list("pos")).alias("hits"))
+    out = kept.select("row_id", "words").join(hits, "row_id", "left")
     left = F.filter("words", lambda w, i: ~F.coalesce(F.exists("hits", lambda h: (h <= i) & (i < h + GRAM)), F.lit(False)))
     return out.select("row_id", F.array_join(left, " ").alias("text"))
 
@@ -119,43 +196,94 @@ def tfidf(texts: DataFrame) -> DataFrame:
     return raw.select("row_id", "term", (F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("row_id")))).alias("weight"))
 
 
-#: Terms of at most so many texts are rare: all their pairs are summed before anything else is looked at.
-RARE = 30
+#: A term's texts are compared in cells of at most so many on either side.
+BLOCK = 2_048
+
+
+def _ordered_vectors(least: float):
+    """Each text's vector of unit length, from rare terms to frequent ones, and what is left of its length after each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("v")
+            offsets = column.offsets.to_numpy()
+            own, t, x = (column.values.field(c).to_numpy() for c in ("own", "t", "x"))
+            found = []
+            for a, b in zip(offsets, offsets[1:], strict=False):
+                w = x[a:b] / math.sqrt(float((x[a:b] ** 2).sum()))
+                order = np.lexsort((t[a:b], own[a:b]))
+                order = order[own[a:b][order] > 1]  # a term of one text is in no pair
+                w = w[order]
+                after = np.sqrt(np.maximum(np.cumsum((w * w)[::-1])[::-1] - w * w, 0.0))
+                found.append((t[a:b][order], own[a:b][order], w, after, int((w * w + after * after >= (least - SLACK) ** 2 - SLACK).sum())))
+            kinds = ((pa.int64(), 0), (pa.int64(), 1), (pa.float64(), 2), (pa.float64(), 3))
+            ends = pa.array(np.cumsum([0, *(len(f[0]) for f in found)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0), *(f[k] for f in found)]).astype(kind.to_pandas_dtype()) if k > 1 else np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]), kind)) for kind, k in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), *lists, pa.array([f[4] for f in found], pa.int32())], ["row_id", "t", "own", "w", "after", "cut"])
+
+    return run
 
 
-def cosine_edges(texts: DataFrame, least: float = THRESHOLDS[0]) -> DataFrame:
+def vectors(texts: DataFrame, least: float) -> DataFrame:
+    """(row_id, t, own, w, after, cut), stored: a packed TF-IDF vector for the first row of each distinct text.
+
+    t are hashed terms in more than one text, own how many distinct texts have them, rarest first; after is the length that is left behind
+    each, and the first ``cut`` terms are those before which at least ``least`` is left. Texts are cut once; terms of a text are counted where it lies.
+    """
+    n = texts.count()
+    uniq = texts.filter("text <> ''").groupBy("text").agg(F.min("row_id").alias("row_id"), F.count("*").alias("k"))
+    w = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]{2,})"))
+    cut = uniq.repartition("row_id").select("row_id", "k", w.alias("w"))
+    pairs = F.transform(F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.xxhash64(F.get("w", i), x))
+    terms = F.concat(F.transform("w", lambda x: F.xxhash64(x)), pairs)
+    counts = stored(cut.select("row_id", "k", F.explode(terms).alias("t")).groupBy("row_id", "k", "t").agg(F.count("*").alias("c")))
+    df = counts.groupBy("t").agg(F.sum("k").alias("df"), F.count("*").alias("own"))
+    x = (F.log(F.col("c").cast("double")) + 1) * (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1)
+    whole = counts.join(df.hint("merge"), "t").groupBy("row_id").agg(F.collect_list(F.struct("own", "t", x.alias("x"))).alias("v"))
+    out = stored(whole.mapInArrow(_ordered_vectors(least), "row_id long, t array<long>, own array<long>, w array<double>, after array<double>, cut int"))
+    forget(counts)
+    return out
+
+
+def _dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(src, dst, cos) from both packed vectors."""
+    for batch in batches:
+        sides = []
+        for t, w in (("ta", "wa"), ("tb", "wb")):
+            column = batch.column(t)
+            sides.append((column.offsets.to_numpy(), column.values.to_numpy(), batch.column(w).values.to_numpy()))
+        (oa, ta, wa), (ob, tb, wb) = sides
+        out = np.zeros(batch.num_rows)
+        for k in range(batch.num_rows):
+            a, b = slice(oa[k], oa[k + 1]), slice(ob[k], ob[k + 1])
+            _, p, q = np.intersect1d(ta[a], tb[b], assume_unique=True, return_indices=True)
+            out[k] = float(wa[a][p] @ wb[b][q])
+        yield pa.RecordBatch.from_arrays([batch.column("src"), batch.column("dst"), pa.array(out)], ["src", "dst", "cos"])
+
+
+def cosine_edges(texts: DataFrame, least: float = THRESHOLDS[0], block: int = BLOCK) -> DataFrame:
     """(src, dst, cos) with src < dst for all pairs of texts at ``least`` or more; identical texts hang on their first row.
 
-    What two texts share in rare terms is summed exactly; the rest is at most the product of the lengths of what
-    they have beyond rare terms, and only pairs for which both together can reach ``least`` are worked out. Pairs that
-    share no rare term must both be long beyond them; of such texts only terms are joined before the point where
-    what is left has a length below ``least``. Nothing is lost, and most pairs never carry their vectors.
+    Terms go from rare to frequent. Behind a shared term two texts have at most the product of the lengths that are left in common, so a pair is
+    looked at under a term only if both together can still reach ``least`` there; the terms for which it can come before those for which it cannot.
+    What these terms give, and what is left behind the last, bounds the pair's cosine, and only pairs whose bound reaches ``least`` have their packed vectors
+    joined and multiplied. Nothing is lost. A term's texts are dealt into blocks, whose pairs meet in separate tasks.
     """
     groups = texts.filter("text <> ''").groupBy("text").agg(F.min("row_id").alias("rep"))
-    named = texts.join(groups, "text")
-    same = named.filter("row_id <> rep").select(F.col("rep").alias("src"), F.col("row_id").alias("dst"), F.lit(1.0).alias("cos"))
-    weights = tfidf(texts).join(groups.select(F.col("rep").alias("row_id")), "row_id", "left_semi")
-    weights = checkpoint(weights.select("row_id", F.xxhash64("term").alias("t"), F.xxhash64(F.lit(1), "term").alias("u"), "weight"))
-    df = weights.groupBy("t", "u").agg(F.count("*").alias("df"))
-    known = weights.join(df.filter("df > 1"), ["t", "u"])  # a term of one text is in no pair
-    square = F.col("weight") * F.col("weight")
-    # of the text's own length: what rare terms have, and what is left from each term on, from rare to frequent
-    ordered = Window.partitionBy("row_id").orderBy("df", "t", "u")
-    whole = Window.partitionBy("row_id")
-    known = known.withColumn("beyond", F.sqrt(F.sum(F.when(F.col("df") > RARE, square).otherwise(0.0)).over(whole))).withColumn("left", F.sum(square).over(whole) - F.coalesce(F.sum(square).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    known = checkpoint(known.filter((F.col("df") <= RARE) | ((F.col("beyond") >= least - SLACK) & (F.col("left") >= (least - SLACK) ** 2 - SLACK))))
-    a, b = known.alias("a"), known.alias("b")
-    term = (F.col("a.t") == F.col("b.t")) & (F.col("a.u") == F.col("b.u")) & (F.col("a.row_id") < F.col("b.row_id"))
-    room = F.col("a.beyond") * F.col("b.beyond")
-    ends = [F.col("a.row_id").alias("src"), F.col("b.row_id").alias("dst")]
-    rare = a.filter(F.col("a.df") <= RARE).join(b.filter(F.col("b.df") <= RARE), term).select(*ends, (F.col("a.weight") * F.col("b.weight")).alias("x"), room.alias("room"))
-    near = rare.groupBy("src", "dst").agg(F.sum("x").alias("x"), F.first("room").alias("room")).filter(F.col("x") + F.col("room") >= least - SLACK).select("src", "dst")
-    common = a.filter(F.col("a.df") > RARE).join(b.filter(F.col("b.df") > RARE), term & (room >= least - SLACK)).select(*ends)
-    pairs = checkpoint(near.union(common).distinct())
-    left_side = weights.select(F.col("row_id").alias("src"), "t", "u", F.col("weight").alias("x"))
-    right_side = weights.select(F.col("row_id").alias("dst"), "t", "u", F.col("weight").alias("y"))
-    dots = pairs.join(left_side, "src").join(right_side, ["dst", "t", "u"]).groupBy("src", "dst").agg(F.sum(F.col("x") * F.col("y")).alias("cos"))
-    return dots.filter(F.col("cos") >= least - SLACK).select("src", "dst", F.least("cos", F.lit(1.0)).alias("cos")).union(same)
+    same = texts.join(groups, "text").filter("row_id <> rep").select(F.col("rep").alias("src"), F.col("row_id").alias("dst"), F.lit(1.0).alias("cos"))
+    packed = vectors(texts, least)
+    posts = packed.select("row_id", F.explode(F.slice(F.arrays_zip("t", "own", "w", "after"), F.lit(1), F.col("cut"))).alias("p")).select("row_id", "p.*")
+    posts = posts.withColumn("blocks", F.ceil(F.col("own") / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.expr("sequence(0, blocks - 1)"))
+    side = lambda name, i, j: posts.select("t", i.alias("i"), j.alias("j"), F.col("row_id").alias(name), F.col("w").alias(f"w_{name}"), F.col("after").alias(f"l_{name}"))
+    here, room = F.col("w_src") * F.col("w_dst"), F.col("l_src") * F.col("l_dst")
+    met = side("src", F.col("mine"), other).join(side("dst", other, F.col("mine")).hint("merge"), ["t", "i", "j"]).filter((F.col("src") < F.col("dst")) & (here + room >= least - SLACK))
+    near = stored(met.groupBy("src", "dst").agg(F.sum(here).alias("x"), F.min(room).alias("r")).filter(F.col("x") + F.col("r") >= least - SLACK).select("src", "dst"))
+    vector = lambda key, x: packed.select(F.col("row_id").alias(key), F.col("t").alias(f"t{x}"), F.col("w").alias(f"w{x}")).hint("merge")
+    with small_batches(texts.sparkSession):
+        dots = stored(near.join(vector("src", "a"), "src").join(vector("dst", "b"), "dst").mapInArrow(_dots, "src long, dst long, cos double").filter(F.col("cos") >= least - SLACK))
+    forget(near, packed)
+    return dots.select("src", "dst", F.least("cos", F.lit(1.0)).alias("cos")).union(same)
 
 
 def families(t: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
