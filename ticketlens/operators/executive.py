@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.functions.regex import known
+from ticketlens.operators.medians import medians
 from ticketlens.operators.origin import DIMENSIONS, with_dimensions
 from ticketlens.operators.problems import by_name, ranked
 
@@ -36,7 +37,8 @@ def pattern_breadth(t: DataFrame, key: str = "cluster_id") -> DataFrame:
 
 
 def median_hours(t: DataFrame) -> DataFrame:
-    return t.agg(F.round(F.median("resolution_hours"), 6).alias("median_hours"))
+    """One row, null without closed tickets."""
+    return medians(t, [], F.col("resolution_hours"), "median_hours").agg(F.round(F.max("median_hours"), 6).alias("median_hours"))
 
 
 def executive_metrics(t: DataFrame, key: str = "cluster_id") -> DataFrame:

@@ -72,6 +72,19 @@ def facets(t: DataFrame, filters: Filters, dimension: str) -> DataFrame:
     return t.filter(filters.without(dimension).predicate()).groupBy(F.col(dimension).alias("value")).agg(F.count("*").alias("n"))
 
 
+def all_facets(t: DataFrame, filters: Filters) -> DataFrame:
+    """(dimension, value, n) of month, service and service_offering, each under all filters but its own, from one scan.
+
+    A row that fails no filter counts for every dimension, one that fails a single filter for that filter's dimension only.
+    """
+    alone = {"month": Filters(months=filters.months), "service": Filters(service=filters.service), "service_offering": Filters(service_offering=filters.service_offering)}
+    fails = {d: F.when(F.coalesce(f.predicate(), F.lit(False)), 0).otherwise(1) for d, f in alone.items()}
+    marked = t.select(*[F.col(d).alias(f"_v_{d}") for d in alone], *[c.alias(f"_f_{d}") for d, c in fails.items()])
+    others = lambda d: sum((F.col(f"_f_{o}") for o in alone if o != d), F.lit(0))
+    counted = F.array_compact(F.array(*[F.when(others(d) == 0, F.struct(F.lit(d).alias("dimension"), F.col(f"_v_{d}").alias("value"))) for d in alone]))
+    return marked.select(F.explode(counted).alias("c")).groupBy("c.dimension", "c.value").agg(F.count("*").alias("n"))
+
+
 def members(t: DataFrame, visible: DataFrame, key: str = "cluster_id") -> DataFrame:
     """(key, visible_count, total_count) of every cluster with visible tickets."""
     whole = t.groupBy(key).agg(F.count("*").alias("total_count"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ticketlens import config
 from ticketlens.functions.regex import pct, round_half_up, whole_pct
+from ticketlens.operators.medians import with_median
 
 TOTAL = "score.total"
 
@@ -30,7 +31,7 @@ def breach_pct(digits: int = 1) -> Column:
 def overview(t: DataFrame) -> DataFrame:
     """One row of documentation KPIs; zeros for an empty table."""
     n, labels = F.count("*"), {f"n_{x.lower()}": count_if(F.col("score.label") == x) for x in config.LABELS}
-    return t.agg(
+    row = t.agg(
         n.alias("total"),
         mean1(TOTAL).alias("avg_score"),
         *[c.alias(k) for k, c in labels.items()],
@@ -39,16 +40,18 @@ def overview(t: DataFrame) -> DataFrame:
         count_if(F.col("is_auto_desc")).alias("auto_generated"),
         count_if(F.col("score.note_count") == 0).alias("empty_notes"),
         F.coalesce(round_half_up(F.avg("score.note_chars")), F.lit(0)).cast("long").alias("avg_note_chars"),
-        F.coalesce(round_half_up(F.median("score.note_chars")), F.lit(0)).cast("long").alias("median_note_chars"),
         mean1("score.note_count").alias("avg_note_count"),
         pct(count_if(F.col("score.note_count") > 0), n).alias("has_human_notes_pct"),
     )
+    row = with_median(row, t, [], F.col("score.note_chars"), "median_note_chars")
+    return row.withColumn("median_note_chars", F.coalesce(round_half_up(F.col("median_note_chars")), F.lit(0)).cast("long"))
 
 
 def operational(t: DataFrame, key: str = "cluster_id") -> DataFrame:
     """Median hours, resolved and open counts, missed targets, share of tickets in problems of two or more."""
     n = F.count("*")
-    row = t.agg(F.round(F.median("resolution_hours"), 6).alias("median_hours"), F.count("resolution_hours").alias("resolved"), breach_pct(0).alias("sla_breach_pct"), count_if(~F.col("is_closed")).alias("open_count"), n.alias("_n"))
+    row = t.agg(F.count("resolution_hours").alias("resolved"), breach_pct(0).alias("sla_breach_pct"), count_if(~F.col("is_closed")).alias("open_count"), n.alias("_n"))
+    row = with_median(row, t, [], F.col("resolution_hours"), "median_hours").withColumn("median_hours", F.round("median_hours", 6))
     recurring = t.groupBy(key).agg(n.alias("k")).filter("k >= 2").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("_r"))
     return row.crossJoin(recurring).withColumn("recurring_pct", whole_pct(F.col("_r"), F.col("_n"))).drop("_n", "_r")
 

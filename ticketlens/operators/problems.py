@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ticketlens import config
 from ticketlens.functions.regex import pct
 from ticketlens.functions.text import normalized_key, truncate
+from ticketlens.operators.medians import with_median
 from ticketlens.operators.overview import _or, breach_pct, count_if, mean1
 
 
@@ -56,9 +57,10 @@ def problem_table(t: DataFrame, key: str = "cluster_id", least: int = 2) -> Data
     total = t.agg(n.alias("_total"))
     flat = t.groupBy(key).agg(
         n.alias("n"), weeks.alias("weeks_active"), F.coalesce(F.min(opened), F.lit("")).alias("first_seen"), F.coalesce(F.max(opened), F.lit("")).alias("last_seen"),
-        documented.alias("documented"), pct(documented, n).alias("rca_coverage"), F.median("resolution_hours").alias("median_hours"), breach_pct().alias("sla_breach_pct"),
+        documented.alias("documented"), pct(documented, n).alias("rca_coverage"), breach_pct().alias("sla_breach_pct"),
         mean1("score.total").alias("avg_score"), *([] if key == "category" else [F.min_by("category", "row_id").alias("category")]), F.min_by("short_desc_clean", "row_id").alias("_first"),
     ).filter(F.col("n") >= least)
+    flat = with_median(flat, t, [key], F.col("resolution_hours"), "median_hours")
     title = top_counts(t, key, F.col("short_desc_clean"), 1).select(key, F.col("name").alias("_name"))
     out = flat.join(title, key, "left").crossJoin(total)
     name = F.coalesce("_name", F.nullif(F.col("_first"), F.lit("")), F.lit("(no short description)"))
@@ -84,7 +86,8 @@ def problems(t: DataFrame, key: str = "cluster_id", least: int = 2) -> DataFrame
 def category_stats(t: DataFrame, key: str = "cluster_id") -> DataFrame:
     n, documented = F.count("*"), count_if(F.col("root_cause_text") != "")
     total = t.agg(n.alias("_total"))
-    rows = t.groupBy("category").agg(n.alias("n"), F.count_distinct(key).alias("distinct_problems"), pct(documented, n).alias("rca_coverage"), F.round(F.median("resolution_hours"), 6).alias("median_hours"), breach_pct().alias("sla_breach_pct"), mean1("score.total").alias("avg_score"))
+    rows = t.groupBy("category").agg(n.alias("n"), F.count_distinct(key).alias("distinct_problems"), pct(documented, n).alias("rca_coverage"), breach_pct().alias("sla_breach_pct"), mean1("score.total").alias("avg_score"))
+    rows = with_median(rows, t, ["category"], F.col("resolution_hours"), "median_hours").withColumn("median_hours", F.round("median_hours", 6))
     return rows.crossJoin(total).withColumn("share", pct(F.col("n"), F.col("_total"))).drop("_total")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ticketlens import config
 from ticketlens.functions.regex import round_half_up, whole_pct
+from ticketlens.operators.medians import with_median
 from ticketlens.operators.overview import breach_pct, mean1
 
 
@@ -15,19 +16,18 @@ def period_trends(t: DataFrame, period: str = "week") -> DataFrame:
     """One row for each week or month with tickets; undated tickets are left out."""
     n = F.count("*")
     dims = [mean1(f"score.dims.{d}").alias(f"avg_{d}") for d in config.DIMS]
-    return (
-        t.filter(F.col(period) != "").groupBy(F.col(period).alias("period")).agg(
-            n.alias("n"), mean1("score.total").alias("avg_score"), *dims,
-            whole_pct(F.count_if(F.col("score.label") == "Excellent"), n).alias("excellent_pct"),
-            whole_pct(F.count_if(F.col("score.label").isin("Poor", "Critical")), n).alias("poor_pct"),
-            whole_pct(F.count_if(F.col("score.dims.root_cause") == 0), n).alias("no_root_cause_pct"),
-            whole_pct(F.count_if(F.col("score.noise_ratio") > 0.5), n).alias("noise_pct"),
-            round_half_up(F.median("resolution_hours"), 1).alias("median_hours"),
-            breach_pct(0).alias("sla_breach_pct"),
-            whole_pct(F.count_if(F.col("root_cause_text") != ""), n).alias("rca_pct"),
-            F.count_if(~F.col("is_closed")).alias("open_count"),
-        )
+    rows = t.filter(F.col(period) != "").withColumn("period", F.col(period))
+    out = rows.groupBy("period").agg(
+        n.alias("n"), mean1("score.total").alias("avg_score"), *dims,
+        whole_pct(F.count_if(F.col("score.label") == "Excellent"), n).alias("excellent_pct"),
+        whole_pct(F.count_if(F.col("score.label").isin("Poor", "Critical")), n).alias("poor_pct"),
+        whole_pct(F.count_if(F.col("score.dims.root_cause") == 0), n).alias("no_root_cause_pct"),
+        whole_pct(F.count_if(F.col("score.noise_ratio") > 0.5), n).alias("noise_pct"),
+        breach_pct(0).alias("sla_breach_pct"),
+        whole_pct(F.count_if(F.col("root_cause_text") != ""), n).alias("rca_pct"),
+        F.count_if(~F.col("is_closed")).alias("open_count"),
     )
+    return with_median(out, rows, ["period"], F.col("resolution_hours"), "median_hours").withColumn("median_hours", round_half_up(F.col("median_hours"), 1))
 
 
 def trend_deltas(trends: DataFrame) -> DataFrame:

@@ -214,6 +214,8 @@ query("cross_tab", sql("SELECT CAST(grouping(svc, grp) AS INTEGER) AS level, svc
 query("pair_table", sql(f"SELECT svc AS left_value, off AS right_value, count(*) AS n, round(count(*) / (SELECT count(*) FROM d), 6) AS share, count(DISTINCT grp) AS distinct_groups, {_CAND} AS candidates, svc IS NULL OR off IS NULL AS is_partial FROM d GROUP BY 1, 2", DIM), lambda t: O.pair_table(t, "service", "offering", KEY))
 query("monthly_series", sql("SELECT v.svc AS value, m.month, count(d.row_id) AS n, (SELECT count(*) FROM d x WHERE x.month = m.month) AS month_total, round(count(d.row_id) / (SELECT count(*) FROM d x WHERE x.month = m.month), 6) AS share FROM (SELECT DISTINCT svc FROM d) v CROSS JOIN (SELECT DISTINCT month FROM d) m LEFT JOIN d ON d.svc IS NOT DISTINCT FROM v.svc AND d.month = m.month GROUP BY 1, 2", DIM), lambda t: O.monthly_series(t, "service"))
 query("facets", sql(f"SELECT service AS value, count(*) AS n FROM annotated WHERE {_MONTHS} AND {_OFFER} GROUP BY 1"), lambda t: O.facets(t, FILTERS, "service"))
+query("facets_all", sql(f"""SELECT 'month' AS dimension, month AS value, count(*) AS n FROM annotated WHERE {_SERVICE} AND {_OFFER} GROUP BY 2 UNION ALL SELECT 'service', service, count(*) FROM annotated WHERE {_MONTHS} AND {_OFFER} GROUP BY 2
+ UNION ALL SELECT 'service_offering', service_offering, count(*) FROM annotated WHERE {_MONTHS} AND {_SERVICE} GROUP BY 2"""), lambda t: O.all_facets(t, FILTERS))
 query("facets_offering", sql(f"SELECT service_offering AS value, count(*) AS n FROM annotated WHERE {_MONTHS} AND {_SERVICE} GROUP BY 1"), lambda t: O.facets(t, FILTERS, "service_offering"))
 query("cluster_members", sql(f"SELECT category, count(*) AS visible_count, (SELECT count(*) FROM annotated b WHERE b.category = a.category) AS total_count FROM annotated a WHERE {_MONTHS} GROUP BY 1"), lambda t: O.members(t, filtered(t, Filters(FILTERS.months)), KEY))
 query("candidate_context", sql(f"""SELECT c.category, c.visible_count, c.known_service, c.missing_service, c.distinct_services, c.missing_offering, c.distinct_groups, (SELECT count(*) FROM annotated b WHERE b.category = c.category) AS total_count, top_services, top_count,
