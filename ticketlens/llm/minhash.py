@@ -4,8 +4,9 @@ Every set gets ``MINIMA`` minima under multiply-shift universal hashes. A band o
 that share a key are candidates, their signatures (a byte a minimum) estimate the similarity, and whole sets decide.
 Equal sets count once. A bucket is never spelled out as pairs: first every member meets the bucket's first text only,
 and links so found are joined into components by alternating large-star and small-star. Buckets that still hold
-several components are compared inside tasks, in cells of bounded size, and only pairs of different components whose signatures
-allow a link ever leave a task: those that look like links first, so that components grow before the doubtful ones are listed.
+several components are compared inside tasks, in cells of bounded size. A first pass lets only as many of the likely links leave a cell as
+join its components. For what is then left apart texts get ``MORE`` further minima, which tell pairs below the similarity from pairs at it
+four times as sharply before whole sets are fetched.
 
 Bands have as many minima as a chance of at most ``MISS`` allows that a pair at the similarity shares none of them; its signature
 falls short of it by more than ``MARGIN`` standard deviations with a chance of 3e-7.
@@ -30,23 +31,26 @@ from ticketlens.operators.graph import connected_components
 from ticketlens.plans.shared import forget, small_batches, spread_join, stored
 
 SIZE, SIMILARITY = 5, 0.85
-MINIMA, MISS, MARGIN = 288, 1e-6, 5.0
+MINIMA, MORE, MISS, MARGIN = 288, 1_024, 1e-6, 5.0
 SEED = 13
+#: Bits of the map of ids that tasks hold, 8 MB.
+MOST_BITS = 1 << 26
 #: Texts of one side of a cell, and signatures that are compared at once.
 BLOCK, TILE = 1_024, 64
 
 _RANDOM = np.random.default_rng(SEED)
-_FACTORS = _RANDOM.integers(0, 1 << 63, MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFTS = _RANDOM.integers(0, 1 << 63, MINIMA, np.uint64)
-_KEY_FACTORS = _RANDOM.integers(0, 1 << 63, MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = _RANDOM.integers(0, 1 << 63, MINIMA + MORE, np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFTS = _RANDOM.integers(0, 1 << 63, MINIMA + MORE, np.uint64)
+_KEY_FACTORS = _RANDOM.integers(0, 1 << 63, MINIMA + MORE, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
+def minima(hashes: np.ndarray, part: slice = slice(0, MINIMA)) -> np.ndarray:
     """The least 32-bit value of a set of 64-bit hashes under each universal hash."""
-    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max)
+    factors, shifts = _FACTORS[part], _SHIFTS[part]
+    least = np.full(len(factors), np.iinfo(np.uint64).max)
     for at in range(0, len(hashes), 256):
-        block = hashes[at : at + 256, None] * _FACTORS
-        block += _SHIFTS
+        block = hashes[at : at + 256, None] * factors
+        block += shifts
         np.minimum(least, block.min(0), out=least)
     return (least >> np.uint64(32)).astype(np.uint32)
 
@@ -95,13 +99,22 @@ def _sets(size: int):
     return run
 
 
+def _further(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole)):
+            found = [minima(np.unique(shingle_hashes(t, size)), slice(MINIMA, None)).astype(np.uint8).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["u", "more"])
+
+    return run
+
+
 def _bytes(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), MINIMA)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
-def least_equal(similarity: float) -> int:
-    """Equal signature bytes that a pair at the similarity has at least, but for a chance of ``MARGIN`` deviations; bytes are equal by chance once in 256."""
-    n, p = MINIMA, similarity + (1 - similarity) / 256
+def least_equal(similarity: float, n: int = MINIMA) -> int:
+    """Equal bytes of ``n`` that a pair at the similarity has at least, but for a chance of ``MARGIN`` deviations; bytes are equal by chance once in 256."""
+    p = similarity + (1 - similarity) / 256
     return math.floor(n * p - MARGIN * math.sqrt(n * p * (1 - p)))
 
 
@@ -133,6 +146,43 @@ def _alike(similarity: float):
     return run
 
 
+def _slots(ids: pa.Array, bits: int) -> np.ndarray:
+    mixed = ids.to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(32)).astype(np.int64) & (bits - 1)
+
+
+def _marked(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(bits, bool)
+        for batch in batches:
+            seen[_slots(batch.column("doc_id"), bits)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()], pa.binary())], ["bits"])
+
+    return run
+
+
+def _sieved(seen: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _slots(batch.column("doc_id"), 8 * len(seen))
+            yield batch.filter(pa.array(seen[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1, pa.bool_()))
+
+    return run
+
+
+def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text) whose doc_id is in ``ids`` (doc_id, distinct, stored), without a shuffle of all texts.
+
+    A bitmap of 16 bits an id, ``MOST_BITS`` at most, spares most of the other texts before the exact join; with more ids it spares fewer.
+    """
+    n = ids.count()
+    bits = min(MOST_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
+    seen = np.zeros(bits // 8, np.uint8)
+    for row in ids.coalesce(8).mapInArrow(_marked(bits), "bits binary").toLocalIterator():
+        seen |= np.frombuffer(row.bits, np.uint8)
+    return docs.select("doc_id", "text").mapInArrow(_sieved(seen), "doc_id long, text string").join(ids, "doc_id", "left_semi")
+
+
 class Confirmed:
     """Confirms pairs (a, b) of doc_ids on whole sets. Only texts of some pair are cut into shingles, each once."""
 
@@ -144,7 +194,9 @@ class Confirmed:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         for old in self.made:
             ids = ids.join(old.select("doc_id"), "doc_id", "left_anti")
-        self.made.append(stored(self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(self.size), "doc_id long, shingles binary")))
+        ids = stored(ids)
+        self.made.append(stored(picked(self.docs, ids).mapInArrow(_sets(self.size), "doc_id long, shingles binary")))
+        forget(ids)
         sets = reduce(DataFrame.union, self.made)
         side = lambda key, name: sets.select(F.col("doc_id").alias(key), F.col("shingles").alias(name)).hint("merge")
         return stored(pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").mapInArrow(_alike(self.similarity), "a long, b long"))
@@ -156,26 +208,49 @@ def _grouped(units: DataFrame, links: list[DataFrame]) -> DataFrame:
     return stored(units.select("u").join(parts, "u", "left").select("u", F.coalesce("component", "u").alias("component")))
 
 
-def _compared(least: int):
-    """(a, b) of different components whose signatures have ``least`` equal bytes; rows come cell by cell."""
+def _compared(similarity: float, likely: bool):
+    """(a, b) of different components that may be similar by all bytes of their signatures; rows come cell by cell.
+
+    Of ``likely`` links, those halfway between what is allowed and equality, only as many are given as join the cell's components.
+    """
+    least = least_equal(similarity)
+    least = least + MINIMA >> 1 if likely else least
+
+    def told(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which pairs of whole signatures have enough equal bytes."""
+        enough = least_equal(similarity, x.shape[1])
+        return np.concatenate([np.zeros(0, bool), *[(x[k : k + 4_096] == y[k : k + 4_096]).sum(1) >= enough for k in range(0, len(x), 4_096)]])
 
     def cell(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         side, u, component = (part.column(c).to_numpy() for c in ("side", "u", "component"))
-        sig = _bytes(part.column("sig"))
         two = np.flatnonzero(side != side[0])
-        rows, others = (np.flatnonzero(side == side[0]), two) if len(two) else (np.arange(len(u)), np.arange(len(u)))
         if not len(two) and not part.column("within")[0].as_py():
             return
+        sig, root = _bytes(part.column("sig")), component.copy()
+        rows, others = (np.flatnonzero(side == side[0]), two) if len(two) else (np.arange(len(u)), np.arange(len(u)))
         for at in range(0, len(rows), TILE):
             tile = rows[at : at + TILE]
             equal = np.zeros((len(tile), len(others)), np.int16)
-            for k in range(0, sig.shape[1], 48):  # bytes in a few portions, so that what is compared at once stays small
+            for k in range(0, MINIMA, 48):  # bytes in a few portions, so that what is compared at once stays small
                 equal += (sig[tile, None, k : k + 48] == sig[None, others, k : k + 48]).sum(2, dtype=np.int16)
             i, j = np.nonzero((equal >= least) & (component[tile, None] != component[None, others]))
-            a, b = u[tile][i], u[others][j]
-            keep = np.ones(len(a), bool) if len(two) else a < b
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], ["a", "b"])
+            i, j = tile[i], others[j]
+            if likely:
+                kept = []
+                for x in np.unique(i).tolist():
+                    near = j[i == x]
+                    near = near[root[near] != root[x]]
+                    roots, first = np.unique(root[near], return_index=True)
+                    kept += [(x, y) for y in near[first].tolist()]
+                    root[np.isin(root, roots)] = root[x]
+                i, j = np.array(kept, np.int64).reshape(-1, 2).T
+            else:
+                keep = np.ones(len(i), bool) if len(two) else u[i] < u[j]
+                i, j = i[keep], j[keep]
+                good = told(sig[i], sig[j])
+                i, j = i[good], j[good]
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u[i], u[j])), pa.array(np.maximum(u[i], u[j]))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -240,18 +315,24 @@ def similar_groups(docs: DataFrame, size: int, similarity: float, empties_linked
             star = star.join(side("a", "p"), "a").join(side("b", "q"), "b").filter("p <> q").select("a", "b")
         seen = stored(star.join(sigs("b", "y"), "b").join(sigs("a", "x"), "a").mapInArrow(_allowed(similarity), "a long, b long"))
         links.append(confirmed(seen))
-        # buckets that hold several components: likely links first, then all that may be links
-        for least in (least_equal(similarity) + least_equal(1.0) >> 1, least_equal(similarity)):
+        # buckets that hold several components
+        for likely in (True, False):
             known = _grouped(units, links)
             held = posts.select("key", "u").join(known.hint("merge"), "u")
             mixed = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
             held = stored(held.join(mixed.hint("merge"), "key", "left_semi"))
-            cells = _cells(held, block).join(units.select("u", "sig").hint("merge"), "u")
-            cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compared(least), "a long, b long").distinct()
+            signed, more = units.select("u", "sig"), None
+            if not likely:
+                apart = stored(held.select(F.col("u").alias("doc_id")).distinct())
+                more = stored(picked(docs, apart).mapInArrow(_further(size), "u long, more binary"))
+                forget(apart)
+                signed = signed.join(more, "u").select("u", F.concat("sig", "more").alias("sig"))
+            cells = _cells(held, block).join(signed.hint("merge"), "u")
+            cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compared(similarity, likely), "a long, b long").distinct()
             fresh = stored(cells.join(seen.hint("merge"), ["a", "b"], "left_anti"))
             links.append(confirmed(fresh))
             seen = seen.union(fresh)
-            forget(held)
+            forget(held, more)
         known = _grouped(units, links)
         forget(posts)
     named = rows.select("doc_id", "unit", "n")
