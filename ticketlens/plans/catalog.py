@@ -20,6 +20,7 @@ from ticketlens.operators import profile as R
 from ticketlens.operators import trends as T
 from ticketlens.operators import weekly as W
 from ticketlens.plans.filters import Filters, Selection, by_months, dimension_options, filtered, options, searched, with_label
+from ticketlens.plans.ingested import TEXTS, ingested, ingested_kinds
 from ticketlens.plans.oracle import known_sql, pct_sql, q, round1_sql, sql, tokens_sql, truncate_sql, whole_pct_sql
 from ticketlens.plans.shared import checkpoint, stored
 from ticketlens.sources import sinks as S
@@ -76,6 +77,11 @@ DOCUMENTED = "count(*) FILTER (root_cause_text <> '')"
 # --- rows -----------------------------------------------------------------------------------
 QUERIES["incidents"] = lambda spark, sf_dir: incidents(spark, sf_dir)
 SQL["incidents"] = sql("SELECT * FROM incidents")
+# the same tickets after a way through CSV files, encodings, header aliases, date and flag texts, typed columns
+QUERIES["ingested_tickets"] = ingested
+SQL["ingested_tickets"] = sql(f"SELECT {', '.join(TEXTS)}, opened, closed, made_sla, nullif(service, '') AS service, nullif(service_offering, '') AS service_offering, CAST(NULL AS VARCHAR) AS resolution_code, substring(opened, 1, 10) AS due, row_id * 3 + CAST(0.25 AS DOUBLE) AS cost, CAST(row_id AS VARCHAR) AS order_id FROM incidents")
+QUERIES["ingested_kinds"] = ingested_kinds
+SQL["ingested_kinds"] = "SELECT export, column_name, kind FROM (VALUES ('display'), ('field')) AS e(export), (VALUES ('Due', 'date'), ('Cost', 'number'), ('Order ID', 'text')) AS k(column_name, kind) UNION ALL SELECT export, CASE WHEN export = 'display' THEN s ELSE f END, 'text' FROM (VALUES ('display'), ('field')) AS e(export), (VALUES ('Service', 'business_service'), ('Service offering', 'service_offering')) AS d(s, f)"
 query("enriched", sql("SELECT row_id, number, short_desc_clean, desc_clean, is_auto_desc, CAST(len(texts) AS INTEGER) AS human_notes FROM enriched"), lambda t: t.select("row_id", "number", "short_desc_clean", "desc_clean", "is_auto_desc", F.size("human_notes").alias("human_notes")))
 query("journal_notes", sql("SELECT row_id, CAST(pos - 1 AS INTEGER) AS pos, noted_at, author, note, is_system FROM notes"), lambda t: t.select("row_id", F.posexplode("all_notes").alias("pos", "x")).select("row_id", "pos", F.col("x.timestamp").alias("noted_at"), F.col("x.author").alias("author"), F.col("x.text").alias("note"), F.col("x.is_system").alias("is_system")))
 query("scores", sql(f"SELECT row_id, total, label, {', '.join(config.DIMS)}, round(noise_ratio, 6) AS noise_ratio, CAST(note_count AS INTEGER) AS note_count, CAST(note_chars AS INTEGER) AS note_chars, array_to_string(feedback, ' / ') AS feedback FROM annotated"), lambda t: t.select("row_id", "score.total", "score.label", "score.dims.*", F.round("score.noise_ratio", 6).alias("noise_ratio"), "score.note_count", "score.note_chars", F.array_join("score.feedback", " / ").alias("feedback")))

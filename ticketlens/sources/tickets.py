@@ -113,7 +113,7 @@ def canonical(df: DataFrame, row_id: Column, month_first: bool | None = None) ->
         header = source_header(df, headers)
         out.append((known(_quoted(header).cast("string")) if header else F.lit(None).cast("string")).alias(name))
     taken = {*config.SOURCE_COLUMNS, *config.DIMENSION_COLUMNS, "row_id"}
-    return df.select(*out, *[_quoted(c).alias(c if c not in taken else f"{c} (source)") for c in unmapped_columns(df)])
+    return df.select(*out, *[_quoted(c).alias(c if c.lower() not in taken else f"{c} (source)") for c in unmapped_columns(df)])
 
 
 def enriched(incidents: DataFrame) -> DataFrame:
