@@ -79,3 +79,34 @@ def test_streaming_weeks(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.table("volumes").collect()] == [("2025-W01", "VPN & Remote Access", 2)]
+
+
+def test_quoted_files_are_split_at_records_whatever_the_blocks(spark, tmp_path):
+    """Files cut into splits of a few hundred bytes, in the middle of quoted texts with line breaks and quotes, against the csv module."""
+    import csv
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        text = rng.choice(["plain", 'says "no"', "two\nlines", 'a "quoted\n\nbreak", and more', "", "comma, here", "ends with break\n", '"', "  spaces  "])
+        rows.append([f"INC{i}", text * rng.randint(1, 4), f"row {i}"])
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    for name, part, encoding, header in (("a.csv", rows[:200], "utf-8-sig", ["Number", "Description", "Extra"]), ("b.csv", [[a, f"Café – {t}", c] for a, t, c in rows[200:350]], "cp1252", ["Number", "Description", "Extra"]), ("c.csv", [[a, c] for a, _, c in rows[350:]], "utf-8", ["Number", "Other"]), ("d.csv", [["INC9000", "w\nide", "16"]], "utf-16", ["Number", "Description", "Extra"])):
+        with open(folder / name, "w", encoding=encoding, newline="") as f:
+            csv.writer(f, lineterminator="\r\n" if name == "a.csv" else "\n").writerows([header, *part])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("300", "1m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            df = S.read_csv(spark, str(folder))
+            got = sorted((r.Number, r.Description, r.Extra, r.Other) for r in df.collect())
+            want = [(a, t, c, "") for a, t, c in rows[:200]] + [(a, f"Café – {t}", c, "") for a, t, c in rows[200:350]] + [(a, "", "", c) for a, _, c in rows[350:]] + [("INC9000", "w\nide", "16", "")]
+            assert got == sorted(want)
+            if size == "300":
+                assert spark.read.text(str(folder / "a.csv")).rdd.getNumPartitions() > 10
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ticketlens import config
 from ticketlens.functions.dates import DAY_MONTH, normalize_date
 from ticketlens.functions.regex import known, trim
 from ticketlens.functions.text import clean_text, is_auto_description, parse_notes
+from ticketlens.plans.shared import prefix_sum, stored
 
 _EMAIL_HEADER = re.compile(r"(?:[^.]+\.)*e-?mail", re.I)
 MAPPED = {h for names in config.SOURCE_COLUMNS.values() for h in names}
@@ -43,25 +47,67 @@ def _quoted(name: str) -> Column:
     return F.col(f"`{name.replace('`', '``')}`")
 
 
+def _quotes(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    """(file, record, text) of lines (file, block, id, value): a line break inside quotes does not end a record.
+
+    Lines are those of Spark's splits, so a large file is read by many tasks. How many quotes come before a line is a prefix sum
+    over blocks, and so is the number of records; only then are the few lines of a record put together. Records count from 1.
+    """
+    before = prefix_sum(lines, ["file"], _quotes(F.col("value")), ["id"], "_quotes", F.col("block"))
+    starts = stored(before.withColumn("_start", (F.col("_quotes") % 2 == 0).cast("long")).drop("_quotes"))
+    placed = prefix_sum(starts, ["file"], F.col("_start"), ["id"], "_earlier", F.col("block")).withColumn("record", F.col("_earlier") + F.col("_start"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "id", "value"))), lambda x: x["value"]), "\n")
+    return placed.groupBy("file", "record").agg(joined.alias("text"))
+
+
+def _named(df: DataFrame) -> DataFrame:
+    """No null cells, no byte-order mark in names."""
+    df = df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
+    return df.select(*[F.coalesce(_quoted(c), F.lit("")).alias(c) for c in df.columns])
+
+
 def read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """CSV files with a header each; a file that is not valid UTF-8 is read as windows-1252.
 
-    Which files are which is one job over their bytes; the driver sees paths only. Columns are
-    joined by name, and a missing or empty cell is ''. A byte-order mark is dropped.
+    Files are split like any text, whatever is quoted in them, so one of many gigabytes is read by many tasks. Their
+    encoding is decided from all of their lines; the driver sees a row for each file (its path, encoding and header). Columns are
+    joined by name, and a missing or empty cell is ''. A byte-order mark is dropped. Files in UTF-16, which cannot be split at lines, are
+    read by a task each.
     """
-    files = spark.read.format("binaryFile").load(paths)
-    marked = files.select("path", F.is_valid_utf8(F.col("content").cast("string")).alias("utf8"), (F.hex(F.substring("content", 1, 2)).isin("FFFE", "FEFF")).alias("utf16"))
-    kinds = {r.path: "UTF-16" if r.utf16 else "UTF-8" if r.utf8 else "ISO-8859-1" for r in marked.collect()}
-    out = None
-    for encoding in sorted(set(kinds.values())):
-        named = [p for p, k in kinds.items() if k == encoding]
-        part = spark.read.csv(named, header=True, multiLine=True, quote='"', escape='"', encoding=encoding, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-        part = part.toDF(*[c.lstrip("﻿") for c in part.columns])
-        part = part.select(*[F.coalesce(_quoted(c), F.lit("")).alias(c) for c in part.columns])
+    source = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    source = stored(source)  # read once: another scan may cut the files into other splits
+    marks = F.hex(F.substring(F.col("value").cast("binary"), 1, 2))
+    first = F.min_by(marks, F.struct("block", "id"))
+    kinds = {r.file: "UTF-16" if r.mark in ("FFFE", "FEFF") else "UTF-8" if r.utf8 else "ISO-8859-1" for r in source.groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), first.alias("mark")).collect()}
+    parts = []
+    if wide := [f for f, k in kinds.items() if k == "UTF-16"]:
+        parts.append(_named(spark.read.csv(wide, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-16", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)))
+    table = str.maketrans({chr(b): c for b, c in CP1252.items()})
+    for encoding in ("ISO-8859-1", "UTF-8"):
+        if not (named := [f for f, k in kinds.items() if k == encoding]):
+            continue
+        lines = source.filter(F.col("file").isin(*named))
         if encoding == "ISO-8859-1":
-            table = str.maketrans({chr(b): c for b, c in CP1252.items()})
-            part = part.select(*[F.translate(_quoted(c), "".join(map(chr, CP1252)), "".join(CP1252.values())).alias(c.translate(table)) for c in part.columns])
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+            decoded = F.decode(F.col("value").cast("binary"), encoding)
+            lines = lines.withColumn("value", F.translate(decoded, "".join(map(chr, CP1252)), "".join(CP1252.values())))
+        records = stored(_records(lines))
+        headers: dict[str, list[str]] = {}
+        for r in records.filter("record = 1").select("file", "text").collect():
+            headers.setdefault(r.text.lstrip("\ufeff"), []).append(r.file)
+        options = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"}
+        for header, files in sorted(headers.items()):
+            names = [c.translate(table) if encoding == "ISO-8859-1" else c for c in next(csv.reader(io.StringIO(header)))]
+            names = [c if c.strip() else f"_c{i}" for i, c in enumerate(names)]
+            schema = StructType([StructField(f"c{i}", StringType()) for i in range(len(names))])
+            cells = records.filter(F.col("file").isin(*files) & (F.col("record") > 1) & (F.col("text") != "")).select(F.from_csv("text", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options).alias("r"))
+            parts.append(_named(cells.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
     return out.select(*[F.coalesce(_quoted(c), F.lit("")).alias(c) for c in out.columns])
 
 
