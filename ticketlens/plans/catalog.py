@@ -19,10 +19,11 @@ from ticketlens.operators import problems as P
 from ticketlens.operators import profile as R
 from ticketlens.operators import trends as T
 from ticketlens.operators import weekly as W
+from ticketlens.operators.search import SearchIndex
 from ticketlens.plans.filters import Filters, Selection, by_months, dimension_options, filtered, options, searched, with_label
 from ticketlens.plans.ingested import TEXTS, ingested, ingested_kinds
 from ticketlens.plans.oracle import known_sql, pct_sql, q, round1_sql, sql, tokens_sql, truncate_sql, whole_pct_sql
-from ticketlens.plans.shared import checkpoint, stored
+from ticketlens.plans.shared import checkpoint, scratch, stored
 from ticketlens.sources import sinks as S
 from ticketlens.sources.view import incidents, tickets
 
@@ -197,6 +198,7 @@ query("filter_months", sql("SELECT row_id, month FROM annotated WHERE month IN (
 query("filter_global", sql(f"SELECT row_id, service, service_offering, month FROM annotated WHERE {_MONTHS} AND {_SERVICE} AND {_OFFER}"), lambda t: filtered(t, FILTERS).select("row_id", "service", "service_offering", "month"))
 query("filtered_overview", sql(f"SELECT count(*) AS total, {MEAN1.format('total')} AS avg_score, {LABEL_COUNTS} FROM annotated WHERE {_MONTHS} AND {_SERVICE} AND {_OFFER}"), lambda t: V.overview(filtered(t, FILTERS)).select("total", "avg_score", *[f"n_{x.lower()}" for x in config.LABELS]))
 query("ticket_search", sql("SELECT row_id, number FROM annotated WHERE (contains(lower(number), 'vpn') OR contains(lower(assigned_to), 'vpn') OR contains(lower(short_description), 'vpn') OR contains(lower(assignment_group), 'vpn')) AND state = 'Closed'"), lambda t: searched(t, "VPN", state="Closed").select("row_id", "number"))
+query("ticket_search_indexed", SQL["ticket_search"], lambda t: SearchIndex.build(t.select("row_id", "number", "assigned_to", "short_description", "assignment_group", "state"), scratch(t.sparkSession, "index")).search("VPN", state="Closed").select("row_id", "number"))
 query("quality_view", sql("SELECT row_id FROM annotated WHERE label = 'Good'"), lambda t: with_label(t, "Good").select("row_id"))
 query("option_lists", sql("SELECT DISTINCT assignment_group AS value FROM annotated WHERE assignment_group <> ''"), lambda t: options(t, "assignment_group"))
 query("dimension_options", sql("SELECT DISTINCT service AS value, (SELECT bool_or(service IS NULL) FROM annotated) AS has_missing FROM annotated WHERE service IS NOT NULL"), lambda t: dimension_options(t, "service"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlens import config
-from ticketlens.plans.shared import shared_dir
+from ticketlens.plans.shared import scratch
 from ticketlens.sources.tickets import canonical, column_kinds, drop_email_columns, read_csv, typed
 from ticketlens.sources.view import incidents
 
@@ -30,9 +28,7 @@ def exports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two raw tables: one exported in UTF-8 with display names and ISO dates, one in an eight-bit encoding with field names and day/month dates."""
     rows = incidents(spark, sf_dir)
     plain = F.concat_ws("", *TEXTS, "service", "service_offering").rlike(LATIN) & (F.col("row_id") % 2 == 1)
-    base = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    base = scratch(spark, "csv")
     for name, part, columns, encoding in (
         ("display", rows.filter(~plain), _exported(rows, 0, "yyyy-MM-dd HH:mm:ss", "true", "false"), "UTF-8"),
         ("field", rows.filter(plain), _exported(rows, 1, "dd/MM/yyyy HH:mm:ss", "Sí", "no"), "ISO-8859-1"),

@@ -45,6 +45,21 @@ def _place(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def _passing(spark: SparkSession, path: str) -> None:
+    """A folder that is there goes when the application ends."""
+    place, system = _place(spark, path)
+    system.deleteOnExit(place)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which goes when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    place, system = _place(spark, path)
+    system.mkdirs(place)
+    _passing(spark, path)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts the lineage, and the planner knows its true size.
 
@@ -52,8 +67,7 @@ def stored(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    place, system = _place(df.sparkSession, path)
-    system.deleteOnExit(place)
+    _passing(df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
