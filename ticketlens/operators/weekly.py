@@ -30,7 +30,11 @@ def baselines(t: DataFrame, most: int = BASELINE_WEEKS) -> DataFrame:
 
 def volumes(t: DataFrame) -> DataFrame:
     """(week, n, baseline, delta_pct): tickets against the mean of the baseline weeks, 0 without one."""
-    n = t.filter("week <> ''").groupBy("week").agg(F.count("*").alias("n"))
+    return volumes_of(t.filter("week <> ''").groupBy("week").agg(F.count("*").alias("n")))
+
+
+def volumes_of(n: DataFrame) -> DataFrame:
+    """``volumes`` from (week, n)."""
     base = F.coalesce(F.avg("n").over(Window.orderBy("week").rowsBetween(-BASELINE_WEEKS, -1)), F.lit(0.0))
     out = n.withColumn("_b", base)
     return out.select("week", "n", round_half_up(F.col("_b"), 1).alias("baseline"), F.when(F.col("_b") > 0, round_half_up((F.col("n") - F.col("_b")) / F.col("_b") * 100)).otherwise(0).cast("long").alias("delta_pct"))
@@ -38,9 +42,13 @@ def volumes(t: DataFrame) -> DataFrame:
 
 def _value_history(t: DataFrame, value: Column) -> DataFrame:
     """(week, value, n, typical, base_weeks): counts of values in a week and in its baseline weeks, zeros included."""
-    counts = t.filter("week <> ''").select("week", value.alias("value")).groupBy("week", "value").agg(F.count("*").alias("n"))
-    base = baselines(t)
-    spans = available_weeks(t).join(base.groupBy("week").agg(F.count("*").alias("base_weeks")), "week", "left").fillna(0, ["base_weeks"])
+    return value_history(t.filter("week <> ''").select("week", value.alias("value")).groupBy("week", "value").agg(F.count("*").alias("n")))
+
+
+def value_history(counts: DataFrame) -> DataFrame:
+    """The same from (week, value, n), which has a row for every week with tickets."""
+    base = baselines(counts)
+    spans = available_weeks(counts).join(base.groupBy("week").agg(F.count("*").alias("base_weeks")), "week", "left").fillna(0, ["base_weeks"])
     before = base.join(counts.select(F.col("week").alias("base_week"), "value", F.col("n").alias("_n")), "base_week").groupBy("week", "value").agg(F.sum("_n").alias("_before"))
     both = counts.select("week", "value", "n", F.lit(0).cast("long").alias("_before")).union(before.select("week", "value", F.lit(0).cast("long"), "_before"))
     out = both.groupBy("week", "value").agg(F.sum("n").alias("n"), F.sum("_before").alias("_before")).join(spans, "week")
@@ -49,7 +57,12 @@ def _value_history(t: DataFrame, value: Column) -> DataFrame:
 
 def movements(t: DataFrame, most: int = 6) -> DataFrame:
     """Categories that moved: 3 tickets and 25 % or more, the largest changes first, ``most`` a week."""
-    h = _value_history(t, F.col("category")).filter(F.col("n") >= MOVEMENT_COUNT)
+    return moved(_value_history(t, F.col("category")), most)
+
+
+def moved(history: DataFrame, most: int = 6) -> DataFrame:
+    """``movements`` from the history of categories."""
+    h = history.filter(F.col("n") >= MOVEMENT_COUNT)
     h = h.withColumn("delta_pct", F.when(F.col("typical") > 0, round_half_up((F.col("n") - F.col("typical")) / F.col("typical") * 100)).otherwise(100).cast("long"))
     h = h.filter(F.abs("delta_pct") >= MOVEMENT_PCT).withColumn("change", F.col("n") - F.col("typical"))
     top = ranked(h, ["week"], F.abs("change").desc(), F.desc("n"), by_name("value")).filter(F.col("rank") <= most)
@@ -95,7 +108,11 @@ def digest(t: DataFrame, week: str, key: str = "cluster_id") -> dict[str, DataFr
 
 def digest_table(t: DataFrame, week: str, key: str = "cluster_id") -> DataFrame:
     """(section, rank, name, n, detail): one week's whole review as one table, a section after the other."""
-    d = digest(t, week, key)
+    return as_table(digest(t, week, key), key)
+
+
+def as_table(d: dict[str, DataFrame], key: str) -> DataFrame:
+    """The parts of a review as one table."""
     name, text = F.col(key).cast("string").alias("name"), lambda c: F.col(c).cast("string").alias("detail")
     rows = [
         d["volume"].select(F.lit("volume").alias("section"), F.lit(1).alias("rank"), F.col("week").alias("name"), "n", text("delta_pct")),

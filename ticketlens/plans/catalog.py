@@ -20,6 +20,7 @@ from ticketlens.operators import profile as R
 from ticketlens.operators import trends as T
 from ticketlens.operators import weekly as W
 from ticketlens.operators.search import SearchIndex
+from ticketlens.operators.weekstate import WeekState
 from ticketlens.plans.filters import Filters, Selection, by_months, dimension_options, filtered, options, searched, with_label
 from ticketlens.plans.ingested import TEXTS, ingested, ingested_kinds
 from ticketlens.plans.oracle import known_sql, pct_sql, q, round1_sql, sql, tokens_sql, truncate_sql, whole_pct_sql
@@ -279,7 +280,38 @@ query("week_top_problems", sql("SELECT week, CAST(rank AS INTEGER) AS rank, cate
 query("week_actions", sql("""SELECT category, kind, n FROM (SELECT p.category, p.n, CASE WHEN rca_coverage < 50 THEN 'problem-management' WHEN median_hours <= 2 THEN 'automation' WHEN k >= 3 AND top < 40 THEN 'knowledge-gap' WHEN is_chronic THEN 'chronic' END AS kind FROM problem_table p
  LEFT JOIN (SELECT category, count(*) AS k, arg_min(pct, rank) AS top FROM top_causes GROUP BY 1) c ON c.category = p.category WHERE p.n >= greatest(3, floor((SELECT count(*) FROM annotated) * 0.01 + 0.5))) WHERE kind IS NOT NULL
  ORDER BY CASE kind WHEN 'problem-management' THEN 0 WHEN 'chronic' THEN 1 WHEN 'automation' THEN 2 ELSE 3 END, n DESC, category LIMIT 6""", "whole AS (SELECT * FROM annotated)", *[x.replace("annotated", "one_week") for x in ("one_week AS (SELECT * FROM whole WHERE week = '2024-W09')", TABLE, CAUSES)]).replace("(SELECT count(*) FROM annotated) * 0.01", "(SELECT count(*) FROM one_week) * 0.01"), lambda t: W.digest(t, "2024-W09", KEY)["actions"].select(KEY, "kind", "n"))
-query("week_digest", None, lambda t: W.digest_table(t, "2024-W09", KEY))
+_ACTIONS = SQL["week_actions"]
+
+
+def digest_sql() -> str:
+    """The parts' own statements, for one week, one after another."""
+    part = lambda name, columns, where="week = '2024-W09'": f"SELECT {columns} FROM ({SQL[name]}) WHERE {where}"
+    return " UNION ALL ".join((
+        part("weekly_volumes", "'volume' AS section, CAST(1 AS INTEGER) AS rank, week AS name, n, CAST(delta_pct AS VARCHAR) AS detail"),
+        part("category_movements", "'movements', CAST(rank AS INTEGER), name, CAST(n AS BIGINT), CAST(delta_pct AS VARCHAR)"),
+        part("week_problems", "kind, CAST(rank AS INTEGER), category, n, CAST(weeks_active AS VARCHAR)"),
+        part("week_top_problems", "'top', rank, category, n, CAST(NULL AS VARCHAR)"),
+        f"SELECT 'actions', CAST(row_number() OVER (ORDER BY {_PRIORITY}, n DESC, category) AS INTEGER), category, n, kind FROM ({_ACTIONS})",
+    ))
+
+
+_PRIORITY = "CASE kind WHEN 'problem-management' THEN 0 WHEN 'chronic' THEN 1 WHEN 'automation' THEN 2 ELSE 3 END"
+
+
+def _kept_digest(t: DataFrame) -> DataFrame:
+    """The digest from a state that batches keep: half of the tickets, the rest twice under one name, a batch by mistake, and its revocation."""
+    state = WeekState(t.sparkSession, scratch(t.sparkSession, "weeks"), KEY)
+    rows = t.select("row_id", "week", "category")
+    odd = F.col("row_id") % 2 == 1
+    for name, part, sign in (("odd", rows.filter(odd), 1), ("even", rows.filter(~odd), 1), ("even", rows.filter(~odd), 1), ("mistake", rows.filter("row_id % 3 = 0"), 1), ("revoked", rows.filter("row_id % 3 = 0"), -1)):
+        state.commit(name, part, sign)
+    parts = {k: v.withColumnRenamed("key", KEY) for k, v in state.review("2024-W09").items()}
+    actions = P.recommend(t.filter("week = '2024-W09'"), KEY).orderBy("priority", F.desc("n"), KEY).limit(6)
+    return W.as_table({**parts, "actions": actions}, KEY)
+
+
+query("week_digest", digest_sql(), lambda t: W.digest_table(t, "2024-W09", KEY))
+query("week_digest_kept", digest_sql(), _kept_digest)
 query("week_bridge", sql("""SELECT week, nullif(value, '') AS value, n, round(typical, 6) AS typical, round(n - typical, 6) AS change FROM (SELECT *, row_number() OVER (PARTITION BY week ORDER BY abs(n - typical) DESC, n DESC, value COLLATE en) AS r FROM hx WHERE base_weeks > 0 AND n <> typical) WHERE r = 1""", WEEKS, history_sql("coalesce(service, '')")), lambda t: W.bridge(t, "service"))
 query("data_through", sql("SELECT max(opened) AS through FROM annotated"), W.data_through)
 query("week_comparable", sql("SELECT DISTINCT week, (SELECT CAST(max(opened) AS DATE) FROM annotated) >= CAST(date_trunc('week', CAST(opened AS TIMESTAMP)) AS DATE) + 6 AS comparable FROM annotated"), W.comparable)
