@@ -1,213 +1,29 @@
-"""Near copies: texts whose sets of word shingles reach a Jaccard similarity, found without loss.
+"""Near copies for the pipeline: the fingerprint trie first, what it leaves by bands of minima, whole sets decide.
 
-The trie join on SimHash fingerprints goes first and links the closest copies. Texts at a similarity of 0.8
-differ in up to a dozen of 64 bits, which no walk of tries can afford, so what it leaves is
-found by prefixes: shingles are put into one order for all texts (by hash, those of many texts last), and of
-two sets at the similarity the first few hold a share of the shingles in common that follows from their sizes. Whole
-sets decide every link. Equal sets count once. Texts first meet the most central text of each shared shingle, which links
-most of a group at once. For what is left the shingles of one central text are brought together in blocks of
-bounded size, and common shingles are counted inside the task, so that only pairs whose count still
-allows the similarity ever leave it: no group is spelled out as pairs.
+The trie join on SimHash fingerprints links the closest copies. Texts at a similarity of 0.8 differ in up to a
+dozen of 64 bits, which no walk of tries can afford, so the rest is found by ``minhash.similar_groups``.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.llm.encoder import slices
-from ticketlens.llm.simhash import close_pairs, packed, shingle_hashes
-from ticketlens.operators.graph import connected_components
-from ticketlens.plans.shared import checkpoint, small_batches, spread_join, stored
+from ticketlens.llm.minhash import Confirmed, similar_groups
+from ticketlens.llm.simhash import close_pairs
+from ticketlens.plans.shared import stored
 
 SIZE = 5
 SIMILARITY = 0.8
-#: Shingles of more texts than this, by a sample, go last; at most HOTTEST of them, which a task holds at once.
-COMMON = 50
-HOTTEST = 100_000
-SAMPLE = 16
-MAP_BITS = 1 << 23
-#: A prefix has n // EXTRA shingles more than one common one asks for.
-EXTRA = 20
-#: Texts of a central text's block, and pairs that a task counts at once.
-BLOCK = 4_096
-AT_ONCE = 2_000_000
-
-
-def rest_of(n: int, similarity: float) -> int:
-    """How many of n shingles stay outside the prefix: any similar set shares one at least of the others, and some more are taken to tell pairs apart."""
-    overlap = math.ceil(similarity * n - 1e-9)
-    return overlap - min(1 + n // EXTRA, overlap)
-
-
-def _common_least(similarity: float, na: str, nb: str, ra: str, rb: str) -> str:
-    """SQL: how many shingles of their prefixes two sets of these sizes and rests share at least, if they are similar."""
-    return f"greatest(1, ceil({similarity / (1 + similarity)!r} * ({na} + {nb}) - 1e-9) - greatest({ra}, {rb}))"
-
-
-def _prefixes(size: int, hot: np.ndarray, similarity: float):
-    """doc_id, unit (a hash of the set), fp (its SimHash), n, rest (how many are not in the prefix) and the first shingles of every text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole)):
-            rows = []
-            for text in batch.column("text").to_pylist():
-                own = np.unique(shingle_hashes(text, size))
-                unit = xxhash.xxh64_intdigest(own.tobytes(), 1)
-                fp = packed(own)
-                if len(hot) and len(own):
-                    last = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own
-                    own = np.concatenate([own[~last], own[last]])
-                rest = rest_of(len(own), similarity)
-                rows.append((unit - (unit >> 63 << 64), fp, len(own), rest, own[: len(own) - rest].tobytes()))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]], ["doc_id", "unit", "fp", "n", "rest", "prefix"])
-
-    return run
-
-
-_PREFIXES = "doc_id long, unit long, fp long, n int, rest int, prefix binary"
-
-
-def _posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle of each prefix."""
-    for batch in batches:
-        prefix = batch.column("prefix")
-        sizes = pc.binary_length(prefix).to_numpy() // 8
-        h = np.frombuffer(b"".join(prefix.to_pylist()), np.int64)
-        at = np.repeat(np.arange(batch.num_rows), sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(h), *[batch.column(c).take(pa.array(at)) for c in ("doc_id", "n", "rest", "component")]], ["h", "u", "n", "rest", "component"])
-
-
-def _meeting(similarity: float):
-    """(a, b) of texts of different groups that share enough of their prefixes; rows come block by block."""
-
-    def counted(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        lead, i, j, side, h, u, n, rest, component, m = (part.column(c).to_numpy() for c in ("lead", "i", "j", "side", "h", "u", "n", "rest", "component", "m"))
-        order = np.lexsort((u, h, j, i, lead))
-        block = np.cumsum(np.concatenate([[False], (np.diff(lead[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)]))
-        lead, i, j, side, h, u, n, rest, component, m = (x[order] for x in (lead, i, j, side, h, u, n, rest, component, m))
-        new = np.concatenate([[True], (np.diff(block) != 0) | (np.diff(h) != 0)])
-        edges = np.append(np.flatnonzero(new), len(h))
-        later = np.repeat(edges[1:], np.diff(edges)) - 1 - np.arange(len(h))  # texts after this one under the same shingle
-        # the texts of each block, how many rows each has here, and so how many of its shingles meet elsewhere
-        by = np.lexsort((u, block))
-        first = np.concatenate([[True], (np.diff(block[by]) != 0) | (np.diff(u[by]) != 0)])
-        text = np.empty(len(h), np.int64)
-        text[by] = np.cumsum(first) - 1
-        outside = m[by][first] - np.bincount(text)
-        one = by[first]  # a row of each text
-        # all rows of a few texts at a time, so that their pairs are counted to the end
-        load = np.cumsum(np.bincount(text, later).astype(np.int64))
-        rows = np.argsort(text, kind="stable")
-        begin = np.searchsorted(text[rows], np.arange(len(one) + 1))
-        at = 0
-        while at < len(one):
-            stop = max(at + 1, int(np.searchsorted(load, (load[at - 1] if at else 0) + AT_ONCE, "right")))
-            mine = rows[begin[at] : begin[stop]]
-            k = later[mine]
-            left = np.repeat(mine, k)
-            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(k) - k, k)
-            good = (component[left] != component[right]) & ((i[left] == j[left]) | (side[left] != side[right]))
-            pairs, common = np.unique(text[left[good]] * len(one) + text[right[good]], return_counts=True)
-            a, b = pairs // len(one), pairs % len(one)
-            x, y = one[a], one[b]
-            least = np.maximum(1, np.ceil(similarity / (1 + similarity) * (n[x].astype(np.int64) + n[y]) - 1e-9) - np.maximum(rest[x], rest[y]))
-            keep = (common + np.minimum(outside[a], outside[b]) >= least) & (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-9)
-            low, high = np.minimum(u[x], u[y])[keep], np.maximum(u[x], u[y])[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
-            at = stop
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            key = np.column_stack([batch.column(c).to_numpy() for c in ("lead", "i", "j")])
-            cut = np.flatnonzero((key != key[-1]).any(1)) if batch.num_rows else []
-            last = int(cut[-1]) + 1 if len(cut) else 0  # the last block may go on in the next batch
-            if held and batch.num_rows:
-                before = [held[-1].column(c)[-1].as_py() for c in ("lead", "i", "j")]
-                other = np.flatnonzero((key != before).any(1))
-                if len(other):
-                    yield from counted(joined_batches([*held, batch.slice(0, int(other[0]))]))
-                    batch, last, held = batch.slice(int(other[0])), last - int(other[0]), []
-            if last > 0:
-                yield from counted(batch.slice(0, last))
-                batch = batch.slice(last)
-            if batch.num_rows:
-                held.append(batch)
-        if held:
-            yield from counted(joined_batches(held))
-
-    return run
-
-
-def joined_batches(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-
-
-def _alike(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for k in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in ("x", "y"))
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                keep.append(int((both[1:] == both[:-1]).sum()) * (1 + similarity) >= similarity * len(both) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-def _slots(ids: pa.Array) -> np.ndarray:
-    mixed = ids.to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(32)).astype(np.int64) % MAP_BITS
-
-
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = np.zeros(MAP_BITS, bool)
-    for batch in batches:
-        seen[_slots(batch.column("doc_id"))] = True
-    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()], pa.binary())], ["bits"])
-
-
-def _listed_sets(seen: np.ndarray, size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole)):
-            at = _slots(batch.column("doc_id"))
-            batch = batch.filter(pa.array(seen[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1, pa.bool_()))
-            sets = [np.unique(shingle_hashes(t, size)).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
-
-    return run
-
-
-def similar(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose texts' whole sets reach the similarity.
-
-    A bitmap of the ids in ``pairs``, of a fixed size, spares most other texts; the exact join follows.
-    """
-    pairs = checkpoint(pairs.select("a", "b"))
-    seen = np.zeros(MAP_BITS // 8, np.uint8)
-    for row in pairs.selectExpr("explode(array(a, b)) AS doc_id").coalesce(16).mapInArrow(_bits, "bits binary").toLocalIterator():
-        seen |= np.frombuffer(row.bits, np.uint8)
-    if not seen.any():
-        return pairs
-    picked = stored(docs.mapInArrow(_listed_sets(seen, size), "doc_id long, shingles binary"))
-    side = lambda key, name: picked.select(F.col("doc_id").alias(key), F.col("shingles").alias(name)).hint("merge")
-    return checkpoint(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(_alike(similarity), "a long, b long"))
 
 
-def _grouped(rows: DataFrame, links: DataFrame, key: str) -> DataFrame:
-    """``rows`` with the component of ``key`` under ``links``, itself where it has none."""
-    parts = connected_components(links, "a", "b").withColumnRenamed("node", key)
-    return rows.join(parts, key, "left").withColumn("component", F.coalesce("component", key))
+def trie_links(units: DataFrame, confirmed: Confirmed) -> DataFrame:
+    """(a, b) of different sets, confirmed, that the trie brings together: a fingerprint's first set with its others and with that of each close fingerprint."""
+    lead = units.groupBy("fp").agg(F.min("u").alias("lead"))
+    near = units.select("u", "fp").join(lead.hint("merge"), "fp").filter("u <> lead").select(F.col("lead").alias("a"), F.col("u").alias("b"))
+    end = lambda fp, name: lead.select(F.col("fp").alias(fp), F.col("lead").alias(name)).hint("merge")
+    ends = close_pairs(units.select("fp")).join(end("fp_a", "p"), "fp_a").join(end("fp_b", "q"), "fp_b")
+    return confirmed(stored(near.union(ends.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))).distinct()))
 
 
 def near_copies(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
@@ -215,49 +31,7 @@ def near_copies(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARIT
 
     Texts whose sets of ``size``-word shingles have a Jaccard similarity of at least ``similarity``
     are linked; component_id is the smallest doc_id that can be reached. A shorter text is one
-    shingle, and texts without words have equal, empty sets. Shingles and equal sets are
-    told by 64-bit hashes. ``docs`` is read several times.
+    shingle, and texts without words have equal, empty sets. Shingles are told by 64-bit
+    hashes, equal sets by 128-bit hashes. ``docs`` is read several times.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    with small_batches(docs.sparkSession):
-        # any order of the shingles is right, so a share of the texts is enough to see which are common
-        sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(_prefixes(size, np.zeros(0, np.uint64), 0.0), _PREFIXES)  # whole sets
-        sample = sample.dropDuplicates(["unit"]).withColumn("component", F.lit(0)).mapInArrow(_posts, "h long, u long, n int, rest int, component int")
-        common = sample.groupBy("h").count().filter(F.col("count") > COMMON // SAMPLE).orderBy(F.desc("count"), "h").limit(HOTTEST)
-        hot = np.sort(np.array([r.h for r in common.collect()], np.int64).view(np.uint64))
-        rows = stored(docs.mapInArrow(_prefixes(size, hot, similarity), _PREFIXES))
-        units = checkpoint(rows.groupBy("unit").agg(F.min("doc_id").alias("u"), F.first("fp").alias("fp")))
-        # the closest ones, by the trie
-        lead = units.groupBy("fp").agg(F.min("u").alias("lead"))
-        near = units.join(lead.hint("merge"), "fp").filter("u <> lead").select(F.col("lead").alias("a"), F.col("u").alias("b"))
-        ends = close_pairs(units.select("fp")).join(lead.select(F.col("fp").alias("fp_a"), F.col("lead").alias("p")).hint("merge"), "fp_a").join(lead.select(F.col("fp").alias("fp_b"), F.col("lead").alias("q")).hint("merge"), "fp_b")
-        links = similar(near.union(ends.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))), docs, size, similarity)
-        # then the first text of each shingle of the prefixes
-        heads = _grouped(units.select("u"), links, "u").withColumnRenamed("u", "doc_id")
-        posts = rows.select("doc_id", "n", "rest", "prefix").join(heads, "doc_id").mapInArrow(_posts, "h long, u long, n int, rest int, component long").repartition("h")
-        met = posts.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("texts")).filter("lo < hi").select("h", "texts")
-        posts = stored(posts.join(met.hint("merge"), "h"))
-        # the most central text of each shingle: the one whose shingles most texts have, so that a group's shingles agree on it
-        share = posts.groupBy("u").agg(F.sum("texts").alias("c"))
-        central = posts.join(share.hint("merge"), "u")
-        lead = central.groupBy("h").agg(F.max(F.struct("c", "u", "component", "n", "rest")).alias("f")).select("h", F.col("f.u").alias("lead"), F.col("f.component").alias("led"), F.col("f.n").alias("ln"), F.col("f.rest").alias("lr"))
-        posts = stored(spread_join(posts.drop("texts"), lead, "h"))
-        star = posts.filter("component <> led").groupBy(F.col("lead").alias("a"), F.col("u").alias("b")).agg(F.count("*").alias("k"), *[F.first(c).alias(c) for c in ("n", "rest", "ln", "lr")])
-        star = star.filter(f"2 * k >= {_common_least(similarity, 'n', 'ln', 'rest', 'lr')} AND least(n, ln) >= {similarity} * greatest(n, ln) - 1e-9")
-        star = checkpoint(star.select("a", "b"))
-        # central texts that may be similar to the same texts share a block, so that most of a pair's common shingles meet in one place
-        spots = checkpoint(connected_components(star, "a", "b").select(F.col("node").alias("lead"), F.col("component").alias("spot")))
-        links = links.union(similar(star, docs, size, similarity))
-        posts = spread_join(posts.select("h", "u", "n", "rest", "lead"), spots, "lead", "left").withColumn("lead", F.coalesce("spot", "lead")).drop("spot")
-        posts = _grouped(posts, links, "u")
-        mixed = posts.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("h")
-        posts = stored(posts.join(mixed.hint("merge"), "h", "left_semi"))
-        # all pairs that are left: inside blocks of a central text's texts
-        total = posts.groupBy("u").agg(F.count("*").alias("m"))
-        blocks = posts.groupBy("lead").agg(F.ceil(F.approx_count_distinct("u") / BLOCK).cast("int").alias("blocks"))
-        dealt = spread_join(posts, blocks, "lead").join(total.hint("merge"), "u").withColumn("side", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
-        dealt = dealt.withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)"))).select("lead", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "h", "u", "n", "rest", "component", "m")
-        pairs = dealt.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j").mapInArrow(_meeting(similarity), "a long, b long").distinct()
-        links = links.union(similar(pairs, docs, size, similarity))
-        known = checkpoint(_grouped(units.select("unit", "u"), links, "u").select("unit", F.col("component").alias("component_id")))
-    return spread_join(rows.select("doc_id", "unit"), known, "unit").select("doc_id", "component_id")
+    return similar_groups(docs, size, similarity, empties_linked=True, first=trie_links).select("doc_id", "component_id")
