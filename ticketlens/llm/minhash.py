@@ -303,16 +303,12 @@ def similar_groups(docs: DataFrame, size: int, similarity: float, empties_linked
         units = stored(rows.select("doc_id", "n", "fp", "sig", "keys").join(heads.select(F.col("u").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "u"))
         confirmed = Confirmed(docs, size, similarity)
         links = [first(units, confirmed)] if first else []
-        known = _grouped(units, links) if links else units.select("u", F.col("u").alias("component"))
         # every member of a bucket meets its first text
         posts = units.select("u", F.explode("keys").alias("key"))
         buckets = posts.groupBy("key").agg(F.min("u").alias("lead"), F.count("*").alias("k")).filter("k > 1").drop("k")
         posts = stored(posts.join(buckets.hint("merge"), "key"))
         sigs = lambda key, name: units.select(F.col("u").alias(key), F.col("sig").alias(name)).hint("merge")
         star = posts.filter("u <> lead").select(F.col("lead").alias("a"), F.col("u").alias("b")).distinct()
-        if links:
-            side = lambda key, name: known.select(F.col("u").alias(key), F.col("component").alias(name)).hint("merge")
-            star = star.join(side("a", "p"), "a").join(side("b", "q"), "b").filter("p <> q").select("a", "b")
         seen = stored(star.join(sigs("b", "y"), "b").join(sigs("a", "x"), "a").mapInArrow(_allowed(similarity), "a long, b long"))
         links.append(confirmed(seen))
         # buckets that hold several components
@@ -337,6 +333,7 @@ def similar_groups(docs: DataFrame, size: int, similarity: float, empties_linked
         forget(posts)
     named = rows.select("doc_id", "unit", "n")
     known = stored(heads.join(known, "u").select("unit", F.col("component").alias("component_id")))
+    forget(units, *confirmed.made)
     out = spread_join(named, known, "unit").select("doc_id", "n", "component_id")
     return out if empties_linked else out.withColumn("component_id", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
 
