@@ -33,6 +33,36 @@ def test_detail_keeps_repeated_numbers_and_types(spark):
     assert len(dated.description) == config.CELL_LIMIT and dated.description.endswith("tiene 40000 caracteres; Excel admite 32767]")
 
 
+def test_detail_has_each_name_once_and_can_be_written(spark, tmp_path):
+    sheet = spark.createDataFrame([("p-1", "one"), ("p-2", "two")], "cluster_id string, title string")
+    wide = tickets(spark).selectExpr("*", "'a' AS ROOT_CAUSE", "'b' AS due_text", "'c' AS Closed_Text")
+    S.write(S.detail_sheet(wide, sheet, kinds={"due": "date"}), str(tmp_path / "detail"))
+    rows = spark.read.parquet(str(tmp_path / "detail"))
+    assert len({c.lower() for c in rows.columns}) == len(rows.columns)
+    one = rows.filter("number = 'INC2'").first()
+    assert (one["root_cause"], one["root_cause_text"], one["ROOT_CAUSE (origen)"], one["Closed_Text (origen)"]) == (config.DIMS.index("root_cause"), "", "a", "c")
+    assert {"b"} == {r["due_text (origen)"] if "due_text (origen)" in rows.columns else r["due_text"] for r in rows.collect()}
+
+
+def test_detail_query_against_its_statement_as_a_table(spark, tmp_path):
+    import duckdb
+
+    from ticketlens.plans.catalog import QUERIES, SQL
+
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "events", "orders", "labels", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    con.execute(f"CREATE TABLE want AS {SQL['detail_sheet']}")
+    QUERIES["detail_sheet"](spark, sf).write.parquet(str(tmp_path / "detail"))
+    con.execute(f"CREATE TABLE got AS SELECT * FROM '{tmp_path}/detail/*.parquet'")
+    kinds = {n: dict(con.execute(f"SELECT column_name, column_type FROM (DESCRIBE {n})").fetchall()) for n in ("want", "got")}
+    assert kinds["want"] == kinds["got"]
+    columns = ", ".join(sorted(kinds["want"]))
+    for a, b in (("want", "got"), ("got", "want")):
+        assert con.execute(f"SELECT count(*) FROM (SELECT {columns} FROM {a} EXCEPT ALL SELECT {columns} FROM {b})").fetchone()[0] == 0
+    assert con.execute("SELECT count(*) FROM got").fetchone()[0] > 0
+
+
 def test_sheets_appear_together_or_not_at_all(spark, tmp_path):
     path = str(tmp_path / "export")
     assert S.read_set(spark, path) == {}
