@@ -8,6 +8,7 @@ file is first tried on probe texts; one that does not work this way has its text
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -42,8 +43,9 @@ class Encoder:
         self._whole = Tokenizer.from_file(path)
         self._model = self._whole.model
         self._letters = _byte_letters()
-        self._words: dict[str, tuple[int, ...]] = {}
-        self._parts: dict[str, tuple[int, ...]] = {}
+        # ids as bytes of unsigned 32-bit numbers, a fraction of what tuples of numbers take
+        self._words: dict[str, bytes] = {}
+        self._parts: dict[str, bytes] = {}
         self.vocabulary = self._whole.get_vocab_size(with_added_tokens=True)
         # by words with a short cut for plain ones, by words, or whole
         self._plain, self._by_word = True, True
@@ -62,19 +64,19 @@ class Encoder:
         want = [self._whole.encode(t, add_special_tokens=False).ids for t in PROBES]
         return counts.tolist() == list(map(len, want)) and ids.tolist() == list(chain.from_iterable(want))
 
-    def _part(self, part: str) -> tuple[int, ...]:
+    def _part(self, part: str) -> bytes:
         if (found := self._parts.get(part)) is None:
             shown = part if part.isascii() else "".join(map(self._letters.__getitem__, part.encode()))
-            found = self._parts[part] = tuple(t.id for t in self._model.tokenize(shown))
+            found = self._parts[part] = array("I", [t.id for t in self._model.tokenize(shown)]).tobytes()
         return found
 
-    def word(self, word: str) -> tuple[int, ...]:
-        """Ids of a text without white space."""
+    def word(self, word: str) -> bytes:
+        """Ids of a text without white space, as unsigned 32-bit numbers."""
         if (found := self._words.get(word)) is None:
             if self._plain and (m := _PLAIN.match(word)):
-                found = self._part(m[1].lower()) + (self._part(m[2]) if m[2] else ())
+                found = self._part(m[1].lower()) + (self._part(m[2]) if m[2] else b"")
             else:
-                found = tuple(self._whole.encode(word, add_special_tokens=False).ids)
+                found = array("I", self._whole.encode(word, add_special_tokens=False).ids).tobytes()
             self._words[word] = found
         return found
 
@@ -91,8 +93,8 @@ class Encoder:
             self._words.clear()
             self._parts.clear()
         each = [self.word(w) for w in coded.dictionary.to_pylist()]
-        lengths = np.fromiter(map(len, each), np.int64, len(each))
-        flat = np.fromiter(chain.from_iterable(each), np.uint32, int(lengths.sum()))
+        lengths = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        flat = np.frombuffer(b"".join(each), np.uint32)
         starts = np.cumsum(lengths) - lengths
         ends = np.concatenate([[0], np.cumsum(lengths[index])])
         at = np.repeat(starts[index] - ends[:-1], lengths[index]) + np.arange(ends[-1])
