@@ -53,3 +53,30 @@ def test_round_trip(spark):
         assert r.ids[:-1] in [whole.encode(t, add_special_tokens=False).ids for t in texts[r.doc_id]]
     assert at == store.n_tokens
     assert read_tokens(spark, write_tokens(docs.limit(0))).count() == 0
+
+
+def test_workers_stay_small():
+    """What an encoder keeps is bounded, and a task's memory goes back to the system when its last batch is done."""
+    import pyarrow.compute as pc
+
+    from ticketlens.llm.encoder import MAX_CODED, giving_back
+
+    coder = Encoder(tokenizer_path())
+    for at in range(0, 300_000, 50_000):
+        coder.encode(pa.array([" ".join(f"w{n}x" for n in range(at, at + 50_000))]))
+    assert max(len(coder._words), len(coder._parts)) <= MAX_CODED + 50_000
+
+    def run(batches):
+        for batch in batches:
+            held = pc.binary_repeat(pa.array(["x" * 1_000] * 20_000), 10)
+            yield batch.slice(0, len(held) and batch.num_rows)
+
+    def anon():
+        with open("/proc/self/status") as lines:
+            return next(int(x.split()[1]) for x in lines if x.startswith("RssAnon")) / 1024
+
+    batch = pa.RecordBatch.from_pydict({"a": [1, 2]})
+    list(giving_back(run)(iter([batch])))
+    before = anon()
+    assert sum(b.num_rows for b in giving_back(run)(iter([batch] * 3))) == 6
+    assert anon() < before + 60

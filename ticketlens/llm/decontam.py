@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.llm.encoder import MAX_CACHED, slices
+from ticketlens.llm.encoder import MAX_CACHED, giving_back, slices
 from ticketlens.llm.rows import documents
 
 SIMILARITY = 0.8
@@ -349,7 +349,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     """
     out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start_word long, n_words long, distance long")
     for items in _item_blocks(benchmark, similarity, most):
-        out = out.union(docs.select("doc_id", "text").mapInArrow(_searcher(items), out.schema))
+        out = out.union(docs.select("doc_id", "text").mapInArrow(giving_back(_searcher(items)), out.schema))
     return out
 
 
@@ -369,5 +369,5 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: floa
                     hit = {d for found in find(iter([numbered])) for d in found.column("doc_id").to_pylist()}
                     yield part.filter(pa.array([i not in hit for i in range(part.num_rows)])) if hit else part
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(giving_back(run), docs.schema)
     return docs

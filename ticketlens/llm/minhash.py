@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.llm.encoder import slices
+from ticketlens.llm.encoder import giving_back, slices
 from ticketlens.llm.rows import documents, keyed
 from ticketlens.llm.simhash import packed, shingle_hashes
 from ticketlens.operators.graph import connected_components
@@ -87,7 +87,7 @@ def _signed(size: int, band: int, fingerprints: bool):
 
 def signatures(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, fingerprints: bool = False) -> DataFrame:
     """doc_id, unit (a hash of the set of shingles), n (its size), fp (its SimHash, if wanted), sig (a byte a minimum), keys (of its bands)."""
-    return docs.select("doc_id", "text").mapInArrow(_signed(size, band_rows(similarity), fingerprints), "doc_id long, unit binary, n long, fp long, sig binary, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(giving_back(_signed(size, band_rows(similarity), fingerprints)), "doc_id long, unit binary, n long, fp long, sig binary, keys array<long>")
 
 
 def _sets(size: int):
@@ -195,11 +195,11 @@ class Confirmed:
         for old in self.made:
             ids = ids.join(old.select("doc_id"), "doc_id", "left_anti")
         ids = stored(ids)
-        self.made.append(stored(picked(self.docs, ids).mapInArrow(_sets(self.size), "doc_id long, shingles binary")))
+        self.made.append(stored(picked(self.docs, ids).mapInArrow(giving_back(_sets(self.size)), "doc_id long, shingles binary")))
         forget(ids)
         sets = reduce(DataFrame.union, self.made)
         side = lambda key, name: sets.select(F.col("doc_id").alias(key), F.col("shingles").alias(name)).hint("merge")
-        return stored(pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").mapInArrow(_alike(self.similarity), "a long, b long"))
+        return stored(pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").mapInArrow(giving_back(_alike(self.similarity)), "a long, b long"))
 
 
 def _grouped(units: DataFrame, links: list[DataFrame]) -> DataFrame:
@@ -309,7 +309,7 @@ def similar_groups(docs: DataFrame, size: int, similarity: float, empties_linked
         posts = stored(posts.join(buckets.hint("merge"), "key"))
         sigs = lambda key, name: units.select(F.col("u").alias(key), F.col("sig").alias(name)).hint("merge")
         star = posts.filter("u <> lead").select(F.col("lead").alias("a"), F.col("u").alias("b")).distinct()
-        seen = stored(star.join(sigs("b", "y"), "b").join(sigs("a", "x"), "a").mapInArrow(_allowed(similarity), "a long, b long"))
+        seen = stored(star.join(sigs("b", "y"), "b").join(sigs("a", "x"), "a").mapInArrow(giving_back(_allowed(similarity)), "a long, b long"))
         links.append(confirmed(seen))
         # buckets that hold several components
         for likely in (True, False):
@@ -320,11 +320,11 @@ def similar_groups(docs: DataFrame, size: int, similarity: float, empties_linked
             signed, more = units.select("u", "sig"), None
             if not likely:
                 apart = stored(held.select(F.col("u").alias("doc_id")).distinct())
-                more = stored(picked(docs, apart).mapInArrow(_further(size), "u long, more binary"))
+                more = stored(picked(docs, apart).mapInArrow(giving_back(_further(size)), "u long, more binary"))
                 forget(apart)
                 signed = signed.join(more, "u").select("u", F.concat("sig", "more").alias("sig"))
             cells = _cells(held, block).join(signed.hint("merge"), "u")
-            cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compared(similarity, likely), "a long, b long").distinct()
+            cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(giving_back(_compared(similarity, likely)), "a long, b long").distinct()
             fresh = stored(cells.join(seen.hint("merge"), ["a", "b"], "left_anti"))
             links.append(confirmed(fresh))
             seen = seen.union(fresh)

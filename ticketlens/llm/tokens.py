@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm.encoder import encoder, slices
+from ticketlens.llm.encoder import encoder, give_back, slices
 from ticketlens.llm.rows import documents, keyed
 from ticketlens.plans.shared import shared_dir, small_batches
 
@@ -95,7 +95,7 @@ def _write_ids(folder: str, kind: str, path: str, end_id: int) -> Callable:
                     first = part.column("_rid")[0].as_py() if first is None else first
 
         _put(folder, f"{shard:05d}.ids", write)
-        pa.default_memory_pool().release_unused()  # workers stay for other tasks
+        give_back()
         counts = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
         if len(counts):
             _put(folder, f"{shard:05d}.doc", lambda out: out.write(np.concatenate(ids).astype("<i8").tobytes()))
@@ -127,7 +127,7 @@ def write_tokens(docs: DataFrame, folder: str | None = None, path: str | None =
     folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     kind = "<u2" if max(encoder(path).vocabulary, end_id + 1) <= 1 << 16 else "<u4"
     ordered = keyed(docs).select("_rid", F.col("doc_id").cast("long"), "text").repartitionByRange("_rid").sortWithinPartitions("_rid")
-    with small_batches(spark):
+    with small_batches(spark, size="4m"):
         made = ordered.mapInArrow(_write_ids(folder, kind, path, end_id), "shard long, first long, docs long, ids long").collect()
     made.sort(key=lambda r: r["first"])
     base, shards = 0, []
