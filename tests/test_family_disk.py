@@ -35,6 +35,13 @@ def test_terms_move_once_for_a_chunk_of_texts(spark, shuffled):
     assert shuffled() - before < 1_500_000
 
 
+def test_weights_are_made_where_texts_lie(spark, shuffled):
+    texts = stored(spark.createDataFrame(list(enumerate(spoken(400))), "row_id long, text string").repartition(2))
+    before = shuffled()
+    assert M.tfidf(texts).count() > 300_000
+    assert shuffled() - before < 500_000
+
+
 def test_families_store_what_they_read_of_a_ticket(spark):
     from ticketlens.plans import catalog
 
