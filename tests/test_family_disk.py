@@ -1,9 +1,10 @@
-"""What families move and store."""
+"""What families move and store, and that names and words of families are whole however their terms are dealt."""
 
 import random
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from ticketlens.operators import families as M
 from ticketlens.plans.shared import stored
@@ -51,6 +52,47 @@ def test_families_store_what_they_read_of_a_ticket(spark):
     assert t.count() == whole.count() and t.exceptAll(whole).isEmpty()
 
 
+def members(spark):
+    rng = random.Random(2)
+    texts = spoken(40, 9)
+    rows = []
+    for f in range(6):
+        for _ in range((2, 3, 12, 2, 5, 30)[f]):
+            words = texts[f].split() if f % 2 else texts[f].split()[:7]
+            rows.append((f, " ".join(w if rng.random() > 0.1 else rng.choice(["tokhex", "new", f"own{len(rows)}"]) for w in words)))
+    rows += [(3, texts[3])] * 2 + [(None, x) for x in texts[6:]] + [(None, "")]
+    rng.shuffle(rows)
+    t = spark.createDataFrame([(i, f"INC{i}", x, f"2024-01-{1 + i % 9:02d}") for i, (_, x) in enumerate(rows)], "row_id long, number string, short_desc_clean string, opened string").withColumn("desc_clean", F.lit("")).repartition(3)
+    return t, stored(spark.createDataFrame([(i, f) for i, (f, _) in enumerate(rows)], "row_id long, family long"))
+
+
+@pytest.mark.parametrize("cell", [300, 1 << 21])
+def test_representatives_and_words_equal_sums_over_all_terms(spark, monkeypatch, cell):
+    """Sums over written terms, as the statements have them, whatever the parts of a family."""
+    t, fam = members(spark)
+    weights = M.tfidf(stored(M.variant(t))).join(fam.filter("family IS NOT NULL"), "row_id").toPandas()
+    sums = weights.groupby(["family", "term"])["weight"].sum().rename("s").reset_index()
+    wide = weights.merge(sums, on=["family", "term"])
+    wide["d"] = wide.weight * (wide.s - wide.weight)
+    size = weights.groupby("family")["row_id"].nunique()
+    close = wide.groupby(["family", "row_id"])["d"].sum().reset_index()
+    close["closeness"] = [round(d / (size[f] - 1), 9) for f, d in zip(close.family, close.d, strict=True)]
+    monkeypatch.setattr(M, "CELL_TERMS", cell)
+    got = {r.family: r for r in M.representatives(t, fam).collect()}
+    best = close.groupby("family")["closeness"].max()
+    assert set(got) == set(range(6))
+    for f, r in got.items():
+        assert abs(r.closeness - best[f]) < 2e-9
+        assert abs(close[(close.family == f) & (close.row_id == r.row_id)].closeness.iloc[0] - best[f]) < 2e-9
+    plain = sums[~sums.term.str.contains(r"(?:^| )tok(?:hex|id|num)(?: |$)")].copy()
+    plain["s"] = plain.s.round(9)
+    want = {f: list(g.sort_values(["s", "term"], ascending=[False, True]).term[:5]) for f, g in plain.groupby("family")}
+    words = {}
+    for r in M.common_words(t, fam).orderBy("family", "rank").collect():
+        words.setdefault(r.family, []).append(r.term)
+    assert words == want
+
+
 def test_no_text_is_left_behind_in_the_shared_folder(spark, tmp_path, monkeypatch):
     """Chunks of texts go once the pairs are known."""
     from ticketlens.plans import shared
